@@ -48,6 +48,18 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     )
 
 
+def significant(df: DataFrame, digits: int = 10) -> DataFrame:
+    """Doubles at so many significant digits, for paths of any magnitude."""
+    return df.select(
+        *[
+            F.format_string(f"%.{digits - 1}e", F.col(f.name)).cast("double").alias(f.name)
+            if f.dataType.typeName() == "double"
+            else F.col(f.name)
+            for f in df.schema
+        ]
+    )
+
+
 # --- ingestion and standardization -------------------------------------------
 
 
@@ -295,24 +307,24 @@ def _outlook(v):
 
 @query
 def forecast_seeded(v):
-    return rounded(_outlook(v))
+    return significant(_outlook(v))
 
 
 @query
 def forecast_by_state(v):
     daily = agg.daily_totals(v.enrol(), ("state",))
-    return rounded(fc.forecast(daily, ("state",), horizon=14, model="Polynomial"))
+    return significant(fc.forecast(daily, ("state",), horizon=14, model="Polynomial"))
 
 
 @query
 def forecast_by_district(v):
     keys = ("state", "district")
-    return rounded(fc.forecast(agg.daily_totals(v.enrol(), keys), keys, horizon=7), 4)
+    return significant(fc.forecast(agg.daily_totals(v.enrol(), keys), keys, horizon=7))
 
 
 @query
 def forecast_scenarios(v):
-    return rounded(fc.project(fc.series_state(agg.daily_totals(v.enrol())), (), SCENARIOS))
+    return significant(fc.project(fc.series_state(agg.daily_totals(v.enrol())), (), SCENARIOS))
 
 
 @query
@@ -333,7 +345,8 @@ def forecast_insight(v):
 @query
 def insight_by_state(v):
     daily = agg.daily_totals(v.enrol(), ("state",))
-    return rounded(fc.insight(fc.forecast(daily, ("state",)), "Linear", ("state",)))
+    projected = fc.forecast(daily, ("state",), volatility=0.05)
+    return rounded(fc.insight(projected, "Linear", ("state",)))
 
 
 @query
@@ -344,7 +357,8 @@ def capacity_plan(v):
 @query
 def capacity_by_state(v):
     daily = agg.daily_totals(v.enrol(), ("state",))
-    return rounded(fc.capacity_plan(fc.forecast(daily, ("state",)), ("state",)))
+    projected = fc.forecast(daily, ("state",), volatility=0.05)
+    return rounded(fc.capacity_plan(projected, ("state",)))
 
 
 @query

@@ -193,12 +193,20 @@ def summary(projected: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def whole(value):
+    """Truncated to bigint; NULL when a runaway projection does not fit one."""
+    return (value - value % 1).try_cast("bigint")
+
+
 def capacity_plan(projected: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Operators, bandwidth and load message for the projected peak."""
-    operators = F.ceil(F.col("peak") / ENROLMENTS_PER_OPERATOR)
-    peak_day = F.col("peak").cast("bigint")
+    staff = F.col("peak") / ENROLMENTS_PER_OPERATOR
+    # ceil() saturates silently at the largest bigint, so it is spelled out
+    operators = whole(staff) + F.when(staff % 1 > 0, 1).otherwise(0)
+    peak_day = whole(F.col("peak"))
+    high_load = staff > HIGH_LOAD_OPERATORS
     message = F.when(
-        F.col("operators") > HIGH_LOAD_OPERATORS,
+        high_load,
         F.format_string(messages.HIGH_LOAD, peak_day, F.col("operators")),
     ).otherwise(F.format_string(messages.STABLE_LOAD, peak_day))
     return (
@@ -208,8 +216,8 @@ def capacity_plan(projected: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
             *keys,
             "operators",
             (F.col("peak") * PACKET_MB / 1024).alias("peak_gb_per_day"),
-            F.col("mean").cast("bigint").alias("mean_daily_volume"),
-            (F.col("operators") > HIGH_LOAD_OPERATORS).alias("high_load"),
+            whole(F.col("mean")).alias("mean_daily_volume"),
+            high_load.alias("high_load"),
             message.alias("status"),
         )
     )
@@ -219,9 +227,9 @@ def display_table(projected: DataFrame) -> DataFrame:
     """The table shown and exported: whole numbers, reader-friendly headings."""
     return projected.select(
         F.col("date").alias("Date"),
-        F.col("predicted").cast("bigint").alias("Predicted (N)"),
-        F.col("upper").cast("bigint").alias("Upper Bound"),
-        F.col("lower").cast("bigint").alias("Lower Bound"),
+        whole(F.col("predicted")).alias("Predicted (N)"),
+        whole(F.col("upper")).alias("Upper Bound"),
+        whole(F.col("lower")).alias("Lower Bound"),
     )
 
 
