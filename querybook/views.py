@@ -29,25 +29,28 @@ class Views:
             (F.lit(110000) + key % 900).cast("int").alias("pincode"),
         )
 
-    def _orders(self) -> DataFrame:
-        return self.table("orders").select(
+    def _orders(self, people: DataFrame) -> DataFrame:
+        """Orders with their date and the ordering customer's columns."""
+        orders = self.table("orders").select(
             "o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("date")
         )
+        return orders.join(people, F.col("o_custkey") == F.col("c_custkey"))
 
-    def _lines(self) -> DataFrame:
-        """Line items with their order date and customer."""
-        return (
-            self.table("lineitem")
-            .select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("quantity"))
-            .join(self._orders(), F.col("l_orderkey") == F.col("o_orderkey"))
+    def _lines(self, people: DataFrame) -> DataFrame:
+        """Line items with date and customer columns.
+
+        The small tables meet first, so the largest one is joined only once.
+        """
+        lines = self.table("lineitem").select(
+            "l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("quantity")
         )
+        return lines.join(self._orders(people), F.col("l_orderkey") == F.col("o_orderkey"))
 
     # --- canonical feeds
 
     def enrol(self) -> DataFrame:
         return (
-            self._lines()
-            .join(self._customers(), F.col("o_custkey") == F.col("c_custkey"))
+            self._lines(self._customers())
             .select("date", "state", "district", "pincode", F.col("quantity").alias("adult_enrolments"))
         )
 
@@ -55,8 +58,7 @@ class Views:
         """Districts numbered 6 are called 7 here: some names exist in one feed only."""
         key = F.col("o_orderkey")
         return (
-            self._orders()
-            .join(self._customers(), F.col("o_custkey") == F.col("c_custkey"))
+            self._orders(self._customers())
             .select(
                 "date", "state", F.translate("district", "6", "7").alias("district"), "pincode",
                 (key % 13 + key % 29).alias("bio_stress"),
@@ -101,8 +103,7 @@ class Views:
     def raw_enrol(self) -> DataFrame:
         order, line = F.col("l_orderkey"), F.col("l_linenumber")
         return (
-            self._lines()
-            .join(self._customers(), F.col("o_custkey") == F.col("c_custkey"))
+            self._lines(self._customers())
             .select(
                 *self._raw_keys(),
                 F.when(line != 7, line).alias("age_0_5"),
@@ -114,8 +115,7 @@ class Views:
     def raw_bio(self) -> DataFrame:
         key = F.col("o_orderkey")
         return (
-            self._orders()
-            .join(self._customers(), F.col("o_custkey") == F.col("c_custkey"))
+            self._orders(self._customers())
             .select(
                 *self._raw_keys(),
                 F.when(key % 31 != 0, key % 13).alias("bio_age_5_17"),
@@ -168,8 +168,7 @@ class Views:
 
     def dirty_enrol(self) -> DataFrame:
         return (
-            self._lines()
-            .join(self._dirty_names(), F.col("o_custkey") == F.col("c_custkey"))
+            self._lines(self._dirty_names())
             .select("date", "state", "district", "pincode", F.col("quantity").alias("adult_enrolments"))
         )
 

@@ -4,24 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Accepted date shapes, day first or ISO, optional time of day.
-DAY_FIRST = r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})([ T].*)?\s*$"
-ISO_DAY = r"^\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})([ T].*)?\s*$"
+# Day-first dates with an optional time of day, plain numbers.
+DAY_FIRST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?:[ T].*)?$"
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def day_first_date(col: Column | str) -> Column:
-    """Text to date; ``03-04-2025`` is 3 April, ISO is understood too.
+    """Text to date; ``03-04-2025`` is 3 April, ISO order is understood too.
 
     One rewrite to ISO and one ``try_cast``: no parser exception is raised per
     bad row, which is what makes trying several patterns in turn slow.
     """
-    col = F.col(col) if isinstance(col, str) else col
-    iso = (
-        F.when(col.rlike(DAY_FIRST), F.regexp_replace(col, DAY_FIRST, "$3-$2-$1"))
-        .when(col.rlike(ISO_DAY), F.regexp_replace(col, ISO_DAY, "$1-$2-$3"))
-    )
-    return iso.try_cast("date")
+    text = F.trim(col)
+    marks = F.concat(F.substring(text, 3, 1), F.substring(text, 6, 1))
+    iso = F.when(
+        (F.length(text) == 10) & marks.isin("--", "//", ".."),  # dd-MM-yyyy, by far the most
+        F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 4, 2), F.substring(text, 1, 2)),
+    ).otherwise(F.translate(F.regexp_replace(text, DAY_FIRST, "$3-$2-$1"), "/.", "--"))
+    return F.when(F.substring(iso, 5, 1) == "-", iso).try_cast("date")
 
 
 def number_or_null(col: Column | str) -> Column:

@@ -18,8 +18,8 @@ MISSING_TOKENS = (
     "nan", "null",
 )
 
-_CASED = r"[\p{IsUppercase}\p{IsLowercase}\p{Lt}]"
-_WORD_START = rf"(?<!{_CASED})(?={_CASED})"
+_LETTER_RUN = r"[\p{IsUppercase}\p{IsLowercase}\p{Lt}]+"
+_PLAIN_WORDS = "^[A-Za-z ]*( & [A-Za-z ]*)*$"
 _MARK = "\u0001 "
 
 
@@ -28,21 +28,29 @@ def strip(col: Column | str) -> Column:
     return F.trim(col, F.lit(STRIP_CHARS))
 
 
+def _marked_title(col: Column) -> Column:
+    marked = F.regexp_replace(col, _LETTER_RUN, _MARK + "$0")
+    return F.replace(F.initcap(marked), F.lit(_MARK), F.lit(""))
+
+
 def title_case(col: Column | str) -> Column:
     """Upper-case every cased letter that does not follow a cased letter.
 
-    ``initcap`` starts words at blanks only, so ``o'brien-nagar`` and ``y.s.r.``
-    come out wrong. A marker ending in a blank is put before every run of
-    letters, ``initcap`` does the casing, and the marker is taken out again:
-    three codegen'd expressions per row, no lambda and no Python.
+    ``initcap`` is right for plain words only: it starts words at blanks, so
+    ``o'brien-nagar`` and ``y.s.r.`` come out wrong. Other texts get a marker
+    ending in a blank before every run of letters, ``initcap`` does the casing,
+    and the marker is taken out again. No lambda and no Python.
     """
-    marked = F.regexp_replace(col, _WORD_START, _MARK)
-    return F.replace(F.initcap(marked), F.lit(_MARK), F.lit(""))
+    col = F.col(col) if isinstance(col, str) else col
+    return F.when(col.rlike(_PLAIN_WORDS), F.initcap(col)).otherwise(_marked_title(col))
 
 
 def clean_name(col: Column | str) -> Column:
-    """Title case, then strip; NULL stays NULL."""
-    return strip(title_case(col))
+    """Title case, then strip; NULL stays NULL. Plain words take the short way."""
+    col = F.col(col) if isinstance(col, str) else col
+    return F.when(col.rlike(_PLAIN_WORDS), F.trim(F.initcap(col))).otherwise(
+        strip(_marked_title(col))
+    )
 
 
 def missing_to_null(col: Column | str) -> Column:

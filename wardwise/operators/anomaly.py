@@ -126,11 +126,12 @@ def fit_forest(
     trees: int = TREES,
     sample: int = SAMPLE,
     seed: int = SEED,
+    n: int | None = None,
 ) -> ForestModel:
-    """Fit on one row per key. ``totals`` should be settled: it is read twice."""
+    """Fit on one row per key; ``n`` is their number when already known."""
     if trees * sample > MAX_STEPS:
         raise ValueError(f"a model of {trees * sample} steps does not belong on the driver")
-    n = totals.count()
+    n = totals.count() if n is None else n
     size = min(sample, n)
     depth_limit = math.ceil(math.log2(max(size, 2)))
     for prefilter in (True, False):
@@ -149,6 +150,18 @@ def fit_forest(
     )
 
 
+def _scored(
+    totals: DataFrame, n: int, measure: str, keys: Sequence[str], trees: int, sample: int,
+    contamination: float, seed: int,
+) -> DataFrame:
+    model = fit_forest(totals, measure, keys, trees, sample, seed, n)
+    scored = totals.withColumn("score", model.score(F.col(measure).cast("double")))
+    cut = scored.agg(F.percentile("score", F.lit(1.0 - contamination))).scalar()
+    return scored.withColumn("threshold", cut).withColumn(
+        "anomaly", F.when(F.col("score") > F.col("threshold"), F.lit(-1)).otherwise(F.lit(1))
+    )
+
+
 def anomaly_scores(
     totals: DataFrame,
     measure: str = ENROL_MEASURE,
@@ -160,21 +173,18 @@ def anomaly_scores(
 ) -> DataFrame:
     """``totals`` plus ``score``, ``threshold`` and ``anomaly`` (-1 outlier, 1 normal).
 
-    The exact percentile is cheap at any size: a step function has few distinct
-    values, so the partial aggregation buffers stay small.
+    The totals are settled, so the facts behind them are read once. The exact
+    percentile is cheap at any size: a step function has few distinct values, so
+    the partial aggregation buffers stay small.
     """
     totals = settle(totals.select(*keys, measure))
-    if totals.isEmpty():
+    n = totals.count()
+    if n == 0:
         return totals.select(
             "*", *[F.lit(None).cast(t).alias(c)
                    for c, t in (("score", "double"), ("threshold", "double"), ("anomaly", "int"))]
         )
-    model = fit_forest(totals, measure, keys, trees, sample, seed)
-    scored = totals.withColumn("score", model.score(F.col(measure).cast("double")))
-    cut = scored.agg(F.percentile("score", F.lit(1.0 - contamination))).scalar()
-    return scored.withColumn("threshold", cut).withColumn(
-        "anomaly", F.when(F.col("score") > F.col("threshold"), F.lit(-1)).otherwise(F.lit(1))
-    )
+    return _scored(totals, n, measure, keys, trees, sample, contamination, seed)
 
 
 def risk_order(measure: str = ENROL_MEASURE, keys: Sequence[str] = KEYS):
@@ -189,12 +199,13 @@ def risk_table(
     Fewer than ten groups are not scored: all of them come back with score 0.
     """
     totals = settle(totals.select(*keys, measure))
-    if totals.limit(FEWEST_GROUPS).count() < FEWEST_GROUPS:
+    n = totals.count()
+    if n < FEWEST_GROUPS:
         return totals.withColumn("anomaly", F.lit(None).cast("int")).withColumn(
             "risk_score", F.lit(0)
         )
     largest = totals.agg(F.max(measure)).scalar()
-    scored = anomaly_scores(totals, measure, keys)
+    scored = _scored(totals, n, measure, keys, TREES, SAMPLE, CONTAMINATION, SEED)
     share = F.col(measure) / F.when(F.col("_max") > 0, F.col("_max")).otherwise(F.lit(1))
     risk = F.when(F.col("anomaly") == -1, share * 90 + 10).otherwise(F.lit(0.0))
     return (

@@ -41,52 +41,65 @@ def entries(log: DataFrame) -> DataFrame:
     return log.where(F.col("action").isin("Merge", "Delete")).join(taken_back, "id", "left_anti")
 
 
-def active_patches(log: DataFrame) -> DataFrame:
-    """``(scope, original, target)``: the latest standing Merge per name.
+def rulings(log: DataFrame) -> DataFrame:
+    """``(scope, original, target, deleted)``: what stands for every name, in one pass.
 
-    ``max_by`` combines per task, so a name patched over and over is no hot spot.
+    ``target`` is the latest standing Merge (NULL if there is none). Partial
+    aggregation per task keeps a name that is ruled on over and over from
+    becoming a hot spot.
     """
+    merged = F.col("action") == "Merge"
     return (
         entries(log)
-        .where(F.col("action") == "Merge")
         .groupBy("scope", "original")
-        .agg(F.max_by("target", F.struct("ts", "id")).alias("target"))
+        .agg(
+            F.max(F.when(merged, F.struct("ts", "id", "target"))).getField("target").alias("target"),
+            F.bool_or(~merged).alias("deleted"),
+        )
     )
 
 
+def active_patches(log: DataFrame) -> DataFrame:
+    """``(scope, original, target)``: the latest standing Merge per name."""
+    return rulings(log).where(F.col("target").isNotNull()).drop("deleted")
+
+
 def active_deletions(log: DataFrame) -> DataFrame:
     """``(scope, original)`` with a standing Delete."""
-    return entries(log).where(F.col("action") == "Delete").select("scope", "original").distinct()
+    return rulings(log).where("deleted").select("scope", "original")
 
 
 # --- applying it to facts ----------------------------------------------------
 
 
 def apply_governance(df: DataFrame, log: DataFrame) -> DataFrame:
-    """Deletions on the raw names first (state, then district), then patches.
+    """Deletions on the raw names first (state and district), then patches.
 
     Patches are simultaneous: with a->b and b->c, a becomes b. Always start from
     the raw feed; patches are not stacked on patched data.
 
-    Patches and deletions are settled first. Their true size then decides the
-    join: small tables are broadcast and the facts never move; large ones go
-    through a shuffle join whose skewed partitions adaptive execution splits.
+    The rulings are settled first. Their true size then decides the join: a
+    small table is broadcast and the facts never move; a large one goes through
+    a shuffle join whose skewed partitions adaptive execution splits.
     """
-    return govern(df, settle(active_patches(log)), settle(active_deletions(log)))
+    return govern(df, settle(rulings(log)))
+
 
+def govern(df: DataFrame, ruled: DataFrame) -> DataFrame:
+    """``apply_governance`` with given rulings (shared by several feeds).
 
-def govern(df: DataFrame, patches: DataFrame, deletions: DataFrame) -> DataFrame:
-    """``apply_governance`` with given patches and deletions (for several feeds)."""
+    Both columns are looked up by their raw name, one join each.
+    """
     columns = df.columns
     for scope, column in SCOPE_COLUMNS.items():
-        gone = deletions.where(F.col("scope") == scope).select(F.col("original").alias(column))
-        df = df.join(gone, column, "left_anti")
-    for scope, column in SCOPE_COLUMNS.items():
-        fix = patches.where(F.col("scope") == scope).select(
-            F.col("original").alias(column), F.col("target").alias("_to")
+        of_scope = ruled.where(F.col("scope") == scope).select(
+            F.col("original").alias(column),
+            F.col("target").alias(f"_{column}"),
+            F.col("deleted").alias(f"_no_{column}"),
         )
-        df = df.join(fix, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
-    return df.select(*columns)
+        df = df.join(of_scope, column, "left").where(~F.coalesce(f"_no_{column}", F.lit(False)))
+    patched = {c: F.coalesce(f"_{c}", c).alias(c) for c in SCOPE_COLUMNS.values()}
+    return df.select(*[patched.get(c, F.col(c)) for c in columns])
 
 
 # --- from issues to log entries ----------------------------------------------

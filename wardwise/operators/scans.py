@@ -53,7 +53,7 @@ def district_scan(df: DataFrame, pick: str = "last") -> DataFrame:
         .groupBy("district", "pincode")
         .agg(F.count("*").alias("records"))
     )
-    counts = settle(cells.groupBy("district").agg(F.sum("records").alias("records")))
+    counts = cells.groupBy("district").agg(F.sum("records").alias("records"))
     pins = pin_pairs(cells)
     near = closest_matches(
         counts.select(F.col("district").alias("name")), DISTRICT_CANDIDATES, DISTRICT_CUTOFF
@@ -86,7 +86,7 @@ def district_scan(df: DataFrame, pick: str = "last") -> DataFrame:
     shown = picked.select(F.col("suspect").alias("district")).unionByName(
         picked.select(F.col("candidate").alias("district"))
     )
-    labels = settle(pin_labels(pins.join(shown.distinct(), "district", "left_semi")))
+    labels = pin_labels(pins.join(shown.distinct(), "district", "left_semi"))
     of_suspect = labels.select(F.col("district").alias("suspect"), F.col("pins").alias("s_pins"))
     of_fix = labels.select(F.col("district").alias("candidate"), F.col("pins").alias("c_pins"))
     conf = pair_ratio()

@@ -60,8 +60,8 @@ def name_tokens(names: DataFrame) -> DataFrame:
 
 def prefix_index(names: DataFrame, cutoff: float) -> DataFrame:
     """``(token, salts, name, len, rank, prefix)``: the rarest trigrams of each name."""
-    tokens = settle(name_tokens(names))
-    frequency = settle(tokens.groupBy("token").agg(F.count("*").alias("df")))
+    tokens = name_tokens(names)
+    frequency = tokens.groupBy("token").agg(F.count("*").alias("df"))
     # the widest prefix over all admissible partner lengths: linear in the partner
     # length, so it is reached at the shortest or at the longest partner
     slack = max(3.0 * (2.0 - 2.0 * cutoff) / (2.0 - cutoff), 2.0 * (2.0 / cutoff - 2.0))

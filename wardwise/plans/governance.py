@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame
 
 from wardwise.operators.aggregates import distinct_names
 from wardwise.operators.governance import (
-    active_deletions,
-    active_patches,
     as_events,
     default_actions,
     govern,
     pending,
+    rulings,
     tallies,
 )
 from wardwise.operators.scans import district_scan, state_scan
@@ -41,11 +40,8 @@ def review(enrol: DataFrame, log: DataFrame, scope: str) -> dict[str, DataFrame]
 
 
 def refresh(feeds: Feeds, log: DataFrame) -> Feeds:
-    """All three raw feeds with the patches and deletions now in force."""
-    patches, deletions = settle(active_patches(log)), settle(active_deletions(log))
+    """All three raw feeds under the rulings now in force."""
+    ruled = settle(rulings(log))
     return Feeds(
-        govern(feeds.enrol, patches, deletions),
-        govern(feeds.bio, patches, deletions),
-        govern(feeds.demo, patches, deletions),
-        feeds.log,
+        govern(feeds.enrol, ruled), govern(feeds.bio, ruled), govern(feeds.demo, ruled), feeds.log
     )

@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from wardwise.functions.parse import count_or_zero, day_first_date, pin_code
 from wardwise.functions.text import clean_name, missing_to_null
@@ -76,7 +76,12 @@ def union_files(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def _sum_of(df: DataFrame, parts: Sequence[str]):
-    present = [count_or_zero(c) for c in parts if c in df.columns]
+    def cell(name: str):
+        if isinstance(df.schema[name].dataType, T.IntegralType):
+            return F.coalesce(F.col(name).cast("bigint"), F.lit(0).cast("bigint"))
+        return count_or_zero(name)
+
+    present = [cell(c) for c in parts if c in df.columns]
     return reduce(lambda a, b: a + b, present) if present else F.lit(0).cast("bigint")
 
 
