@@ -400,7 +400,7 @@ from (select {k}max(p) as peak, avg(p) as mean from proj {f"group by {key}" if k
 oracle("capacity_plan", ENROL, SER, PROJ, _capacity(""))
 oracle("capacity_by_state", ENROL, SER_S, PROJ_S, _capacity("state"))
 _FUTURE = """
-union all select 'AI Projection', date, round(p, 6), round(p * 1.2::double, 6), round(p * 0.8::double, 6) from proj"""
+union all select 'AI Projection', date, """ + _BANDS + " from proj"
 oracle("forecast_envelope", ENROL, SER, PROJ, RECENT, """
 select 'Historical Data' as series, date, adult_enrolments::double as value,
        null::double as upper, null::double as lower from recent""" + _FUTURE)

@@ -52,7 +52,10 @@ def significant(df: DataFrame, digits: int = 10) -> DataFrame:
     """Doubles at so many significant digits, for paths of any magnitude."""
     return df.select(
         *[
-            F.format_string(f"%.{digits - 1}e", F.col(f.name)).cast("double").alias(f.name)
+            F.when(
+                F.col(f.name).isNotNull(),
+                F.format_string(f"%.{digits - 1}e", F.col(f.name)).cast("double"),
+            ).alias(f.name)
             if f.dataType.typeName() == "double"
             else F.col(f.name)
             for f in df.schema
@@ -364,13 +367,13 @@ def capacity_by_state(v):
 @query
 def forecast_envelope(v):
     enrol = v.enrol()
-    return rounded(fc.envelope(enrol, fc.forecast(agg.daily_totals(enrol))))
+    return significant(fc.envelope(enrol, fc.forecast(agg.daily_totals(enrol))))
 
 
 @query
 def forecast_envelope_daily(v):
     enrol = v.enrol()
-    return rounded(fc.envelope(enrol, fc.forecast(agg.daily_totals(enrol)), daily=True))
+    return significant(fc.envelope(enrol, fc.forecast(agg.daily_totals(enrol)), daily=True))
 
 
 @query

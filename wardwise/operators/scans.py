@@ -10,7 +10,7 @@ from wardwise.functions.similarity import closest_of, pair_ratio
 from wardwise.operators.aggregates import name_counts, pin_labels, pin_overlap, pin_pairs
 from wardwise.operators.similarity import closest_matches
 from wardwise.sources.dimensions import OFFICIAL_STATES
-from wardwise.sources.tables import settle
+from wardwise.sources.tables import settle, spread
 
 # Similarity cutoffs and number of candidates looked at.
 STATE_CUTOFF = 0.4
@@ -27,7 +27,8 @@ def state_scan(df: DataFrame, official: Sequence[str] = OFFICIAL_STATES) -> Data
     counts = name_counts(df, "state").where(~F.col("state").isin(*official))
     closest = closest_of(official, STATE_CUTOFF)
     return (
-        counts.withColumn("_m", closest("state"))
+        spread(counts, "state")
+        .withColumn("_m", closest("state"))
         .select(
             F.col("state").alias("Suspect"),
             F.col("_m.fix").alias("Fix"),

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardwise.functions.similarity import pair_ratio
-from wardwise.sources.tables import settle
+from wardwise.sources.tables import settle, spread
 
 PAD_LEFT, PAD_RIGHT = "\u0002\u0002", "\u0003\u0003"
 SALT_ROWS = 4096
@@ -122,7 +122,7 @@ def candidate_pairs(names: DataFrame, cutoff: float) -> DataFrame:
         & (F.col("rb") <= _prefix(lb, la, cutoff))
         & (first_shared == F.col("token"))
     )
-    return left.join(right, meet).select("a", "b")
+    return spread(left, "token", "salt").join(right, meet).select("a", "b")
 
 
 def similar_pairs(names: DataFrame, cutoff: float = 0.85) -> DataFrame:

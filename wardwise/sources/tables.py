@@ -34,6 +34,15 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash rows over all shuffle partitions, for steps whose cost is not in bytes.
+
+    Adaptive execution merges partitions by size; a few megabytes of names can
+    still be hours of text comparison, so their number is fixed here.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def write_canonical(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Canonical feed as Parquet, partitioned by month for date pruning.
 
@@ -47,7 +56,7 @@ def read_canonical(
     spark: SparkSession, path: str, feed: str, start: str | None = None, end: str | None = None
 ) -> DataFrame:
     """Canonical feed back, reading only the months the range touches."""
-    schema = feed_schema(feed).add("month", "int")
+    schema = feed_schema(feed).add("month", "integer")
     df = spark.read.schema(schema).parquet(path)
     if start is not None and end is not None:
         lo, hi = F.to_date(F.lit(start)), F.to_date(F.lit(end))
