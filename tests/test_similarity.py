@@ -57,7 +57,10 @@ def misspelled(draw):
 def test_similar_pairs_are_all_found(spark_module, names, cutoff):
     names = [n for n in names if n]
     df = spark_module.createDataFrame([(n,) for n in names] or [("x",)], "name string")
-    got = {(r.name, r.candidate): r.ratio for r in similarity.similar_pairs(df, cutoff).collect()}
+    ranked = similarity.ranked_tokens(df)
+    pairs = similarity.similar_pairs(ranked, ranked, cutoff).collect()
+    got = {(r.name, r.candidate): r.ratio for r in pairs}
+    assert len(got) == len(pairs)
     expected = {
         (a, b): ratio(b, a) for a in names for b in names if a != b and ratio(b, a) >= cutoff
     }
@@ -75,11 +78,19 @@ def test_salting_changes_nothing(spark, monkeypatch):
     assert joined(spark, names) == brute_close(names)
 
 
+def test_going_down_in_steps_changes_nothing(spark, monkeypatch):
+    names = [f"Ward Number {i:03d}" for i in range(120)]
+    names += [f"Circle {a}{b}" for a in "abcd" for b in "wxyz"] + ["Mysuru", "Mysore", "Mysoru", "Nashik"]
+    monkeypatch.setattr(similarity, "LIGHT_COMPARISONS", 0)
+    assert joined(spark, names) == brute_close(names)
+
+
 def test_prefix_bound_leaves_common_trigrams_out(spark):
     """Names that only share a common word are never compared."""
     names = ["Unique%s" % w for w in ("bcdfgh", "jklmnp", "qrstvw", "xzbdfh")]
     df = spark.createDataFrame([(n,) for n in names], "name string")
-    assert similarity.candidate_pairs(df, 0.85).count() == 0
+    ranked = similarity.ranked_tokens(df)
+    assert similarity.candidate_pairs(ranked, ranked, 0.85).count() == 0
 
 
 def facts_of(spark, *rows):
