@@ -52,13 +52,13 @@ def misspelled(draw):
     return "".join(name)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(misspelled(), min_size=2, max_size=40, unique=True), st.sampled_from([0.6, 0.75, 0.85, 0.95]))
-def test_similar_pairs_are_all_found(spark_module, names, cutoff):
+@settings(max_examples=14, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(misspelled(), min_size=2, max_size=40, unique=True), st.sampled_from([0.6, 0.75, 0.85, 0.95]), st.sampled_from([2, 3]))
+def test_similar_pairs_are_all_found(spark_module, names, cutoff, q):
     names = [n for n in names if n]
     df = spark_module.createDataFrame([(n,) for n in names] or [("x",)], "name string")
-    ranked = similarity.ranked_tokens(df)
-    pairs = similarity.similar_pairs(ranked, ranked, cutoff).collect()
+    ranked = similarity.ranked_tokens(df, q)
+    pairs = similarity.similar_pairs(ranked, ranked, cutoff, q).collect()
     got = {(r.name, r.candidate): r.ratio for r in pairs}
     assert len(got) == len(pairs)
     expected = {

@@ -2,19 +2,20 @@
 
 Two names at ratio ``2M/(la+lb) >= c`` share at least ``M`` characters in order,
 so one turns into the other by removing ``la-M`` characters and adding
-``lb-M``. A removed character destroys at most 3 of the ``la+2`` padded
-trigrams of the first name and an added one at most 2, hence the pair shares
-all but ``3(la-M) + 2(lb-M)`` of them. By the prefix-filter argument
-(Chaudhuri et al. 2006, Bayardo et al. 2007) it is then enough to index, per
-name, that many plus one of its trigrams *in any global order*, and we order by
-rarity: the trigrams that a third of all names contain come last and are
-hardly ever indexed. The filter is lossless; nothing is capped.
+``lb-M``. A removed character destroys at most ``q`` of the padded q-grams of the
+first name and an added one at most ``q-1``, hence the pair shares all but
+``q(la-M) + (q-1)(lb-M)`` of them. By the prefix-filter argument (Chaudhuri et
+al. 2006, Bayardo et al. 2007) it is then enough to index, per name, that many
+plus one of its q-grams *in any global order*, and we order by rarity: the grams
+that a third of all names contain come last and are hardly ever indexed. The
+filter is lossless; nothing is capped.
 
 Two more measures keep crowded neighbourhoods from costing the square of their
-size. A trigram that stays popular is salted by its measured frequency. And when
+size. A gram that stays popular is salted by its measured frequency. And when
 the index predicts much work, the search for the closest few goes down in steps
 of the ratio: a name that has its few at 0.97 cannot get others at 0.85, so it
-is not looked up again, and the strict steps have short prefixes.
+is not looked up again, and the strict steps have short prefixes. Every step
+uses trigrams or bigrams, whichever lets fewer pairs meet.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wardwise.functions.similarity import pair_ratio
 from wardwise.sources.tables import settle, spread
 
-PAD_LEFT, PAD_RIGHT = "\u0002\u0002", "\u0003\u0003"
+PAD_LEFT, PAD_RIGHT = "\u0002", "\u0003"
 SALT_ROWS = 4096
 LIGHT_COMPARISONS = 100_000_000
 FIRST_STEP, STEP = 0.97, 0.03
@@ -38,17 +39,18 @@ def _matched(la: Column, lb: Column, cutoff: float) -> Column:
     return F.ceil((la + lb) * (cutoff / 2.0) - EPS)
 
 
-def _prefix(la: Column, lb: Column, cutoff: float) -> Column:
-    """Trigrams of a name of length ``la`` to index against length ``lb``."""
+def _prefix(la: Column, lb: Column, cutoff: float, q: int) -> Column:
+    """Grams of a name of length ``la`` to index against length ``lb``."""
     m = _matched(la, lb, cutoff)
-    return ((la - m) * 3 + (lb - m) * 2 + 1).cast("int")
+    return ((la - m) * q + (lb - m) * (q - 1) + 1).cast("int")
 
 
-def name_tokens(names: DataFrame) -> DataFrame:
-    """``(name, len, token)``: padded trigrams, numbered when they repeat."""
-    padded = F.concat(F.lit(PAD_LEFT), F.col("name"), F.lit(PAD_RIGHT))
+def name_tokens(names: DataFrame, q: int) -> DataFrame:
+    """``(name, len, token)``: padded q-grams, numbered when they repeat."""
+    padded = F.concat(F.lit(PAD_LEFT * (q - 1)), F.col("name"), F.lit(PAD_RIGHT * (q - 1)))
     grams = F.transform(
-        F.sequence(F.lit(1), F.col("len") + 2), lambda i: F.substring(F.col("_p"), i, F.lit(3))
+        F.sequence(F.lit(1), F.col("len") + (q - 1)),
+        lambda i: F.substring(F.col("_p"), i, F.lit(q)),
     )
     numbered = F.transform(
         F.col("_g"),
@@ -65,9 +67,9 @@ def name_tokens(names: DataFrame) -> DataFrame:
     )
 
 
-def ranked_tokens(names: DataFrame) -> DataFrame:
-    """``(name, len, tokens)`` with the trigrams of each name, rarest first."""
-    tokens = name_tokens(names)
+def ranked_tokens(names: DataFrame, q: int = 3) -> DataFrame:
+    """``(name, len, tokens)`` with the q-grams of each name, rarest first."""
+    tokens = name_tokens(names, q)
     frequency = tokens.groupBy("token").agg(F.count("*").alias("df"))
     return (
         tokens.join(frequency, "token")
@@ -76,13 +78,14 @@ def ranked_tokens(names: DataFrame) -> DataFrame:
     )
 
 
-def prefix_index(ranked: DataFrame, cutoff: float) -> DataFrame:
+def prefix_index(ranked: DataFrame, cutoff: float, q: int) -> DataFrame:
     """``(name, len, prefix, rank, token, salts)``: what to look names up by.
 
     The widest prefix over all admissible partner lengths is linear in the
     partner length, so it is reached at the shortest or at the longest partner.
     """
-    slack = max(3.0 * (2.0 - 2.0 * cutoff) / (2.0 - cutoff), 2.0 * (2.0 / cutoff - 2.0))
+    shortest = q * (2.0 - 2.0 * cutoff) / (2.0 - cutoff)
+    slack = max(shortest, (q - 1) * (2.0 / cutoff - 2.0))
     longest = (F.floor(F.col("len") * slack + EPS) + 1).cast("int")
     prefix = F.slice("tokens", F.lit(1), F.least(F.size("tokens"), longest))
     return (
@@ -99,24 +102,27 @@ def prefix_index(ranked: DataFrame, cutoff: float) -> DataFrame:
     )
 
 
-def comparisons(ranked: DataFrame, cutoff: float) -> float:
-    """Pairs that meet on an indexed trigram: the work the join would do."""
-    sizes = prefix_index(ranked, cutoff).groupBy("token").agg(F.count("*").cast("double").alias("n"))
-    return sizes.agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0.0))).first()[0]
+def comparisons(wanted: DataFrame, ranked: DataFrame, cutoff: float, q: int) -> float:
+    """Pairs that meet on an indexed gram: the work the join would do."""
+    def sizes(side: DataFrame, name: str) -> DataFrame:
+        return prefix_index(side, cutoff, q).groupBy("token").agg(F.count("*").cast("double").alias(name))
 
+    met = sizes(wanted, "n").join(sizes(ranked, "m"), "token")
+    return met.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0.0))).first()[0]
 
-def candidate_pairs(wanted: DataFrame, ranked: DataFrame, cutoff: float) -> DataFrame:
+
+def candidate_pairs(wanted: DataFrame, ranked: DataFrame, cutoff: float, q: int = 3) -> DataFrame:
     """Directed pairs ``(name, candidate)`` that may reach the cutoff; each once.
 
-    A pair is kept only at the first trigram that both prefixes share, so no
+    A pair is kept only at the first gram that both prefixes share, so no
     shuffle is spent on removing duplicates.
     """
-    left = prefix_index(wanted, cutoff).select(
+    left = prefix_index(wanted, cutoff, q).select(
         F.col("name").alias("a"), F.col("len").alias("la"), F.col("prefix").alias("pa"),
         F.col("rank").alias("ra"), "token",
         F.pmod(F.xxhash64("name"), F.col("salts")).cast("int").alias("salt"),
     )
-    right = prefix_index(ranked, cutoff).select(
+    right = prefix_index(ranked, cutoff, q).select(
         F.col("name").alias("b"), F.col("len").alias("lb"), F.col("prefix").alias("pb"),
         F.col("rank").alias("rb"), F.col("token").alias("token_b"),
         F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt_b"),
@@ -124,8 +130,8 @@ def candidate_pairs(wanted: DataFrame, ranked: DataFrame, cutoff: float) -> Data
     la, lb = F.col("la"), F.col("lb")
     first_shared = F.element_at(
         F.array_intersect(
-            F.slice("pa", F.lit(1), _prefix(la, lb, cutoff)),
-            F.slice("pb", F.lit(1), _prefix(lb, la, cutoff)),
+            F.slice("pa", F.lit(1), _prefix(la, lb, cutoff, q)),
+            F.slice("pb", F.lit(1), _prefix(lb, la, cutoff, q)),
         ),
         1,
     )
@@ -134,8 +140,8 @@ def candidate_pairs(wanted: DataFrame, ranked: DataFrame, cutoff: float) -> Data
         & (F.col("salt") == F.col("salt_b"))
         & (F.col("a") != F.col("b"))
         & (F.least(la, lb) >= _matched(la, lb, cutoff))
-        & (F.col("ra") <= _prefix(la, lb, cutoff))
-        & (F.col("rb") <= _prefix(lb, la, cutoff))
+        & (F.col("ra") <= _prefix(la, lb, cutoff, q))
+        & (F.col("rb") <= _prefix(lb, la, cutoff, q))
         & (first_shared == F.col("token"))
     )
     return spread(left, "token", "salt").join(right, meet).select(
@@ -143,14 +149,14 @@ def candidate_pairs(wanted: DataFrame, ranked: DataFrame, cutoff: float) -> Data
     )
 
 
-def similar_pairs(wanted: DataFrame, ranked: DataFrame, cutoff: float) -> DataFrame:
+def similar_pairs(wanted: DataFrame, ranked: DataFrame, cutoff: float, q: int = 3) -> DataFrame:
     """``(name, candidate, ratio)`` at the cutoff or better, for the wanted names.
 
     The ratio depends on the order of its arguments: the candidate comes first.
     """
     ratio = pair_ratio()
     return (
-        candidate_pairs(wanted, ranked, cutoff)
+        candidate_pairs(wanted, ranked, cutoff, q)
         .withColumn("ratio", ratio("candidate", "name"))
         .where(F.col("ratio") >= cutoff)
     )
@@ -170,16 +176,23 @@ def closest_matches(names: DataFrame, n: int = 5, cutoff: float = 0.85) -> DataF
     rank the larger text first. The name itself is not returned.
     """
     others = n - 1
-    ranked = settle(ranked_tokens(names))
-    if comparisons(ranked, cutoff) <= LIGHT_COMPARISONS:
-        return _best(similar_pairs(ranked, ranked, cutoff), others)
-    found, wanted, step = [], ranked, FIRST_STEP
+    ranked = {3: settle(ranked_tokens(names, 3))}
+    if comparisons(ranked[3], ranked[3], cutoff, 3) <= LIGHT_COMPARISONS:
+        return _best(similar_pairs(ranked[3], ranked[3], cutoff), others)
+    ranked[2] = settle(ranked_tokens(names, 2))
+    wanted = dict(ranked)
+
+    def search(ratio: float) -> DataFrame:
+        q = min(wanted, key=lambda q: comparisons(wanted[q], ranked[q], ratio, q))
+        return similar_pairs(wanted[q], ranked[q], ratio, q)
+
+    found, step = [], FIRST_STEP
     while step > cutoff + EPS:
-        pairs = settle(similar_pairs(wanted, ranked, step))
+        pairs = settle(search(step))
         served = pairs.groupBy("name").agg(F.count("*").alias("_n")).where(F.col("_n") >= others)
         served = settle(served.select("name"))
         found.append(_best(pairs.join(served, "name", "left_semi"), others))
-        wanted = settle(wanted.join(served, "name", "left_anti"))
+        wanted = {q: settle(w.join(served, "name", "left_anti")) for q, w in wanted.items()}
         step -= STEP
-    found.append(_best(similar_pairs(wanted, ranked, cutoff), others))
+    found.append(_best(search(cutoff), others))
     return reduce(DataFrame.unionByName, found)
