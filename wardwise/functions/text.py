@@ -19,6 +19,13 @@ MISSING_TOKENS = (
 )
 
 _LETTER_RUN = r"[\p{IsUppercase}\p{IsLowercase}\p{Lt}]+"
+# A capital sigma inside a word that goes on after marks or punctuation is no
+# final sigma; the marker would hide that from initcap.
+_IGNORABLE = (
+    r"[\p{Mn}\p{Me}\p{Cf}\p{Lm}\p{Sk}'.:\u00b7\u0387\u055f\u05f4\u2018\u2019\u2024"
+    r"\u2027\ufe13\ufe52\ufe55\uff07\uff0e\uff1a]"
+)
+_INNER_SIGMA = rf"\u03a3(?={_IGNORABLE}+{_LETTER_RUN})"
 _PLAIN_WORDS = "^[A-Za-z ]*( & [A-Za-z ]*)*$"
 _MARK = "\u0001 "
 
@@ -29,7 +36,11 @@ def strip(col: Column | str) -> Column:
 
 
 def _marked_title(col: Column) -> Column:
-    marked = F.regexp_replace(col, _LETTER_RUN, _MARK + "$0")
+    capital, small = F.lit("\u03a3"), "\u03c3"
+    text = F.when(
+        F.contains(col, capital), F.regexp_replace(col, _INNER_SIGMA, small)
+    ).otherwise(col)
+    marked = F.regexp_replace(text, _LETTER_RUN, _MARK + "$0")
     return F.replace(F.initcap(marked), F.lit(_MARK), F.lit(""))
 
 
