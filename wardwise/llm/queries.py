@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from wardwise.llm import bpe
+from wardwise.llm import bpe, packing
 from wardwise.llm.common import table
 
 
@@ -14,8 +14,15 @@ def op1_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), path)
 
 
+def op5_best_fit_packing(spark, sf_dir):
+    """Pack all documents into sequences of 4096 word-BPE ids, each ended by id 1."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.packed(table(spark, sf_dir, "documents"), path, size=4096, end_id=1)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op5_best_fit_packing": op5_best_fit_packing,
 }
 
 #: DuckDB SQL where it can express the operator.
