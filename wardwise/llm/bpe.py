@@ -246,7 +246,7 @@ def codec(path: str, pattern: str = public_tokenizers.PATTERN) -> Codec:
 
 def encode(df: DataFrame, path: str, column: str = "text", into: str = "ids") -> DataFrame:
     """All columns, and the ids of ``column`` in ``into``. Nothing is shuffled."""
-    schema = StructType(df.drop(into).schema.fields).add(into, ArrayType(IntegerType()))
+    schema = StructType([*df.drop(into).schema.fields]).add(into, ArrayType(IntegerType()))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = codec(path)

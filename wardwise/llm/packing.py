@@ -254,7 +254,7 @@ def pack(pieces: DataFrame, size: int = 4096) -> DataFrame:
         .withColumn("_rank", F.col("nth") + F.col("_before"))
         .drop("_t", "_l", "_before", "task", "nth")
     )
-    schema = StructType(ranked.drop("_rank").schema.fields).add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*ranked.drop("_rank").schema.fields]).add("sequence_id", "long").add("offset", "long")
 
     def run(batches):
         for batch in batches:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from wardwise.llm import bpe, packing
+from wardwise.llm import bpe, language, packing, toxicity
 from wardwise.llm.common import table
 
 
@@ -20,9 +20,21 @@ def op5_best_fit_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), path, size=4096, end_id=1)
 
 
+def op6_language_id(spark, sf_dir):
+    """Language of every text, learnt outside the fold that is held out."""
+    return language.predicted(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark, sf_dir):
+    """Toxicity of every text, learnt from labels outside the fold that is held out."""
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_language_id": op6_language_id,
+    "op9_toxicity": op9_toxicity,
 }
 
 #: DuckDB SQL where it can express the operator.
