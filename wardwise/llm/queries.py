@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from wardwise.llm import bpe, language, packing, toxicity
+from wardwise.llm import bpe, chat, language, packing, pii, toxicity
 from wardwise.llm.common import table
 
 
@@ -14,6 +14,12 @@ def op1_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), path)
 
 
+def op4_pii(spark, sf_dir):
+    """Personal data in every text: base patterns, and what the field adds."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.digests(docs, pii.learn(docs))
+
+
 def op5_best_fit_packing(spark, sf_dir):
     """Pack all documents into sequences of 4096 word-BPE ids, each ended by id 1."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +31,11 @@ def op6_language_id(spark, sf_dir):
     return language.predicted(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark, sf_dir):
+    """Maximal conversations, rendered."""
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op9_toxicity(spark, sf_dir):
     """Toxicity of every text, learnt from labels outside the fold that is held out."""
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -32,10 +43,14 @@ def op9_toxicity(spark, sf_dir):
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op4_pii": op4_pii,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
+    "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
 }
 
 #: DuckDB SQL where it can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op8_chat_format": chat.ORACLE,
+}
