@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from wardwise.llm import bpe, chat, language, packing, pii, toxicity
+from wardwise.llm import bpe, chat, language, packing, pii, simhash, toxicity
 from wardwise.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op6_language_id(spark, sf_dir):
     return language.predicted(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark, sf_dir):
+    """Fingerprints of all texts, and the component each belongs to."""
+    return simhash.clustered(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark, sf_dir):
     """Maximal conversations, rendered."""
     return chat.formatted(table(spark, sf_dir, "conversations"))
@@ -46,6 +51,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
+    "op7_simhash": op7_simhash,
     "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
 }
