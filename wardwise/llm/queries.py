@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from wardwise.llm import bpe, chat, language, packing, pii, simhash, toxicity
+from wardwise.llm import bpe, chat, language, packing, pii, simhash, suffix, toxicity
 from wardwise.llm.common import table
 
 
@@ -46,6 +46,11 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    """Bytes of every text that a string of 400 repeated bytes covers."""
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op4_pii": op4_pii,
@@ -54,6 +59,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 #: DuckDB SQL where it can express the operator.
