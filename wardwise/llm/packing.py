@@ -34,7 +34,8 @@ from pyspark.sql.types import BinaryType, StructType
 from wardwise.llm.common import LOADED
 from wardwise.sources.tables import settle
 
-CHUNK_MEMORY = 150_000
+CHUNK_MEMORY = 250_000
+END = "</w>"  # of the tokens that end a word
 GROUPS = 64
 LARGE = 8  # a length over 1/8 of the size is large
 
@@ -55,10 +56,43 @@ class Chunks:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def learn(self, chunks: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        for chunk, encoded in zip(chunks, found):
-            self.young[chunk] = np.array(encoded.ids, "<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(END)]] = True
+        self.words: dict[str, bytes] = {}
+        self.marks = {mark: self.one(mark) for mark in ".,"}
+
+    def one(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, chunks: set[str]) -> None:
+        """Ids of new chunks. A word with a full stop or comma is the word and the sign."""
+        words, young, signed = self.words, self.young, {}
+        if len(words) > CHUNK_MEMORY:
+            words.clear()
+        for chunk in chunks:
+            mark = chunk[-1:]
+            word = chunk[:-1] if mark in self.marks else chunk
+            lower = word.lower()
+            if word.isalpha() and lower.isalpha():  # else some letters turn into letter and sign
+                signed[chunk] = lower if word.isascii() else word
+            else:
+                young[chunk] = self.one(chunk)
+        new = set(signed.values()).difference(words)
+        if new:
+            self.learn_words(list(new))
+        for chunk, word in signed.items():
+            young[chunk] = words[word] + self.marks.get(chunk[-1], b"")
+
+    def learn_words(self, words: list[str]) -> None:
+        """Words go through the tokenizer together; each has one token that ends it."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) == len(words):
+            whole = ids.tobytes()
+            self.words.update((w, whole[a:b]) for w, a, b in zip(words, [0, *stops], stops))
+        else:  # a letter that turns into more than one, or a tokenizer without such ends
+            self.words.update((w, self.one(w)) for w in words)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -66,15 +100,11 @@ class Chunks:
         young, old = self.young, self.old
         if len(young) > CHUNK_MEMORY:
             self.young, self.old = young, old = {}, young
-        new = []
-        for chunk in set(chunks):
-            if chunk not in young:
-                if chunk in old:
-                    young[chunk] = old[chunk]
-                else:
-                    new.append(chunk)
+        new = set(chunks).difference(young)
         if new:
-            self.learn(new)
+            known = {chunk for chunk in new if chunk in old}
+            young.update((chunk, old[chunk]) for chunk in known)
+            self.learn(new - known)
         return b"".join(map(young.__getitem__, chunks))
 
 
