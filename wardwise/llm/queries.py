@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from wardwise.llm import bpe, chat, language, packing, pii, simhash, suffix, toxicity
+from wardwise.llm import ann, bpe, chat, language, packing, pii, simhash, suffix, toxicity
 from wardwise.llm.common import table
 
 
@@ -14,6 +15,11 @@ def op1_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), path)
 
 
+def op3_collision_ann(spark, sf_dir):
+    """The 20 nearest by inner product of every vector whose id is divisible by 20."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_pii(spark, sf_dir):
     """Personal data in every text: base patterns, and what the field adds."""
     docs = table(spark, sf_dir, "documents")
@@ -53,6 +59,7 @@ def op10_suffix_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_collision_ann": op3_collision_ann,
     "op4_pii": op4_pii,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
