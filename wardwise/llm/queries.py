@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wardwise.llm import ann, bpe, chat, language, packing, pii, simhash, suffix, toxicity
+from wardwise.llm import ann, bm25, bpe, chat, language, packing, pii, simhash, suffix, toxicity
 from wardwise.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), path)
 
 
+def op2_bm25(spark, sf_dir):
+    """The 10 best rows for every text whose id is divisible by 50, as a query, against all."""
+    return bm25.top_k(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0, k=10)
+
+
 def op3_collision_ann(spark, sf_dir):
     """The 20 nearest by inner product of every vector whose id is divisible by 20."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
@@ -59,6 +64,7 @@ def op10_suffix_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_bm25": op2_bm25,
     "op3_collision_ann": op3_collision_ann,
     "op4_pii": op4_pii,
     "op5_best_fit_packing": op5_best_fit_packing,
