@@ -79,9 +79,9 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("group", [2000, 3])
+@pytest.mark.parametrize("group", [256, 3])
 def test_against_all_strings(rows, monkeypatch, group):
-    monkeypatch.setattr(suffix, "GROUP", group)  # 3: nearly every group is split by content
+    monkeypatch.setattr(suffix, "GROUP", group)  # at 3 nearly every group is split by content
     texts = corpus()
     made = [(i if i % 9 else None, t, 1, "x", 2, 3) for i, t in enumerate(texts)]
     df = rows("doc_id long, text string, n int, key string, fp long, start int", *made)

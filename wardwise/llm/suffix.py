@@ -43,7 +43,7 @@ from wardwise.sources.tables import settle
 LENGTH, MER = 400, 200
 SIDE = LENGTH - MER
 SHALLOW, CHUNK = 32, 8
-GROUP = 2000
+GROUP = 256
 MANY = 24  # members from which pairs are compared in bulk
 
 
@@ -272,9 +272,9 @@ def repeated(group: list[tuple[int, int, bytes]], low: int, high: int) -> list[l
         for row, i in enumerate(part):
             fits = first[row] <= last[row]
             fits[i] = False
-            marks = np.zeros(SIDE + 2, "i4")
-            np.add.at(marks, first[row][fits], 1)
-            np.add.at(marks, last[row][fits] + 1, -1)
+            if not fits.any():
+                continue
+            marks = np.bincount(first[row][fits], minlength=SIDE + 2) - np.bincount(last[row][fits] + 1, minlength=SIDE + 2)
             covered = np.flatnonzero(np.cumsum(marks)[: SIDE + 1] > 0)
             if len(covered):
                 for run in np.split(covered, np.flatnonzero(np.diff(covered) > 1) + 1):
@@ -317,33 +317,48 @@ def surroundings(df: DataFrame, wanted: DataFrame, column: str = "text") -> Data
 
 
 def _halves(groups: DataFrame) -> DataFrame:
-    """Each group as two, by what the strings of either half have in common."""
+    """Each group as two, by what the strings of either half have in common.
+
+    ``same`` is a hash of all that those strings of a member can cover.
+    """
     mid = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
     halves = F.array(F.struct("low", mid.alias("high")), F.struct((mid + 1).alias("low"), "high"))
     split = groups.withColumn("_h", F.explode(halves)).drop("low", "high").select("*", "_h.low", "_h.high").drop("_h")
     right = F.octet_length("bytes") - F.col("left")
     whole = split.where((F.col("left") >= F.col("low")) & (right >= LENGTH - F.col("high")))
     middle = F.expr(f"substring(bytes, left - low + 1, {LENGTH} - high + low)")
-    return whole.withColumn("key", F.xxhash64("key", "low", "high", middle))
+    before = F.least("left", "high")
+    reach = F.least(right, LENGTH - F.col("low"))
+    cover = F.substring("bytes", F.col("left") - before + 1, before + reach)
+    return whole.withColumns({"key": F.xxhash64("key", "low", "high", middle), "same": F.xxhash64(before, reach, cover)})
 
 
 def compared(classes: DataFrame) -> DataFrame:
-    """Spans of classes of one, from comparison within their groups."""
+    """Spans of classes of one, from comparison within their groups.
+
+    Splitting joins classes again: what made them differ may lie outside the half.
+    """
     spans = None
-    groups = classes.withColumns({"low": F.lit(0), "high": F.lit(SIDE)})
+    groups = settle(classes.withColumns({"low": F.lit(0), "high": F.lit(SIDE)}))
     of = ["key", "low", "high"]
     while True:
-        groups = settle(groups)
-        large = settle(
-            groups.groupBy(*of).agg(F.count("*").alias("_c")).where(f"_c > {GROUP} and low < high").drop("_c")
-        )
+        sizes = groups.groupBy(*of).agg(F.count("*").alias("_c"), F.count_if(F.col("size") == 1).alias("_s"))
+        large = settle(sizes.where(f"_c > {GROUP} and _s > 0 and low < high").select(*of))
         some = not large.isEmpty()
-        small = groups.join(large, of, "left_anti") if some else groups
-        found = _sorted_groups(small)
+        found = _sorted_groups(groups.join(large, of, "left_anti") if some else groups)
         spans = found if spans is None else spans.unionAll(found)
         if not some:
             return spans
-        groups = _halves(groups.join(large, of, "left_semi"))
+        split = settle(_halves(groups.join(large, of, "left_semi")))
+        alike = split.groupBy(*of, "same").agg(F.sum("size").alias("total"), F.min(F.struct("fp", "n", "at")).alias("rep"))
+        joined = settle(split.join(alike, [*of, "same"]))
+        again = joined.where("size = 1 and total > 1").select(
+            "fp", "n", (F.col("at") - F.least("left", "high")).alias("start"),
+            F.least(F.col("at") - F.col("low") + LENGTH, "n").alias("end"),
+        )
+        spans = spans.unionAll(again)
+        groups = joined.where(F.struct("fp", "n", "at") == F.col("rep")).withColumn("size", F.col("total"))
+        groups = groups.select(*classes.columns, "low", "high")
 
 
 def _sorted_groups(groups: DataFrame) -> DataFrame:
@@ -386,7 +401,7 @@ def repeated_spans(df: DataFrame, column: str = "text") -> DataFrame:
     """(fp, n, start, end): spans of texts (by hash and length) that are repeated."""
     found = settle(anchors(df, column))
     keys = found.groupBy("key").agg(F.count("*").alias("members"), F.min("ctx").alias("_a"), F.max("ctx").alias("_b"))
-    keys = keys.where("members > 1").select("key", (F.col("_a") != F.col("_b")).alias("mixed"))
+    keys = settle(keys.where("members > 1").select("key", (F.col("_a") != F.col("_b")).alias("mixed")))  # a hot key can then be split
     shared = settle(found.join(keys, "key"))
     mixed = shared.where("mixed").drop("mixed")
     classes = settle(
