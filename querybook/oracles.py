@@ -39,6 +39,10 @@ DEMO = """demo as (
 _RAW_KEYS = """
     case when {key} % 97 = 0 then 'not a date'
          when {key} % 89 = 0 then strftime({day}, '%Y-%m-%d')
+         when {key} % 83 = 0 then strftime({day}, '%d-%m-%y')
+         when {key} % 79 = 0 then strftime({day}, '%-d %b %Y')
+         when {key} % 73 = 0 then strftime({day}, '%Y-%m-%d 00:00:00')
+         when {key} % 71 = 0 then strftime({day}, '%-d/%B/%y')
          else strftime({day}, '%d-%m-%Y') end as date,
     case c.k % 5 when 0 then lower(c.state) when 1 then concat(' ', c.state, ' ')
          when 2 then 'jammu & kashmir' when 3 then 'o''brien-nagar y.s.r.' else c.state end as state,
@@ -167,7 +171,9 @@ select *, (coalesce(bio_age_5_17, 0) + coalesce(bio_age_17_, 0))::bigint as bio_
 oracle("demo_measure", RAW_DEMO, """
 select *, (coalesce(demo_age_5_17, 0) + coalesce(demo_age_17_, 0))::bigint as update_volume from raw_demo""")
 
-_PARSED = """cast(coalesce(try_strptime(date, '%d-%m-%Y'), try_strptime(date, '%Y-%m-%d')) as date)"""
+_PARSED = """cast(coalesce(try_strptime(date, '%d-%m-%y'), try_strptime(date, '%d-%m-%Y'), try_strptime(date, '%Y-%m-%d'),
+    try_strptime(date, '%d %b %Y'), try_strptime(date, '%Y-%m-%d %H:%M:%S'),
+    try_strptime(date, '%d/%B/%y')) as date)"""
 _PIN = "coalesce(trunc(try_cast(pincode as double)), 0)::int"
 
 
@@ -221,7 +227,7 @@ select district, sum(adult_enrolments)::bigint as adult_enrolments from enrol gr
 oracle("kpi_analytics", ENROL, f"""
 select coalesce(sum(adult_enrolments), 0)::bigint as total_enrolments,
        count(distinct state) as active_states, count(distinct district) as active_districts
-from enrol where {RANGE}""")
+from enrol""")
 oracle("hotspot", ENROL, """
 select district as hotspot, sum(adult_enrolments)::bigint as hotspot_volume
 from enrol group by district order by 2 desc, 1 limit 1""")
@@ -258,11 +264,11 @@ oracle("state_filter", ENROL, f"select * from enrol where state in {STATES}")
 oracle("date_range_view", ENROL, f"select * from enrol where {RANGE}")
 oracle("regional_export", ENROL, f"""
 select state, district, sum(adult_enrolments)::bigint as adult_enrolments
-from enrol where {RANGE} group by state, district""")
+from enrol group by state, district""")
 oracle("trend_export", ENROL, f"""
-select date, sum(adult_enrolments)::bigint as adult_enrolments from enrol where {RANGE} group by date""")
+select date, sum(adult_enrolments)::bigint as adult_enrolments from enrol where date is not null group by date""")
 oracle("top_states", ENROL, f"""
-select state, sum(adult_enrolments)::bigint as adult_enrolments from enrol where {RANGE}
+select state, sum(adult_enrolments)::bigint as adult_enrolments from enrol
 group by state order by 2 desc, 1 limit 10""")
 oracle("watchlist", ENROL, """
 select state, district, sum(adult_enrolments)::bigint as adult_enrolments from enrol
@@ -420,7 +426,7 @@ FOREST = """size as (select least(256, count(*)) as psi, ceil(log2(greatest(leas
 samp as (
   select t, x from (
     select t, adult_enrolments::double as x,
-           row_number() over (partition by t order by md5(concat_ws('|', t::varchar, state, district)), state, district) as rn
+           row_number() over (partition by t order by md5(concat_ws('|', '42', t::varchar, state, district)), state, district) as rn
     from share, range(100) r(t)) where rn <= 256),
 lv(t, node, x, lo, hi) as (
   select t, '', x, '-infinity'::double, 'infinity'::double from samp
@@ -454,6 +460,11 @@ risk as (
   where anomaly = -1)"""
 oracle("anomaly_scores", ENROL, SHARE, FOREST, """
 select state, district, adult_enrolments, round(score, 6) as score, anomaly from flagged""")
+_BY_PIN = FOREST.replace("state, district", "state, district, pincode").replace(" from share", " from by_pin")
+oracle("anomaly_by_pin", ENROL, """by_pin as (
+  select state, district, pincode, sum(adult_enrolments)::bigint as adult_enrolments from enrol group by all)""",
+       _BY_PIN, """
+select state, district, pincode, adult_enrolments, round(score, 6) as score, anomaly from flagged""")
 oracle("anomaly_threshold", ENROL, SHARE, FOREST, """
 select round(max(threshold), 6) as threshold, count(*) filter (where anomaly = -1) as flagged,
        count(*) as groups from flagged""")

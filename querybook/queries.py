@@ -180,7 +180,7 @@ def district_totals(v):
 
 @query
 def kpi_analytics(v):
-    return agg.volume_and_reach(filters.in_date_range(v.enrol(), *RANGE))
+    return agg.volume_and_reach(v.enrol())
 
 
 @query
@@ -215,7 +215,7 @@ def pin_labels(v):
 
 @query
 def pin_overlap(v):
-    """Every district name against the official name of the same customer."""
+    """Every district name against its closest names: do their PIN sets meet?"""
     dirty = v.dirty_enrol()
     pins = settle(agg.pin_pairs(dirty))
     near = similarity.closest_matches(pins.select(F.col("district").alias("name")).distinct())
@@ -251,7 +251,7 @@ def date_range_view(v):
 
 @query
 def top_states(v):
-    return ranking.top_states(filters.in_date_range(v.enrol(), *RANGE))
+    return ranking.top_states(v.enrol())
 
 
 @query
@@ -390,6 +390,14 @@ def anomaly_scores(v):
     return rounded(scored.drop("threshold"))
 
 
+@query
+def anomaly_by_pin(v):
+    """Groups by PIN too: many more than the forest samples, so its pre-filter is on."""
+    keys = ("state", "district", "pincode")
+    scored = anomaly.anomaly_scores(agg.totals_by(v.enrol(), keys), keys=keys)
+    return rounded(scored.drop("threshold"))
+
+
 @query
 def anomaly_threshold(v):
     scored = anomaly.anomaly_scores(agg.market_share(v.enrol()))
@@ -448,12 +456,12 @@ def format_kpis(v):
 
 @query
 def regional_export(v):
-    return exports.regional(filters.in_date_range(v.enrol(), *RANGE))
+    return exports.regional(v.enrol())
 
 
 @query
 def trend_export(v):
-    return exports.trends(filters.in_date_range(v.enrol(), *RANGE))
+    return exports.trends(v.enrol())
 
 
 @query

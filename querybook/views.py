@@ -86,6 +86,10 @@ class Views:
         date = (
             F.when(order % 97 == 0, F.lit("not a date"))
             .when(order % 89 == 0, F.col("date").cast("string"))
+            .when(order % 83 == 0, F.date_format("date", "dd-MM-yy"))
+            .when(order % 79 == 0, F.date_format("date", "d MMM yyyy"))
+            .when(order % 73 == 0, F.date_format("date", "yyyy-MM-dd HH:mm:ss"))
+            .when(order % 71 == 0, F.date_format("date", "d/MMMM/yy"))
             .otherwise(F.date_format("date", "dd-MM-yyyy"))
         )
         state = (

@@ -68,6 +68,15 @@ def test_dates(spark):
         " 03-04-2025 ": date(2025, 4, 3),
         "03-04-2025 10:30": date(2025, 4, 3),
         "2025-04-03 10:30:00": date(2025, 4, 3),
+        "03-04-25": date(2025, 4, 3),
+        "3/4/69 08:15": date(1969, 4, 3),
+        "3 Apr 2025": date(2025, 4, 3),
+        "03-september-24": date(2024, 9, 3),
+        "3 Apr, 2025 10:00": date(2025, 4, 3),
+        "3 Abc 2025": None,
+        "3 anf 2025": None,
+        "2025-04-03T10:30:00Z": date(2025, 4, 3),
+        "31-02-25": None,
         "31-02-2025": None,
         "13-13-2025": None,
         "not a date": None,

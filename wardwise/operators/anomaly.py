@@ -5,7 +5,7 @@ reduces the data to a small model, the model then scores rows in vectorized
 batches.
 
 Fit. Every tree takes the ``sample`` groups with the smallest digest of
-(tree, key), a sample without replacement that no re-partitioning can change.
+(seed, tree, key), a sample without replacement that no re-partitioning can change.
 The per-tree top-k is cut before the shuffle, trees grow in parallel with at
 most ``sample`` rows each, and all trees collapse into one step function
 "volume -> summed path length" with at most ``trees * sample`` steps. Only that
@@ -70,14 +70,18 @@ class ForestModel:
 
 def draw_samples(
     totals: DataFrame, n: int, measure: str, keys: Sequence[str], trees: int, sample: int,
-    prefilter: bool = True,
+    seed: int = SEED, prefilter: bool = True,
 ) -> DataFrame:
-    """``(tree, value)`` with the ``min(sample, n)`` smallest digests of each tree."""
+    """``(tree, value)`` with the ``min(sample, n)`` smallest digests of each tree.
+
+    The pre-filter keeps four times the rows a tree needs, by a bound on the digest;
+    a tree that then lacks rows is noticed by ``fit_forest``.
+    """
     rows = totals.select(
         *keys,
         F.col(measure).cast("double").alias("value"),
         F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"),
-    ).withColumn("_digest", digest(F.col("tree"), *[F.col(k) for k in keys]))
+    ).withColumn("_digest", digest(F.lit(seed), F.col("tree"), *[F.col(k) for k in keys]))
     share = 4.0 * sample / n
     if prefilter and share < 1.0:
         rows = rows.where(hex_number(F.col("_digest"), 1) < F.lit(int(share * TWO_32)))
@@ -128,22 +132,29 @@ def fit_forest(
     seed: int = SEED,
     n: int | None = None,
 ) -> ForestModel:
-    """Fit on one row per key; ``n`` is their number when already known."""
+    """Fit on one row per key; ``n`` is their number when already known.
+
+    ``trees * sample`` is the size of the model, whatever the data; up to
+    ``MAX_STEPS`` is a limit of these two parameters, not of the input.
+    """
     if trees * sample > MAX_STEPS:
         raise ValueError(f"a model of {trees * sample} steps does not belong on the driver")
     n = totals.count() if n is None else n
     size = min(sample, n)
     depth_limit = math.ceil(math.log2(max(size, 2)))
     for prefilter in (True, False):
-        samples = draw_samples(totals, n, measure, keys, trees, size, prefilter)
+        samples = draw_samples(totals, n, measure, keys, trees, size, seed, prefilter)
         steps = (
             grow_trees(samples, seed, depth_limit)
             .groupBy("start")
-            .agg(F.sum("delta").alias("delta"), F.min("rows").alias("rows"))
+            .agg(
+                F.sum("delta").alias("delta"), F.min("rows").alias("rows"),
+                F.count(F.when(F.col("start") == -math.inf, 1)).alias("trees"),
+            )
             .toPandas()  # bounded by trees * sample, checked above
             .sort_values("start")
         )
-        if len(steps) and steps["rows"].min() == size:
+        if len(steps) and steps["rows"].min() == size and steps["trees"].sum() == trees:
             break
     return ForestModel(
         steps["start"].to_numpy(), np.cumsum(steps["delta"].to_numpy()), trees, size

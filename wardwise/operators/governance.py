@@ -22,6 +22,7 @@ AUTO_FIX_ABOVE = 0.9
 MERGE_ABOVE = 0.85
 DEFAULT_USER = "Admin_01"
 NO_TARGET = "N/A"
+CHANGED_TO, DELETED = " -> ", "Del: "
 ISSUES_PER_PAGE, LOG_PER_PAGE = 10, 15
 SCOPE_COLUMNS = {"State": "state", "District": "district"}
 
@@ -36,9 +37,22 @@ def audit_order() -> list[Column]:
 
 
 def entries(log: DataFrame) -> DataFrame:
-    """Merge and Delete entries that no Revert event takes back."""
-    taken_back = log.where(F.col("action") == "Revert").select(F.col("target").alias("id"))
-    return log.where(F.col("action").isin("Merge", "Delete")).join(taken_back, "id", "left_anti")
+    """Merge and Delete entries that no Revert event takes back, in one pass.
+
+    A Revert event and what it takes back meet under one id; ids are unique, so a
+    group is one entry and the events that revert it.
+    """
+    taken_back = F.col("action") == "Revert"
+    return (
+        log.where(F.col("action").isin("Merge", "Delete", "Revert"))
+        .groupBy(F.when(taken_back, F.col("target")).otherwise(F.col("id")).alias("_id"))
+        .agg(
+            F.bool_or(taken_back).alias("_back"),
+            F.max(F.when(~taken_back, F.struct(*LOG_COLUMNS))).alias("_entry"),
+        )
+        .where(~F.col("_back") & F.col("_entry").isNotNull())
+        .select("_entry.*")
+    )
 
 
 def rulings(log: DataFrame) -> DataFrame:
@@ -242,8 +256,8 @@ def audit_display(rows: DataFrame) -> DataFrame:
         "id",
         F.date_format("ts", "HH:mm:ss").alias("time"),
         F.concat_ws(" ", "scope", "action").alias("action"),
-        F.when(F.col("action") == "Merge", F.concat_ws(" -> ", "original", "target"))
-        .otherwise(F.concat(F.lit("Del: "), F.col("original")))
+        F.when(F.col("action") == "Merge", F.concat_ws(CHANGED_TO, "original", "target"))
+        .otherwise(F.concat(F.lit(DELETED), F.col("original")))
         .alias("change"),
         "user",
     )

@@ -13,15 +13,17 @@ def workload_by_district(enrol: DataFrame, bio: DataFrame) -> DataFrame:
     """Enrolments and biometric updates per district *name*, 0 where one is missing.
 
     Both feeds are summed before the join, so the join sees one row per name.
-    With no enrolments at all the result is empty.
+    With no enrolments at all the result is empty. Whether there are any is read
+    off the sums, those of rows without a name included: the scalar query and the
+    join share one aggregation, so each feed is read once.
     """
-    e = totals_by(enrol, ("district",)).withColumnRenamed(ENROL_MEASURE, "Enrolments")
+    e = enrol.groupBy("district").agg(F.sum(ENROL_MEASURE).alias("Enrolments"))
     b = totals_by(bio, ("district",), BIO_MEASURE).withColumnRenamed(BIO_MEASURE, "Bio_Updates")
-    any_enrolment = enrol.limit(1).agg(F.count(F.lit(1))).scalar() > 0
+    any_enrolment = e.agg(F.max(F.struct("district", "Enrolments"))).scalar().isNotNull()
     return (
         e.join(b, "district", "full_outer")
+        .where(F.col("district").isNotNull() & any_enrolment)
         .fillna(0, subset=["Enrolments", "Bio_Updates"])
-        .where(any_enrolment)
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from wardwise.operators.aggregates import distinct_names
 from wardwise.operators.governance import (
@@ -24,7 +24,7 @@ from wardwise.sources.tables import settle
 def review(enrol: DataFrame, log: DataFrame, scope: str) -> dict[str, DataFrame]:
     """Pending issues of one scope with the proposed decisions and their events."""
     issues = settle(state_scan(enrol) if scope == "State" else district_scan(enrol))
-    open_issues = settle(pending(issues, log, scope))
+    open_issues = settle(pending(issues, log, scope)).orderBy(F.desc("Conf"), "Suspect")
     options: DataFrame | Sequence[str] = (
         OFFICIAL_STATES
         if scope == "State"

@@ -27,6 +27,7 @@ def feed_stream(
     raw = (
         spark.readStream.schema(", ".join(f"`{n}` string" for n in names))
         .option("header", True)
+        .option("enforceSchema", False)  # another header is an error, not other columns
         .option("escape", '"')
         .option("pathGlobFilter", glob)
         .csv(folder)
