@@ -111,6 +111,25 @@ def test_settle_is_a_table(spark):
     assert tables.settle(df.where("false")).count() == 0
 
 
+def test_nothing_is_left_behind(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "shared_folder", lambda spark: str(tmp_path / "shared"))
+    tables.release(spark)
+    tables.settle(spark.range(3)), tables.settle(spark.range(4))
+    assert len(list((tmp_path / "shared").iterdir())) == 2
+    assert tables.release(spark) == 2 and tables.release(spark) == 0
+    assert list((tmp_path / "shared").iterdir()) == []
+
+
+def test_shared_folder_is_never_machine_local():
+    class Session:
+        conf = {"spark.sql.warehouse.dir": "hdfs://shared/warehouse/"}
+        sparkContext = type("Context", (), {"getCheckpointDir": lambda self: None})()
+
+    assert tables.shared_folder(Session) == "hdfs://shared/warehouse/settled"
+    Session.conf = {**Session.conf, "spark.checkpoint.dir": "hdfs://shared/checkpoints/"}
+    assert tables.shared_folder(Session) == "hdfs://shared/checkpoints"
+
+
 def read_csv(path):
     out = []
     for part in sorted(path.glob("part-*.csv")):

@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardwise.schema import feed_schema
 
+#: paths settled so far, by application
+SETTLED: dict[str, list[str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only on a local master."""
+    """The cluster's checkpoint folder; without one, a folder in the session's warehouse.
+
+    Both are shared by all executors. No machine-local folder is ever used.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wardwise-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return folder.rstrip("/") if folder else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/settled"
+
+
+def release(spark: SparkSession) -> int:
+    """Drop all tables settled so far; returns how many.
+
+    For the end of a run: results that were not written or collected yet are
+    lost with them. What is left when the driver ends is dropped then.
+    """
+    paths = SETTLED.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
+
+
+@atexit.register
+def _release_at_end() -> None:
+    spark = SparkSession.getActiveSession() if SparkContext._active_spark_context else None
+    if spark is not None:
+        release(spark)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -30,6 +53,7 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    SETTLED.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
