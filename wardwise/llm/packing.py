@@ -22,6 +22,7 @@ keys are packed like any others, each on its own. An empty table gives no rows.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections import defaultdict, deque
 
@@ -35,7 +36,10 @@ from wardwise.llm.common import LOADED
 from wardwise.sources.tables import settle
 
 CHUNK_MEMORY = 250_000
-END = "</w>"  # of the tokens that end a word
+WORD_MEMORY = 600_000
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: fixed by byte-level tokenizers: bytes without a sign of their own take those from 256 on
+SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
 GROUPS = 64
 LARGE = 8  # a length over 1/8 of the size is large
 
@@ -43,7 +47,8 @@ LARGE = 8  # a length over 1/8 of the size is large
 class Chunks:
     """Ids of whole texts, remembering those between two blanks.
 
-    Sound for tokenizers that drop white space before their merges and whose
+    Sound for byte-level tokenizers that drop white space before their merges, take a
+    run of letters as one unit and a sign after it as another, and whose
     normalization does not reach across an ASCII blank or line break.
     """
 
@@ -56,9 +61,7 @@ class Chunks:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith(END)]] = True
+        self.model, self.normalize = self.tokenizer.model, self.tokenizer.normalizer.normalize_str
         self.words: dict[str, bytes] = {}
         self.marks = {mark: self.one(mark) for mark in ".,"}
 
@@ -68,31 +71,28 @@ class Chunks:
     def learn(self, chunks: set[str]) -> None:
         """Ids of new chunks. A word with a full stop or comma is the word and the sign."""
         words, young, signed = self.words, self.young, {}
-        if len(words) > CHUNK_MEMORY:
+        if len(words) > WORD_MEMORY:
             words.clear()
         for chunk in chunks:
             mark = chunk[-1:]
             word = chunk[:-1] if mark in self.marks else chunk
-            lower = word.lower()
-            if word.isalpha() and lower.isalpha():  # else some letters turn into letter and sign
-                signed[chunk] = lower if word.isascii() else word
+            plain = word.lower() if word.isascii() else self.normalize(word)
+            if word.isalpha() and plain.isalpha():  # some letters turn into letter and sign
+                signed[chunk] = plain
             else:
                 young[chunk] = self.one(chunk)
         new = set(signed.values()).difference(words)
         if new:
-            self.learn_words(list(new))
+            self.learn_words(new)
         for chunk, word in signed.items():
             young[chunk] = words[word] + self.marks.get(chunk[-1], b"")
 
-    def learn_words(self, words: list[str]) -> None:
-        """Words go through the tokenizer together; each has one token that ends it."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(stops) == len(words):
-            whole = ids.tobytes()
-            self.words.update((w, whole[a:b]) for w, a, b in zip(words, [0, *stops], stops))
-        else:  # a letter that turns into more than one, or a tokenizer without such ends
-            self.words.update((w, self.one(w)) for w in words)
+    def learn_words(self, words: set[str]) -> None:
+        """A normalized word of letters is one unit of the tokenizer: its bytes' signs, merged."""
+        for word in words:
+            plain = word if word.isascii() else word.encode().decode("latin-1").translate(SIGNS)
+            ids = [token.id for token in self.model.tokenize(plain)]
+            self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
