@@ -21,7 +21,8 @@ def folder(tmp_path):
         "c.csv": "date,state,district,pincode,bio_age_5_17,bio_age_17_\n03-04-2025,goa,panaji,403001,4,\n",
         "d d.csv": "date,state,district,pincode,demo_age_5_17,demo_age_17_\n03-04-2025,goa,panaji,403001,4,6\n",
         "e.csv": "some,other,header\n1,2,3\n",
-        "f.csv": "",
+        "f.csv": "\n",
+        "g.csv": "",
         "notes.txt": "date,state,district,pincode,bio_age_5_17\n1,2,3,4,5\n",
         "sub/g.csv": "date,state,district,pincode,bio_age_5_17\n03-04-2025,deep,deep,1,5\n",
     }
@@ -43,11 +44,58 @@ def test_read_feeds(spark, folder):
     assert feeds.bio.collect() == [(date(2025, 4, 3), "Goa", "Panaji", 403001, 4)]
     assert feeds.demo.collect() == [(date(2025, 4, 3), "Goa", "Panaji", 403001, 10)]
     lines = [r.message for r in feeds.log.collect()]
-    assert lines[0] == "Loading 6 files from source..."
-    assert [m for m in lines if m.startswith("Skipped")] == ["Skipped f.csv: No columns to parse from file"]
+    assert lines[0] == "CSV files found: 6"
+    assert [m for m in lines if m.startswith("Left out")] == ["Left out f.csv: the first line names no columns"]
     assert ingest.missing_name_counts(feeds.enrol).first() == (1, 0, 1)
 
 
+HEADER = "date,state,district,pincode,age_18_greater\n"
+
+
+def test_files_that_do_not_parse(spark, tmp_path):
+    """A bad file contributes no row and is named; the others are complete."""
+    files = {
+        "good.csv": HEADER + "03-04-2025,goa,panaji,403001,9\n04-04-2025,goa,panaji\n",
+        "more.csv": HEADER + "03-04-2025,goa,north,panaji,403001,9\n03-04-2025,kerala,kochi,1,5\n",
+        "empty cell.csv": HEADER + "03-04-2025,kerala,kochi,1,5,\n",
+        "open.csv": HEADER + '03-04-2025,kerala,"kochi,1,5\n03-04-2025,kerala,kochi,1,5\n',
+        "breaks.csv": HEADER + '03-04-2025,goa,"south\ngoa",403001,7\n03-04-2025,"a, b",c,2,8\n',
+        "twice.csv": "date,state,state,district,pincode,age_18_greater\n03-04-2025,a,b,c,1,2\n",
+        "other.csv": "a,b\n1,2,3\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    feeds = ingest.read_feeds(spark, str(tmp_path))
+    assert sorted((r.state, r.district, r.pincode, r.adult_enrolments) for r in feeds.enrol.collect()) == [
+        ("A, B", "C", 2, 8), ("Goa", "Panaji", 0, 0), ("Goa", "Panaji", 403001, 9), ("Goa", "South\nGoa", 403001, 7),
+    ]
+    assert sorted(r.message for r in feeds.log.collect() if r.level == "WARN" and "Left out" in r.message) == [
+        "Left out empty cell.csv: a record has more cells than the header",
+        "Left out more.csv: a record has more cells than the header",
+        "Left out open.csv: a quote is never closed",
+        "Left out twice.csv: column names repeat in the header",
+    ]
+
+
+def jobs(spark, group, fn):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        fn()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setJobGroup("rest", "rest")
+
+
+def test_jobs_do_not_grow_with_files(spark, tmp_path):
+    for folder, n in (("few", 2), ("many", 200)):
+        (tmp_path / folder).mkdir()
+        for i in range(n):
+            (tmp_path / folder / f"{i}.csv").write_text(HEADER + f"03-04-2025,goa,panaji,403001,{i}\n")
+    few, many = (jobs(spark, f, lambda: ingest.read_feeds(spark, str(tmp_path / f)).enrol.count()) for f in ("few", "many"))
+    assert 0 < many <= few
+    assert ingest.read_feeds(spark, str(tmp_path / "many")).enrol.agg({"adult_enrolments": "sum"}).first()[0] == sum(range(200))
+
+
 def test_feed_rules():
     assert ingest.feed_of(["x", "bio_age_5_17", "demo_age_17_"]) == "bio"
     assert ingest.feed_of(["my_demo_age", "age_0_5"]) == "demo"
@@ -77,13 +125,13 @@ def test_missing_folder(spark, tmp_path):
     feeds = ingest.read_feeds(spark, str(tmp_path / "nowhere"))
     assert [df.count() for df in (feeds.enrol, feeds.bio, feeds.demo)] == [0, 0, 0]
     assert feeds.enrol.columns[-1] == "adult_enrolments"
-    assert feeds.log.first()["message"].startswith("Error: Data path not found")
+    assert feeds.log.first()["message"].startswith("No such folder")
 
 
 def test_empty_folder(spark, tmp_path):
     feeds = ingest.read_feeds(spark, str(tmp_path))
     assert feeds.bio.count() == 0 and feeds.bio.columns[-1] == "bio_stress"
-    assert [r.message for r in feeds.log.collect()] == ["Loading 0 files from source..."]
+    assert [r.message for r in feeds.log.collect()] == ["CSV files found: 0"]
 
 
 def test_missing_key_column_is_an_error(spark, tmp_path):

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import csv
 from collections.abc import Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from wardwise.functions.parse import count_or_zero, day_first_date, pin_code
 from wardwise.functions.text import clean_name, missing_to_null
@@ -23,6 +21,7 @@ from wardwise.schema import (
     KEYS,
     feed_schema,
 )
+from wardwise.sources.tables import settle
 
 # The columns that make up each measure and identify each feed.
 ADULT_COLUMN = "age_18_greater"
@@ -34,7 +33,6 @@ BIO_MARK, DEMO_MARK = "bio_age", "demo_age"
 SIMULATED_SHARE = 0.4
 
 CSV_GLOB = "*.[cC][sS][vV]"
-HEADER_THREADS = 16
 
 
 @dataclass(frozen=True)
@@ -140,74 +138,157 @@ def simulated_bio(enrol: DataFrame) -> DataFrame:
 # --- files -------------------------------------------------------------------
 
 
-def list_csv(spark: SparkSession, folder: str) -> list[str]:
-    """Paths of the folder's CSV files, not recursive, any case of the suffix."""
-    listing = spark.read.option("pathGlobFilter", CSV_GLOB).text(folder)
-    return sorted(unquote(path) for path in listing.inputFiles())
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, file) of the folder's CSV files, not recursive, any case of the suffix.
 
+    Files of length zero hold nothing, and Spark's readers do not list them.
+    """
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", CSV_GLOB).load(folder)
+    name = F.regexp_extract("path", "[^/]+$", 0)  # contents are not read
+    return listing.select(F.col("_metadata.file_path").alias("path"), name.alias("file"))
+
+
+def first_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, header, quotes, broken): of every file that has a line, from one read.
+
+    The block at offset 0 is read by one task from its start, so the first line
+    that an aggregation meets there is the header. ``quotes`` counts quote signs;
+    ``broken`` says that some line has an odd number, so cells may hold line breaks.
+    """
+    lines = spark.read.option("pathGlobFilter", CSV_GLOB).text(folder)
+    at_start = F.col("_metadata.file_block_start") == 0
+    signs = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return (
+        lines.select(
+            F.col("_metadata.file_path").alias("path"),
+            F.when(at_start, F.col("value")).alias("header"), signs.alias("quotes"),
+        )
+        .groupBy("path")
+        .agg(
+            F.first("header", ignorenulls=True).alias("header"), F.sum("quotes").alias("quotes"),
+            F.bool_or(F.col("quotes") % 2 == 1).alias("broken"),
+        )
+    )
+
+
+@dataclass(frozen=True)
+class Layout:
+    """What the files with one header line hold."""
+
+    header: str
+    names: tuple[str, ...]
+    feed: str | None
+    problem: str | None
+
+
+def layout_of(header: str) -> Layout:
+    cells = next(csv.reader([header.lstrip("\ufeff")]), [])
+    names = tuple(normalize_header(cells))
+    problem = None
+    if not any(names):
+        problem = "the first line names no columns"
+    elif len(set(names)) < len(names):
+        problem = "column names repeat in the header"
+    return Layout(header, names, None if problem else feed_of(names), problem)
 
-def read_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of one file; Spark reads its first line only."""
-    names = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
-    return normalize_header(names)
 
+def cell_count(line: Column) -> Column:
+    """Cells of a CSV record, from its text: commas outside quotes, and one."""
+    bare = F.when(F.contains(line, F.lit('"')), F.regexp_replace(line, '"[^"]*"', "")).otherwise(line)
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
-def read_group(spark: SparkSession, paths: Sequence[str], header: Sequence[str]) -> DataFrame:
-    """Files that share one header, every column as text, missing tokens as NULL."""
-    schema = ", ".join(f"`{name}` string" for name in header)
-    raw = (
+
+def read_cells(spark: SparkSession, folder: str, width: int, across_lines: bool) -> DataFrame:
+    """(path, c0..., _line): records of all files by position, without their first line.
+
+    One column more than any header has, so a record of as many cells as any header
+    or fewer, or of two more, keeps its text in ``_line``.
+    """
+    schema = ", ".join([*(f"c{i} string" for i in range(width + 1)), "_line string"])
+    rows = (
         spark.read.schema(schema)
         .option("header", True)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
-        .csv(list(paths))
+        .option("columnNameOfCorruptRecord", "_line")
+        .option("columnPruning", False)  # else records are counted by the columns asked for
+        .option("multiLine", across_lines)
+        .option("pathGlobFilter", CSV_GLOB)
+        .csv(folder)
+    )
+    return rows.select(F.col("_metadata.file_path").alias("path"), *rows.columns)
+
+
+def named_cells(rows: DataFrame, layouts: dict[int, Layout]) -> DataFrame:
+    """Columns by name for rows of several layouts, gaps and missing tokens NULL, in one pass."""
+    names = list(dict.fromkeys(n for layout in layouts.values() for n in layout.names))
+
+    def cell(name: str) -> Column:
+        value = F.lit(None).cast("string")
+        for number, layout in layouts.items():
+            if name in layout.names:
+                value = F.when(F.col("_layout") == number, F.col(f"c{layout.names.index(name)}")).otherwise(value)
+        return value
+
+    return rows.where(F.col("_layout").isin(list(layouts))).select(*[cell(n).alias(n) for n in names]).select(
+        *[missing_to_null(f"`{n}`").alias(n) for n in names]
     )
-    return raw.select(*[missing_to_null(f"`{name}`").alias(name) for name in header])
 
 
 def read_feeds(spark: SparkSession, folder: str) -> Feeds:
     """All feeds of a folder, canonical and lazy, plus the ingest log.
 
-    Files are grouped by (feed, header) and every group is one scan with an
-    explicit schema: Spark binds CSV columns by position, so files with
-    different headers must never share a read. The header peek is one tiny job
-    per file, several at a time.
+    The number of jobs does not depend on the number of files: one read finds all
+    header lines, only distinct headers come to the driver, and rows get the layout
+    of their file by a join on the path. Cells are bound by position within a layout.
+
+    A file with a record of more cells than its header, or a quote that never
+    closes, contributes nothing and is named in the log; shorter records end in
+    NULLs. Files with quoted line breaks are read again with records across lines
+    (such files cannot be split), if there are any.
     """
     lines: list[tuple[str, str]] = []
     try:
-        files = list_csv(spark, folder)
+        files = settle(list_files(spark, folder))
     except PySparkException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         files = None
-        lines.append(("ERROR", f"Error: Data path not found: {folder}"))
-    groups: dict[tuple[str, tuple[str, ...]], list[str]] = defaultdict(list)
-    if files is not None:
-        lines.append(("INFO", f"Loading {len(files)} files from source..."))
-
-        def peek(path):
-            try:
-                header = read_header(spark, path)
-                if not header:
-                    raise ValueError("No columns to parse from file")
-                if len(set(header)) < len(header):
-                    raise ValueError("column names repeat in the header")
-                return path, header, None
-            except Exception as e:  # one bad file must not stop the load
-                return path, None, str(e).splitlines()[0]
-
-        with ThreadPoolExecutor(HEADER_THREADS) as pool:
-            for path, header, problem in pool.map(peek, files):
-                if problem:
-                    lines.append(("WARN", f"Skipped {path.rsplit('/', 1)[-1]}: {problem}"))
-                elif feed := feed_of(header):
-                    groups[feed, tuple(header)].append(path)
-
+        lines.append(("ERROR", f"No such folder: {folder}"))
     raw: dict[str, DataFrame] = {}
-    for feed in ("enrol", "bio", "demo"):
-        parts = [read_group(spark, p, h) for (f, h), p in groups.items() if f == feed]
-        if parts:
-            raw[feed] = union_files(parts)
+    skipped: DataFrame | None = None
+    if files is not None:
+        lines.append(("INFO", f"CSV files found: {files.count()}"))
+        starts = settle(files.join(first_lines(spark, folder), "path", "left"))
+        headers = [r.header for r in starts.select("header").distinct().collect()]  # layouts, not files
+        layouts = dict(enumerate(layout_of(h) for h in headers if h is not None))
+        numbers = spark.createDataFrame(
+            [(k, v.header, len(v.names), v.problem, v.feed is not None) for k, v in layouts.items()],
+            "_layout int, header string, _cells int, problem string, wanted boolean",
+        )
+        known = starts.join(F.broadcast(numbers), "header", "left").withColumn(
+            "problem",
+            F.when(F.col("problem").isNotNull(), F.col("problem")).when((F.col("quotes") % 2 == 1) & F.col("wanted"), "a quote is never closed"),
+        )
+        known = settle(known.select("path", "file", "_layout", "_cells", "problem", "wanted", "broken"))
+        good = known.where("problem is null and wanted")
+        width = max((len(v.names) for v in layouts.values() if v.feed), default=0)
+        parts = [read_cells(spark, folder, width, False).join(good.where("not broken"), "path")]
+        if not good.where("broken").isEmpty():
+            parts.append(read_cells(spark, folder, width, True).join(good.where("broken"), "path"))
+        rows = union_files(parts)
+        # a record without a text of its own fills all columns
+        filled = F.col(f"c{width}").isNotNull() | F.col("_line").isNull() | (cell_count(F.col("_line")) > F.col("_cells"))
+        over = settle(rows.where(filled).select("path").distinct())
+        rows = rows.join(over, "path", "left_anti")
+        problems = known.where("problem is not null").select("file", "problem").unionByName(
+            known.join(over, "path", "left_semi").select("file", F.lit("a record has more cells than the header").alias("problem"))
+        )
+        skipped = problems.select(F.format_string("Left out %s: %s", "file", "problem").alias("message"))
+        for feed in ("enrol", "bio", "demo"):
+            own = {k: v for k, v in layouts.items() if v.feed == feed}
+            if own:
+                raw[feed] = named_cells(rows, own)
 
     def table(feed: str) -> DataFrame:
         if feed in raw:
@@ -220,6 +301,9 @@ def read_feeds(spark: SparkSession, folder: str) -> Feeds:
         bio = simulated_bio(enrol)
     now = datetime.now(timezone.utc)
     log = spark.createDataFrame([(now, level, text) for level, text in lines], INGEST_LOG)
+    if skipped is not None:
+        stamp, level = (F.lit(v).cast(log.schema[i].dataType).alias(log.columns[i]) for i, v in enumerate((now, "WARN")))
+        log = log.unionAll(skipped.select(stamp, level, "message"))
     return Feeds(enrol, bio, demo, log)
 
 
