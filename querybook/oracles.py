@@ -686,6 +686,11 @@ oracle("district_scan", DIRTY, DISTRICT_ISSUES, f"select {_DIST_COLS} from issue
 oracle("district_scan_largest", DIRTY, LARGEST, f"select {_DIST_COLS} from issues")
 oracle("closest_districts", DIRTY, NEAR, """
 select name, candidate, round(r, 6) as ratio, rk::int as rank from near""")
+oracle("closest_suppliers", """cnt as (select distinct s_name as district from supplier)""", NEAR[NEAR.index("np as"):], """
+select name, candidate, round(r, 6) as ratio, rk::int as rank from near""")
+oracle("state_scan_nations", DIRTY, "nations as (select distinct n_name as nm from nation)",
+       STATE_ISSUES.replace("from off)", "from nations)").replace("suspects s, off)", "suspects s, nations off)"),
+       f"select {_STATE_COLS} from issues")
 oracle("pin_overlap", DIRTY, NEAR, MEETING, """
 select name as suspect, candidate, lp as left_has_pins, rp as right_has_pins, meet as pins_meet from meeting""")
 

@@ -633,6 +633,19 @@ def closest_districts(v):
     return rounded(similarity.closest_matches(names))
 
 
+@query
+def closest_suppliers(v):
+    """A vocabulary that grows with its table, of names that are nearly all alike."""
+    return rounded(similarity.closest_matches(v.table("supplier").select(F.col("s_name").alias("name")).distinct()))
+
+
+@query
+def state_scan_nations(v):
+    """Suspect states against a vocabulary that comes from a table."""
+    nations = [r.n_name for r in v.table("nation").select("n_name").distinct().collect()]  # a fixed dimension
+    return rounded(scans.state_scan(v.dirty_enrol(), sorted(nations)))
+
+
 def _issues(v, scope):
     scan = scans.state_scan if scope == "State" else scans.district_scan
     return settle(scan(v.dirty_enrol()))

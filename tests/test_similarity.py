@@ -78,13 +78,20 @@ def test_salting_changes_nothing(spark, monkeypatch):
     assert joined(spark, names) == brute_close(names)
 
 
-def test_going_down_in_steps_changes_nothing(spark, monkeypatch):
+def test_going_down_in_steps_changes_nothing(spark):
     names = [f"Ward Number {i:03d}" for i in range(120)]
     names += [f"Circle {a}{b}" for a in "abcd" for b in "wxyz"] + ["Mysuru", "Mysore", "Mysoru", "Nashik"]
-    monkeypatch.setattr(similarity, "LIGHT_COMPARISONS", 0)
+    names += [f"A name that is much longer than the others, number {i} of all" for i in (1, 2, 11, 12, 21)]
     assert joined(spark, names) == brute_close(names)
 
 
+def test_only_grams_or_only_shortened_texts(spark, monkeypatch):
+    names = [f"Ward {i:02d}" for i in range(40)] + ["Mysuru", "Mysore", "Mysoru", "a", "b", "ab"]
+    for left_out in (-1, 2):
+        monkeypatch.setattr(similarity, "LEFT_OUT", left_out)
+        assert joined(spark, names) == brute_close(names)
+
+
 def test_prefix_bound_leaves_common_trigrams_out(spark):
     """Names that only share a common word are never compared."""
     names = ["Unique%s" % w for w in ("bcdfgh", "jklmnp", "qrstvw", "xzbdfh")]

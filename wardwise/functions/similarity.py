@@ -12,46 +12,79 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import functions as F
 
-MAX_VOCABULARY = 10_000
 
+def pair_ratio(cutoff: float = 0.0):
+    """UDF ``(a, b) -> ratio``; the ratio is not symmetric in its arguments.
 
-def pair_ratio():
-    """UDF ``(a, b) -> ratio``; the ratio is not symmetric in its arguments."""
+    Pairs whose shared characters, in any order, cannot reach the cutoff get 0.
+    The second text is prepared once for all its pairs in a batch.
+    """
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series(
-            [SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64"
-        )
+        out, matcher = [0.0] * len(a), SequenceMatcher(None)
+        second = b.to_numpy()
+        for i in sorted(range(len(second)), key=second.__getitem__):
+            if matcher.b != second[i]:
+                matcher.set_seq2(second[i])
+            matcher.set_seq1(a.iat[i])
+            if not cutoff or matcher.quick_ratio() >= cutoff:
+                out[i] = matcher.ratio()
+        return pd.Series(out, dtype="float64")
 
     return ratio
 
 
 def closest_of(vocabulary: Sequence[str], cutoff: float):
-    """UDF ``name -> (fix, conf)`` against a short fixed vocabulary.
+    """UDF ``name -> (fix, conf)`` against a vocabulary that the caller holds.
 
-    ``fix`` is the closest entry at ``cutoff`` or better, case-sensitive;
-    ``conf`` compares the lower-cased texts. Linear in the number of names:
-    the vocabulary is a constant inside the task, so there is no join at all.
+    ``fix`` is the closest entry at ``cutoff`` or better, case-sensitive, of equal
+    ones the larger text; ``conf`` compares the lower-cased texts. Entries are
+    tried by falling bound (shared characters in any order, all entries at once by
+    character counts), until the best found beats the bounds that are left.
     """
     words = [str(w) for w in vocabulary]
-    if len(words) > MAX_VOCABULARY:
-        raise ValueError(f"vocabulary of {len(words)} names is too large for a constant")
 
     @F.pandas_udf("fix string, conf double")
     def closest(names: pd.Series) -> pd.DataFrame:
-        from difflib import SequenceMatcher, get_close_matches
+        from difflib import SequenceMatcher
+
+        import numpy as np
+
+        letters = {c: k for k, c in enumerate(sorted(set("".join(words))))}
+        counts = np.zeros((len(words), len(letters) + 1), "int32")
+        for row, word in enumerate(words):
+            for c in word:
+                counts[row, letters[c]] += 1
+        sizes = counts.sum(1)
+        known: dict[str, tuple[str, float]] = {}
+
+        def search(name: str) -> tuple[str, float]:
+            own = np.zeros(len(letters) + 1, "int32")
+            for c in name:
+                own[letters.get(c, len(letters))] += 1
+            total = np.maximum(sizes + len(name), 1)
+            bounds = np.where(sizes + len(name) > 0, 2.0 * np.minimum(counts, own).sum(1) / total, 1.0)
+            best, matcher = (cutoff, ""), SequenceMatcher(None, b=name)
+            found = False
+            for row in np.argsort(-bounds, kind="stable"):
+                if bounds[row] + 1e-9 < best[0]:
+                    break
+                matcher.set_seq1(words[row])
+                value = (matcher.ratio(), words[row])
+                if value >= best if found else value[0] >= cutoff:
+                    best, found = value, True
+            if not found:
+                return "Unknown", 0.0
+            return best[1], SequenceMatcher(None, name.lower(), best[1].lower()).ratio()
 
         rows = []
         for name in names:
-            best = get_close_matches(name, words, n=1, cutoff=cutoff)
-            if best:
-                conf = SequenceMatcher(None, name.lower(), best[0].lower()).ratio()
-                rows.append((best[0], conf))
-            else:
-                rows.append(("Unknown", 0.0))
+            if name not in known:
+                known[name] = search(name)
+            rows.append(known[name])
         return pd.DataFrame(rows, columns=["fix", "conf"])
 
     return closest

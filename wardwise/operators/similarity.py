@@ -1,25 +1,27 @@
 """Similarity self-join of names, without comparing all pairs.
 
-Two names at ratio ``2M/(la+lb) >= c`` share at least ``M`` characters in order,
-so one turns into the other by removing ``la-M`` characters and adding
-``lb-M``. A removed character destroys at most ``q`` of the padded q-grams of the
-first name and an added one at most ``q-1``, hence the pair shares all but
-``q(la-M) + (q-1)(lb-M)`` of them. By the prefix-filter argument (Chaudhuri et
-al. 2006, Bayardo et al. 2007) it is then enough to index, per name, that many
-plus one of its q-grams *in any global order*, and we order by rarity: the grams
-that a third of all names contain come last and are hardly ever indexed. The
-filter is lossless; nothing is capped.
-
-Two more measures keep crowded neighbourhoods from costing the square of their
-size. A gram that stays popular is salted by its measured frequency. And when
-the index predicts much work, the search for the closest few goes down in steps
-of the ratio: a name that has its few at 0.97 cannot get others at 0.85, so it
-is not looked up again, and the strict steps have short prefixes. Every step
-uses trigrams or bigrams, whichever lets fewer pairs meet.
+Two names at ratio ``2M/(la+lb) >= c`` share ``M`` characters in order, so both turn
+into the same text by leaving out ``la-M`` and ``lb-M`` characters. Where that is at
+most two characters, all such shortened texts are listed and names meet on equal
+ones: linear in the number of names, however alike they are.
+
+Where it is more, padded q-grams are used. A removed character destroys at most
+``q`` of the padded q-grams of the first name and an added one at most ``q-1``,
+hence the pair shares all but ``q(la-M) + (q-1)(lb-M)`` of them. By the prefix-filter
+argument (Chaudhuri et al. 2006, Bayardo et al. 2007) it is then enough to index,
+per name, that many plus one of its q-grams *in any global order*, and we order by
+rarity: the grams that a third of all names contain come last and are hardly ever
+indexed. Both filters are lossless; nothing is capped.
+
+The search for the closest few goes down in steps of the ratio: a name that has its
+few at 0.97 cannot get others at 0.85, so it is not looked up again. Crowded
+neighbourhoods are served by the strict steps, where names meet on shortened texts.
+A gram that stays popular is salted by its measured frequency.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -29,7 +31,7 @@ from wardwise.sources.tables import settle, spread
 
 PAD_LEFT, PAD_RIGHT = "\u0002", "\u0003"
 SALT_ROWS = 4096
-LIGHT_COMPARISONS = 100_000_000
+LEFT_OUT = 2  # characters, at most, for names that meet on shortened texts
 FIRST_STEP, STEP = 0.97, 0.03
 EPS = 1e-9
 
@@ -70,7 +72,7 @@ def name_tokens(names: DataFrame, q: int) -> DataFrame:
 def ranked_tokens(names: DataFrame, q: int = 3) -> DataFrame:
     """``(name, len, tokens)`` with the q-grams of each name, rarest first."""
     tokens = name_tokens(names, q)
-    frequency = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    frequency = settle(tokens.groupBy("token").agg(F.count("*").alias("df")))  # a popular gram can then be split
     return (
         tokens.join(frequency, "token")
         .groupBy("name", "len")
@@ -102,13 +104,52 @@ def prefix_index(ranked: DataFrame, cutoff: float, q: int) -> DataFrame:
     )
 
 
-def comparisons(wanted: DataFrame, ranked: DataFrame, cutoff: float, q: int) -> float:
-    """Pairs that meet on an indexed gram: the work the join would do."""
-    def sizes(side: DataFrame, name: str) -> DataFrame:
-        return prefix_index(side, cutoff, q).groupBy("token").agg(F.count("*").cast("double").alias(name))
+def shortened(names: DataFrame, cutoff: float) -> DataFrame:
+    """``(name, len, text)``: names without up to ``LEFT_OUT`` characters, as far as the cutoff allows."""
+    one = F.transform(
+        F.sequence(F.lit(1), F.col("len")),
+        lambda i: F.concat(F.substring(F.col("name"), F.lit(1), i - 1), F.substring(F.col("name"), i + 1, F.col("len"))),
+    )
+    two = F.flatten(F.transform(
+        F.sequence(F.lit(1), F.col("len") - 1),
+        lambda i: F.transform(
+            F.sequence(i + 1, F.col("len")),
+            lambda j: F.concat(
+                F.substring(F.col("name"), F.lit(1), i - 1), F.substring(F.col("name"), i + 1, j - i - 1),
+                F.substring(F.col("name"), j + 1, F.col("len")),
+            ),
+        ),
+    ))
+    most = F.col("len") - F.ceil(F.col("len") * (cutoff / (2.0 - cutoff)) - EPS)
+    none = F.array().cast("array<string>")
+    texts = F.concat(
+        F.array("name"), F.when(most >= 1, one).otherwise(none),
+        F.when((most >= 2) & (F.col("len") >= 2), two).otherwise(none),
+    )
+    return names.select("name", "len", F.explode(F.array_distinct(texts)).alias("text"))
+
+
+def longest_shortened(cutoff: float) -> int:
+    """Names up to this length leave out ``LEFT_OUT`` characters at most."""
+    length = 1
+    while length - math.ceil(length * cutoff / (2.0 - cutoff) - EPS) <= LEFT_OUT:
+        length += 1
+        if length > 1000:  # cutoffs next to one
+            break
+    return length - 1
+
 
-    met = sizes(wanted, "n").join(sizes(ranked, "m"), "token")
-    return met.agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0.0))).first()[0]
+def shortened_pairs(wanted: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
+    """Directed pairs that share as many characters in order as the cutoff asks for; each once."""
+    left = shortened(wanted, cutoff).select(F.col("name").alias("a"), F.col("len").alias("la"), "text")
+    right = shortened(names, cutoff).select(F.col("name").alias("b"), F.col("len").alias("lb"), F.col("text").alias("text_b"))
+    meet = (
+        (F.col("text") == F.col("text_b")) & (F.col("a") != F.col("b"))
+        & (F.length("text") == _matched(F.col("la"), F.col("lb"), cutoff))
+    )
+    return spread(left, "text").join(right, meet).select(
+        F.col("a").alias("name"), F.col("b").alias("candidate")
+    ).distinct()
 
 
 def candidate_pairs(wanted: DataFrame, ranked: DataFrame, cutoff: float, q: int = 3) -> DataFrame:
@@ -152,14 +193,18 @@ def candidate_pairs(wanted: DataFrame, ranked: DataFrame, cutoff: float, q: int
 def similar_pairs(wanted: DataFrame, ranked: DataFrame, cutoff: float, q: int = 3) -> DataFrame:
     """``(name, candidate, ratio)`` at the cutoff or better, for the wanted names.
 
-    The ratio depends on the order of its arguments: the candidate comes first.
+    Both sides come from ``ranked_tokens``. The ratio depends on the order of its
+    arguments: the candidate comes first.
     """
-    ratio = pair_ratio()
-    return (
-        candidate_pairs(wanted, ranked, cutoff, q)
-        .withColumn("ratio", ratio("candidate", "name"))
-        .where(F.col("ratio") >= cutoff)
+    limit = longest_shortened(cutoff)
+    short, long_ = F.col("len") <= limit, F.col("len") > limit
+    pairs = (
+        shortened_pairs(wanted.where(short), ranked.where(short), cutoff)
+        .unionAll(candidate_pairs(wanted.where(long_), ranked, cutoff, q))
+        .unionAll(candidate_pairs(wanted.where(short), ranked.where(long_), cutoff, q))
     )
+    ratio = pair_ratio(cutoff)
+    return spread(pairs, "name").withColumn("ratio", ratio("candidate", "name")).where(F.col("ratio") >= cutoff)
 
 
 def _best(pairs: DataFrame, n: int) -> DataFrame:
@@ -176,23 +221,14 @@ def closest_matches(names: DataFrame, n: int = 5, cutoff: float = 0.85) -> DataF
     rank the larger text first. The name itself is not returned.
     """
     others = n - 1
-    ranked = {3: settle(ranked_tokens(names, 3))}
-    if comparisons(ranked[3], ranked[3], cutoff, 3) <= LIGHT_COMPARISONS:
-        return _best(similar_pairs(ranked[3], ranked[3], cutoff), others)
-    ranked[2] = settle(ranked_tokens(names, 2))
-    wanted = dict(ranked)
-
-    def search(ratio: float) -> DataFrame:
-        q = min(wanted, key=lambda q: comparisons(wanted[q], ranked[q], ratio, q))
-        return similar_pairs(wanted[q], ranked[q], ratio, q)
-
-    found, step = [], FIRST_STEP
+    ranked = settle(ranked_tokens(names, 3))
+    wanted, found, step = ranked, [], FIRST_STEP
     while step > cutoff + EPS:
-        pairs = settle(search(step))
+        pairs = settle(similar_pairs(wanted, ranked, step))
         served = pairs.groupBy("name").agg(F.count("*").alias("_n")).where(F.col("_n") >= others)
         served = settle(served.select("name"))
         found.append(_best(pairs.join(served, "name", "left_semi"), others))
-        wanted = {q: settle(w.join(served, "name", "left_anti")) for q, w in wanted.items()}
+        wanted = settle(wanted.join(served, "name", "left_anti"))
         step -= STEP
-    found.append(_best(search(cutoff), others))
+    found.append(_best(similar_pairs(wanted, ranked, cutoff), others))
     return reduce(DataFrame.unionByName, found)
