@@ -214,11 +214,14 @@ def clustered(df: DataFrame, key: str = "doc_id", column: str = "text", radius:
 def one_of_each(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
     """The rows whose id names their component; of rows with equal ids, one.
 
-    Rows without an id cannot be named, so they stay.
+    Rows without an id cannot be named, so they stay. The ids to drop are joined
+    against the texts: they are fewer than those to keep.
     """
-    kept = settle(clustered(df, key, column).where(F.col(key) == F.col("component_id")).select(key))
-    ids = kept.groupBy(key).agg(F.count("*").alias("n"))
-    named = df.join(ids.select(key), key, "left_semi")
-    if not ids.where("n > 1").isEmpty():
-        named = named.dropDuplicates([key])
-    return named.unionByName(df.where(F.col(key).isNull())).select(*df.columns)
+    found = settle(clustered(df, key, column).select(key, "component_id"))
+    dropped = settle(found.where(F.col(key) != F.col("component_id")).select(key).distinct())
+    left = df.join(dropped, key, "left_anti").select(*df.columns)
+    again = found.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    if again.isEmpty():
+        return left
+    named = left.where(F.col(key).isNotNull()).dropDuplicates([key])
+    return named.unionByName(left.where(F.col(key).isNull()))
