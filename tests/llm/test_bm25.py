@@ -55,6 +55,12 @@ def test_odd_rows_in_small_blocks(rows, monkeypatch):
     assert found(bm25.top_k(df, F.col("doc_id") % 5 == 0)) == plainly(made)
 
 
+def test_short_queries_beside_a_very_long_one(rows):
+    made = [(i, f"the w{i % 20}") for i in range(100, 140)] + [(5, "the"), (10, "w3"), (15, "w7 alone"), (20, "alone")]
+    made += [(25, " ".join(f"w{i}" for i in range(20_000)))]
+    assert found(bm25.top_k(rows("doc_id long, text string", *made), F.col("doc_id") % 5 == 0)) == plainly(made)
+
+
 def test_empty(rows):
     df = rows("doc_id long, text string", (5, "a"))
     assert bm25.top_k(df.limit(0), F.col("doc_id") % 5 == 0).collect() == []

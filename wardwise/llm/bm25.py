@@ -12,8 +12,10 @@ these largest impacts bounds a document's score; blocks that cannot reach a
 query's current k-th best are skipped, the others are completed. Documents are
 laid out by their strongest frequent term, which keeps languages apart.
 
-Sums in single precision choose candidates, with a margin; candidates are scored
-in double precision, every term in the same order, so equal texts score equal.
+Sums in single precision choose candidates: while a query holds fewer than ``k``
+rows, all with a score; later those above its own k-th best less what rounding can
+take from a sum. Candidates are scored in double precision, every term in the same
+order, so equal texts score equal.
 Shards use the global statistics, so the merge of their results is exact.
 
 A score is the sum over the distinct terms of the query of idf times the usual
@@ -181,18 +183,17 @@ class Best:
             scores[i] = shard.rare(own)
         blocks = scores.reshape(len(queries), -1, WIDTH)
         bounds = blocks.max(2) + wanted @ shard.largest
-        margin = 1e-4 * (1 + bounds.max(initial=0))
-        least = self.least[queries.start : queries.stop].astype("f4") - margin
-        fewest = np.full(len(queries), margin)  # at first a rough bound, from the most promising blocks
-        open_ = bounds > np.maximum(least, fewest)[:, None]
+        # sums in single precision may fall short by this share, whatever their terms; nothing falls short of 0
+        slack = (wanted.sum(1) + 4) * np.finfo("f4").eps
+        least = (self.least[queries.start : queries.stop] * (1 - slack)).astype("f4")
         for b in np.argsort(-bounds.sum(0)):
-            some = np.flatnonzero(open_[:, b] & (bounds[:, b] > least))
+            some = np.flatnonzero(bounds[:, b] > least)
             if not len(some):
                 continue
             part = slice(b * WIDTH, (b + 1) * WIDTH)
             blocks[some, b] += wanted[some] @ shard.matrix[:, part]
-            for i in some[blocks[some, b].max(1) > np.maximum(least[some], fewest[some])].tolist():
-                least[i] = max(least[i], self._take(shard, queries[i], blocks[i, b], b * WIDTH, max(least[i], fewest[i])) - margin)
+            for i in some[blocks[some, b].max(1) > least[some]].tolist():
+                least[i] = max(least[i], self._take(shard, queries[i], blocks[i, b], b * WIDTH, least[i]) * (1 - slack[i]))
 
     def _take(self, shard: Shard, q: int, scores: np.ndarray, first: int, least: float) -> float:
         docs = first + np.flatnonzero(scores > least)
