@@ -93,6 +93,13 @@ def test_documents(spark):
     check(simhash.clustered(docs).collect(), [(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_every_component_keeps_a_row_of_its_own(rows):
+    a, b, c, d, e = (" ".join(f"{x}{i * i}" for i in range(60)) for x in "abcde")
+    made = [(5, a), (7, a), (5, b), (3, b), (9, c), (9, d), (9, c), (None, e), (None, e), (None, e)]
+    kept = simhash.one_of_each(rows("doc_id long, text string", *made)).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(5, a), (3, b), (9, c), (9, d), (None, e)]))
+
+
 def test_empty(rows):
     df = rows("doc_id long, text string", (1, "a"))
     assert simhash.clustered(df.limit(0)).collect() == []

@@ -196,14 +196,20 @@ def components(edges: DataFrame) -> DataFrame:
         now = settle(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
 
 
-def clustered(df: DataFrame, key: str = "doc_id", column: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(key, fingerprint, component_id) of every row; the smallest id names a component."""
+def _labelled(df: DataFrame, key: str, column: str, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(key, fp) of every row, and (fp, first, label): its smallest id, and the fingerprint that stands for its component."""
     marked = settle(fingerprints(df, key, column))
     nodes = settle(marked.groupBy("fp").agg(F.min(key).alias("first")))
     labels = settle(components(shard_links(shards(nodes.select("fp")), radius)))
     labelled = nodes.join(labels, nodes.fp == labels.node, "left").select(
         "fp", "first", F.coalesce("label", "fp").alias("label")
     )
+    return marked, labelled
+
+
+def clustered(df: DataFrame, key: str = "doc_id", column: str = "text", radius: int = RADIUS) -> DataFrame:
+    """(key, fingerprint, component_id) of every row; the smallest id names a component."""
+    marked, labelled = _labelled(df, key, column, radius)
     names = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     named = settle(labelled.join(names, "label").select("fp", "component_id"))
     return marked.join(named, "fp").select(
@@ -211,17 +217,40 @@ def clustered(df: DataFrame, key: str = "doc_id", column: str = "text", radius:
     )
 
 
+def _printed(df: DataFrame, column: str) -> DataFrame:
+    """With the fingerprint as ``_fp``."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = np.array([fingerprint(t.as_py()) for t in batch.column(column)], "u8").view("i8")
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "_fp"])
+
+    return df.mapInArrow(per_batch(one), StructType([*df.schema.fields]).add("_fp", "long"))
+
+
 def one_of_each(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """The rows whose id names their component; of rows with equal ids, one.
+    """Of each component, one row with its smallest (id, fingerprint).
 
-    Rows without an id cannot be named, so they stay. The ids to drop are joined
-    against the texts: they are fewer than those to keep.
+    Rows without an id cannot be named: one of a component's stays, too. An id that
+    stands on rows of several components is decided for each of them. The ids to
+    drop are joined against the texts: they are fewer than those to keep. Only rows
+    of repeated or null ids are fingerprinted again.
     """
-    found = settle(clustered(df, key, column).select(key, "component_id"))
-    dropped = settle(found.where(F.col(key) != F.col("component_id")).select(key).distinct())
-    left = df.join(dropped, key, "left_anti").select(*df.columns)
-    again = found.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    if again.isEmpty():
+    marked, labelled = _labelled(df, key, column, RADIUS)
+    labelled = settle(labelled)
+    least = labelled.where("first is not null").groupBy("label").agg(F.min(F.struct("first", "fp")).alias("_b"))
+    chosen = settle(least.select(F.col("_b.fp").alias("fp"), F.col("_b.first").alias("_chosen")))
+    rows = marked.where(F.col(key).isNotNull()).join(chosen, "fp", "left")
+    stays = F.count_if(F.col(key) == F.col("_chosen"))
+    ids = settle(rows.groupBy(key).agg(F.count("*").alias("_n"), stays.alias("_stay")).where("_n > 1 or _stay = 0"))
+    left = df.join(ids.where("_stay = 0").select(key), key, "left_anti").select(*df.columns)
+    nameless = settle(marked.where(F.col(key).isNull()).select("fp").distinct())
+    again = ids.where("_stay > 0").select(key)
+    if again.isEmpty() and nameless.isEmpty():
         return left
-    named = left.where(F.col(key).isNotNull()).dropDuplicates([key])
-    return named.unionByName(left.where(F.col(key).isNull()))
+    once = left.where(F.col(key).isNotNull()).join(again, key, "left_anti")
+    pairs = chosen.select(F.col("_chosen").alias(key), F.col("fp").alias("_fp"))
+    several = _printed(left.join(again, key, "left_semi").select(*df.columns), column).join(pairs, [key, "_fp"], "left_semi")
+    lone = nameless.join(labelled, "fp").groupBy("label").agg(F.min("fp").alias("_fp")).select("_fp")
+    unnamed = _printed(left.where(F.col(key).isNull()), column).join(lone, "_fp", "left_semi")
+    kept = several.dropDuplicates([key, "_fp"]).unionByName(unnamed.dropDuplicates(["_fp"]))
+    return once.select(*df.columns).unionByName(kept.select(*df.columns))
