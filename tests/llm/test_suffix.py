@@ -46,6 +46,14 @@ def test_shared_lengths(strings):
         assert got[i].tolist() == [suffix.common(a, b) for b in strings]
 
 
+def test_small_groups_are_sorted(monkeypatch):
+    sorted_, plain = [], suffix.deep_shallow
+    monkeypatch.setattr(suffix, "deep_shallow", lambda strings: sorted_.append(len(strings)) or plain(strings))
+    group = [(1, 200, c.encode() * 100 + b"x" * 400 + c.encode() * 100) for c in "ab"]
+    assert suffix.repeated(group, 0, 200) == [[(-100, 300)]] * 2
+    assert sorted_ == [2, 2]
+
+
 def test_every_string_holds_an_anchor():
     draw = random.Random(1)
     for text in (draw.randbytes(3000), b"ab" * 900, bytes(5000), draw.randbytes(400), draw.randbytes(90) * 30):

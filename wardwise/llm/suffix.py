@@ -44,7 +44,6 @@ LENGTH, MER = 400, 200
 SIDE = LENGTH - MER
 SHALLOW, CHUNK = 32, 8
 GROUP = 256
-MANY = 24  # members from which pairs are compared in bulk
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -239,8 +238,6 @@ def deep_shallow(strings: list[bytes]) -> list[int]:
 
 def shared_lengths(strings: list[bytes], wanted: list[int]) -> np.ndarray:
     """For each wanted string, its common length with every string."""
-    if len(strings) < MANY:
-        return np.array([[common(strings[i], s) for s in strings] for i in wanted], "i4").reshape(len(wanted), -1)
     order = deep_shallow(strings)
     steps = np.array([common(strings[a], strings[b]) for a, b in zip(order, order[1:])], "i4")
     place = np.empty(len(order), "i8")
