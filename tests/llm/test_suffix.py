@@ -102,6 +102,26 @@ def test_against_all_strings(rows, monkeypatch, group):
     assert sorted(str(r.text) for r in kept.collect()) == sorted(map(str, want))
 
 
+def test_groups_of_joined_classes_do_not_move(rows, monkeypatch):
+    monkeypatch.setattr(suffix, "GROUP", 4)
+    moved, plain = [], suffix._sorted_groups
+
+    def watched(groups):
+        moved.extend(tuple(r) for r in groups.select("key", "low", "high", "size").collect())
+        return plain(groups)
+
+    monkeypatch.setattr(suffix, "_sorted_groups", watched)
+    made = []
+    for i in range(12):  # the 100 bytes before the anchor stand twice, what precedes them does not
+        around = chr(65 + i).encode() * 100 + chr(97 + i // 2).encode() * 100 + b"." * 400
+        made.append((1, i, 1, i, 600, 200, 200, bytearray(around)))
+    df = rows("key long, ctx long, size long, fp long, n int, at int, left int, bytes binary", *made)
+    got = {(r.fp, r.start, r.end) for r in suffix.compared(df).collect()}
+    assert {i: suffix.merged((a, b) for f, a, b in got if f == i) for i in range(12)} == {i: [(100, 600)] for i in range(12)}
+    open_ = {m[:3] for m in moved if m[3] == 1}
+    assert moved and all(m[:3] in open_ for m in moved)
+
+
 def test_documents(spark):
     from wardwise.llm.common import table
 

@@ -334,15 +334,17 @@ def compared(classes: DataFrame) -> DataFrame:
     """Spans of classes of one, from comparison within their groups.
 
     Splitting joins classes again: what made them differ may lie outside the half.
+    Groups left without a class of one are dropped before they move, whatever their size.
     """
     spans = None
     groups = settle(classes.withColumns({"low": F.lit(0), "high": F.lit(SIDE)}))
     of = ["key", "low", "high"]
     while True:
         sizes = groups.groupBy(*of).agg(F.count("*").alias("_c"), F.count_if(F.col("size") == 1).alias("_s"))
-        large = settle(sizes.where(f"_c > {GROUP} and _s > 0 and low < high").select(*of))
+        apart = settle(sizes.where(f"_s = 0 or _c > {GROUP} and low < high"))  # nothing to find, or to be split
+        large = apart.where("_s > 0").select(*of)
         some = not large.isEmpty()
-        found = _sorted_groups(groups.join(large, of, "left_anti") if some else groups)
+        found = _sorted_groups(groups.join(apart.select(*of), of, "left_anti"))
         spans = found if spans is None else spans.unionAll(found)
         if not some:
             return spans
