@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wardwise.llm import ann, bm25, bpe, chat, language, packing, pii, simhash, suffix, toxicity
+from wardwise.llm import (
+    ann, bm25, bpe, chat, language, license, negatives, packing, periodic, pii, simhash, suffix, toxicity,
+)
 from wardwise.llm.common import table
 
 
@@ -62,6 +64,24 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark, sf_dir):
+    """License phrases in every text, and what its blocks share with license templates."""
+    return license.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    """Periodic runs of words in every text, a tenth of them made periodic from some word on."""
+    docs = table(spark, sf_dir, "documents")
+    return periodic.digests(docs.select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text")))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    """Hard negatives of every vector whose id is divisible by 100, a seventh of the labels moved on."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.mined(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_bm25": op2_bm25,
@@ -73,9 +93,14 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_license_scan": op11_license_scan,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: DuckDB SQL where it can express the operator.
 ORACLES = {
     "op8_chat_format": chat.ORACLE,
+    "op11_license_scan": license.ORACLE,
+    "op13_hard_negatives": negatives.ORACLE,
 }
