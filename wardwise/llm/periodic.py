@@ -232,11 +232,13 @@ def planted(key: Column, text: Column) -> Column:
     """
     hashed = F.crc32(key.cast("string").cast("binary"))
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n, g = F.size(words), F.floor(hashed / 10)
+    g = F.floor(hashed / 10)
 
-    def rewritten(ws: Column, n: Column) -> Column:
-        a = (g % n).cast("int")
-        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8)).cast("int")
+    def rewritten(ws: Column) -> Column:
+        a = (g % F.size(ws)).cast("int")
+        p = F.lit(1) + F.floor((F.size(ws) - a) / (F.lit(3) + g % 8)).cast("int")
         return F.transform(ws, lambda w, i: F.when(i >= a, F.get(ws, a + (i - a) % p)).otherwise(w))
 
-    return F.when((hashed % 10 == 0) & (n > 0), F.array_join(rewritten(words, n), " ")).otherwise(text)
+    # as a lambda's variable the words are split once, not for every word
+    made = F.transform(F.array(words), rewritten)
+    return F.when(hashed % 10 == 0, F.array_join(F.get(made, F.lit(0)), " ")).otherwise(text)
