@@ -642,8 +642,7 @@ def closest_suppliers(v):
 @query
 def state_scan_nations(v):
     """Suspect states against a vocabulary that comes from a table."""
-    nations = [r.n_name for r in v.table("nation").select("n_name").distinct().collect()]  # a fixed dimension
-    return rounded(scans.state_scan(v.dirty_enrol(), sorted(nations)))
+    return rounded(scans.state_scan(v.dirty_enrol(), v.table("nation").select(F.col("n_name").alias("name"))))
 
 
 def _issues(v, scope):

@@ -67,6 +67,25 @@ def test_similar_pairs_are_all_found(spark_module, names, cutoff, q):
     assert got == expected
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(misspelled(), min_size=1, max_size=25, unique=True), st.lists(misspelled(), min_size=1, max_size=25, unique=True),
+       st.sampled_from([0.4, 0.7]), st.sampled_from([(), (0.85, 0.6)]))
+def test_closest_in_a_vocabulary(spark_module, names, words, cutoff, steps):
+    names, words = [n for n in names if n and n not in words] or ["zz"], [w for w in words if w] or ["zy"]
+    table = lambda rows: spark_module.createDataFrame([(r,) for r in rows], "name string")
+    got = similarity.closest_in(table(names), table(words), cutoff, steps).collect()
+    best = {n: max((ratio(w, n), w) for w in words) for n in names}
+    assert sorted((r.name, r.candidate, r.ratio) for r in got) == sorted((n, w, r) for n, (r, w) in best.items() if r >= cutoff)
+
+
+def test_a_popular_character_is_salted(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "SALT_ROWS", 5)
+    names, words = [f"aaab{i:02d}" for i in range(40)], [f"aaac{i:02d}" for i in range(40)] + ["aaa", "xyz"]
+    table = lambda rows: spark.createDataFrame([(r,) for r in rows], "name string")
+    got = {r.name: (r.ratio, r.candidate) for r in similarity.closest_in(table(names), table(words), 0.4).collect()}
+    assert got == {n: max((ratio(w, n), w) for w in words) for n in names}
+
+
 def test_closest_matches_rank_like_the_library(spark):
     names = [f"District {a}{b}" for a in "abcdefgh" for b in "abcdefgh"] + ["Goa", "Gova", "Districta"]
     assert joined(spark, names) == brute_close(names)
@@ -125,6 +144,16 @@ def test_state_scan(spark):
     assert [r.Conf for r in got] == sorted((r.Conf for r in got), reverse=True)
 
 
+def test_state_scan_against_a_table(spark):
+    """The same as against a list, whatever the vocabulary's size; its nulls and repeats count for nothing."""
+    counts = {"Karnatak": 3, "GOA": 2, "Tamil Nadu": 9, "Orissa": 4, "qqqq": 1, "Delhi ": 2, "": 5}
+    df = facts_of(spark, *[(s, "d", 1, n) for s, n in counts.items()], (None, "d", 1, 1))
+    words = spark.createDataFrame([(n,) for n in [*OFFICIAL_STATES, "Goa", None]], "name string")
+    got = scans.state_scan(df, words).collect()
+    assert {tuple(r) for r in got} == brute_states(counts)
+    assert scans.state_scan(df, words.limit(0)).collect()[0].Fix == "Unknown"
+
+
 def brute_districts(rows, pick="last"):
     count, pins = {}, {}
     for _, d, p, n in rows:

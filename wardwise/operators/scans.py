@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wardwise.functions.similarity import closest_of, pair_ratio
 from wardwise.operators.aggregates import name_counts, pin_labels, pin_overlap, pin_pairs
-from wardwise.operators.similarity import closest_matches
+from wardwise.operators.similarity import closest_in, closest_matches
 from wardwise.sources.dimensions import OFFICIAL_STATES
 from wardwise.sources.tables import settle, spread
 
@@ -18,17 +18,32 @@ DISTRICT_CUTOFF = 0.85
 DISTRICT_CANDIDATES = 5
 
 
-def state_scan(df: DataFrame, official: Sequence[str] = OFFICIAL_STATES) -> DataFrame:
+def state_scan(df: DataFrame, official: DataFrame | Sequence[str] = OFFICIAL_STATES) -> DataFrame:
     """Non-official state names with the closest official one.
 
     ``(Suspect, Fix, Conf, Suspect_Vol)``; ``Unknown`` with Conf 0 when nothing
     is close. Facts are reduced to counts per name before any text work.
+    ``official`` is a fixed short list, tried by character counts, or a table
+    ``(name)`` of any size, which the names meet in a similarity join.
     """
-    counts = name_counts(df, "state").where(~F.col("state").isin(*official))
-    closest = closest_of(official, STATE_CUTOFF)
+    counts = name_counts(df, "state")
+    if isinstance(official, DataFrame):
+        words = official.select("name").dropna().distinct()
+        suspects = settle(counts.join(words, F.col("state") == F.col("name"), "left_anti"))
+        closest = closest_in(suspects.select(F.col("state").alias("name")), words, STATE_CUTOFF)
+        found, conf = suspects.join(closest, F.col("state") == F.col("name"), "left"), pair_ratio()
+        # the ratio of lower-cased texts, unlike the match itself
+        ratio = conf(F.lower("state"), F.lower(F.coalesce("candidate", "state")))
+        match = F.struct(
+            F.coalesce("candidate", F.lit("Unknown")).alias("fix"),
+            F.when(F.col("candidate").isNull(), 0.0).otherwise(ratio).alias("conf"),
+        )
+    else:
+        found = counts.where(~F.col("state").isin(*official))
+        match = closest_of(official, STATE_CUTOFF)("state")
     return (
-        spread(counts, "state")
-        .withColumn("_m", closest("state"))
+        spread(found, "state")
+        .withColumn("_m", match)
         .select(
             F.col("state").alias("Suspect"),
             F.col("_m.fix").alias("Fix"),

@@ -22,6 +22,7 @@ A gram that stays popular is salted by its measured frequency.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -32,7 +33,7 @@ from wardwise.sources.tables import settle, spread
 PAD_LEFT, PAD_RIGHT = "\u0002", "\u0003"
 SALT_ROWS = 4096
 LEFT_OUT = 2  # characters, at most, for names that meet on shortened texts
-FIRST_STEP, STEP = 0.97, 0.03
+FIRST_STEP, STEP = 0.97, 0.06
 EPS = 1e-9
 
 
@@ -69,12 +70,16 @@ def name_tokens(names: DataFrame, q: int) -> DataFrame:
     )
 
 
-def ranked_tokens(names: DataFrame, q: int = 3) -> DataFrame:
-    """``(name, len, tokens)`` with the q-grams of each name, rarest first."""
+def token_frequency(tokens: DataFrame) -> DataFrame:
+    """``(token, df)``, settled: a popular gram can then be split."""
+    return settle(tokens.groupBy("token").agg(F.count("*").alias("df")))
+
+
+def ranked_tokens(names: DataFrame, q: int = 3, frequency: DataFrame | None = None) -> DataFrame:
+    """``(name, len, tokens)`` with the q-grams of each name, rarest first (in ``names``, or as given)."""
     tokens = name_tokens(names, q)
-    frequency = settle(tokens.groupBy("token").agg(F.count("*").alias("df")))  # a popular gram can then be split
     return (
-        tokens.join(frequency, "token")
+        tokens.join(token_frequency(tokens) if frequency is None else frequency, "token")
         .groupBy("name", "len")
         .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
     )
@@ -104,8 +109,14 @@ def prefix_index(ranked: DataFrame, cutoff: float, q: int) -> DataFrame:
     )
 
 
-def shortened(names: DataFrame, cutoff: float) -> DataFrame:
-    """``(name, len, text)``: names without up to ``LEFT_OUT`` characters, as far as the cutoff allows."""
+def _left_out(cutoff: float) -> Column:
+    """Characters a name may leave out, against its shortest admissible partner."""
+    return F.col("len") - F.ceil(F.col("len") * (cutoff / (2.0 - cutoff)) - EPS)
+
+
+def shortened(names: DataFrame, *cutoffs: float) -> DataFrame:
+    """``(name, len, text)``: names without up to ``LEFT_OUT`` characters, as far as any of the cutoffs
+    at which names of their length meet on shortened texts allows."""
     one = F.transform(
         F.sequence(F.lit(1), F.col("len")),
         lambda i: F.concat(F.substring(F.col("name"), F.lit(1), i - 1), F.substring(F.col("name"), i + 1, F.col("len"))),
@@ -120,10 +131,10 @@ def shortened(names: DataFrame, cutoff: float) -> DataFrame:
             ),
         ),
     ))
-    most = F.col("len") - F.ceil(F.col("len") * (cutoff / (2.0 - cutoff)) - EPS)
+    most = F.greatest(F.lit(-1), *[F.when(F.col("len") <= longest_shortened(c), _left_out(c)).otherwise(-1) for c in cutoffs])
     none = F.array().cast("array<string>")
     texts = F.concat(
-        F.array("name"), F.when(most >= 1, one).otherwise(none),
+        F.when(most >= 0, F.array("name")).otherwise(none), F.when(most >= 1, one).otherwise(none),
         F.when((most >= 2) & (F.col("len") >= 2), two).otherwise(none),
     )
     return names.select("name", "len", F.explode(F.array_distinct(texts)).alias("text"))
@@ -139,10 +150,18 @@ def longest_shortened(cutoff: float) -> int:
     return length - 1
 
 
-def shortened_pairs(wanted: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
-    """Directed pairs that share as many characters in order as the cutoff asks for; each once."""
-    left = shortened(wanted, cutoff).select(F.col("name").alias("a"), F.col("len").alias("la"), "text")
-    right = shortened(names, cutoff).select(F.col("name").alias("b"), F.col("len").alias("lb"), F.col("text").alias("text_b"))
+def shortened_pairs(wanted: DataFrame, texts: DataFrame, cutoff: float) -> DataFrame:
+    """Directed pairs that share as many characters in order as the cutoff asks for; each once.
+
+    ``texts`` are the shortened texts of all names, of which those the cutoff allows count.
+    """
+    allowed = texts.where(
+        (F.col("len") <= longest_shortened(cutoff)) & (F.col("len") - F.length("text") <= _left_out(cutoff))
+    )
+    left = allowed.join(wanted.select("name"), "name", "left_semi").select(
+        F.col("name").alias("a"), F.col("len").alias("la"), "text"
+    )
+    right = allowed.select(F.col("name").alias("b"), F.col("len").alias("lb"), F.col("text").alias("text_b"))
     meet = (
         (F.col("text") == F.col("text_b")) & (F.col("a") != F.col("b"))
         & (F.length("text") == _matched(F.col("la"), F.col("lb"), cutoff))
@@ -190,21 +209,24 @@ def candidate_pairs(wanted: DataFrame, ranked: DataFrame, cutoff: float, q: int
     )
 
 
-def similar_pairs(wanted: DataFrame, ranked: DataFrame, cutoff: float, q: int = 3) -> DataFrame:
+def similar_pairs(
+    wanted: DataFrame, ranked: DataFrame, cutoff: float, q: int = 3, texts: DataFrame | None = None
+) -> DataFrame:
     """``(name, candidate, ratio)`` at the cutoff or better, for the wanted names.
 
-    Both sides come from ``ranked_tokens``. The ratio depends on the order of its
+    Both sides come from ``ranked_tokens``; ``texts`` are the ranked names' shortened
+    texts, if they are listed already. The ratio depends on the order of its
     arguments: the candidate comes first.
     """
     limit = longest_shortened(cutoff)
     short, long_ = F.col("len") <= limit, F.col("len") > limit
+    texts = shortened(ranked, cutoff) if texts is None else texts
     pairs = (
-        shortened_pairs(wanted.where(short), ranked.where(short), cutoff)
+        shortened_pairs(wanted.where(short), texts, cutoff)
         .unionAll(candidate_pairs(wanted.where(long_), ranked, cutoff, q))
         .unionAll(candidate_pairs(wanted.where(short), ranked.where(long_), cutoff, q))
     )
-    ratio = pair_ratio(cutoff)
-    return spread(pairs, "name").withColumn("ratio", ratio("candidate", "name")).where(F.col("ratio") >= cutoff)
+    return _rated(pairs, cutoff)
 
 
 def _best(pairs: DataFrame, n: int) -> DataFrame:
@@ -221,14 +243,73 @@ def closest_matches(names: DataFrame, n: int = 5, cutoff: float = 0.85) -> DataF
     rank the larger text first. The name itself is not returned.
     """
     others = n - 1
+    steps = [round(FIRST_STEP - i * STEP, 9) for i in range(int((FIRST_STEP - cutoff) / STEP + 1)) if FIRST_STEP - i * STEP > cutoff + EPS]
     ranked = settle(ranked_tokens(names, 3))
-    wanted, found, step = ranked, [], FIRST_STEP
-    while step > cutoff + EPS:
-        pairs = settle(similar_pairs(wanted, ranked, step))
-        served = pairs.groupBy("name").agg(F.count("*").alias("_n")).where(F.col("_n") >= others)
-        served = settle(served.select("name"))
+    texts = settle(shortened(ranked, *steps, cutoff))
+    wanted, left, found = ranked, ranked.count(), []
+    for step in steps:
+        pairs = settle(similar_pairs(wanted, ranked, step, 3, texts))
+        counts = pairs.groupBy("name").agg(F.count("*").alias("_n"))
+        served = settle(counts.where(F.col("_n") >= others).select("name"))
         found.append(_best(pairs.join(served, "name", "left_semi"), others))
-        wanted = settle(wanted.join(served, "name", "left_anti"))
-        step -= STEP
-    found.append(_best(similar_pairs(wanted, ranked, cutoff), others))
+        done = served.count()
+        if done == left:
+            return reduce(DataFrame.unionByName, found)
+        if done:
+            wanted, left = settle(wanted.join(served, "name", "left_anti")), left - done
+    found.append(_best(similar_pairs(wanted, ranked, cutoff, 3, texts), others))
     return reduce(DataFrame.unionByName, found)
+
+
+# --- names against a vocabulary ------------------------------------------------
+
+
+def counted_pairs(wanted: DataFrame, words: DataFrame, cutoff: float) -> DataFrame:
+    """Pairs ``(name, candidate)`` that share enough characters, in any order, for the cutoff; each once.
+
+    Both sides are ranked by single characters, numbered when they repeat, under one
+    order. Texts that share ``m`` characters share one of each side's rarest
+    ``length - m + 1``, at which they meet (popular ones salted), and are then counted.
+    """
+    m = _matched(F.col("la"), F.col("lb"), cutoff)
+    left = prefix_index(wanted, cutoff, 1).join(wanted.select("name", F.col("tokens.token").alias("ta")), "name").select(
+        F.col("name").alias("a"), F.col("len").alias("la"), F.col("rank").alias("ra"), "ta", "token",
+        F.pmod(F.xxhash64("name"), F.col("salts")).cast("int").alias("salt"),
+    )
+    right = prefix_index(words, cutoff, 1).join(words.select("name", F.col("tokens.token").alias("tb")), "name").select(
+        F.col("name").alias("b"), F.col("len").alias("lb"), F.col("rank").alias("rb"), "tb", F.col("token").alias("token_b"),
+        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt_b"),
+    )
+    shared = F.array_intersect("ta", "tb")  # in the order of both, so its first is where they meet first
+    meet = (
+        (F.col("token") == F.col("token_b")) & (F.col("salt") == F.col("salt_b"))
+        & (F.least("la", "lb") >= m) & (F.col("ra") <= F.col("la") - m + 1) & (F.col("rb") <= F.col("lb") - m + 1)
+        & (F.element_at(shared, 1) == F.col("token")) & (F.size(shared) >= m)
+    )
+    return spread(left, "token", "salt").join(right, meet).select(F.col("a").alias("name"), F.col("b").alias("candidate"))
+
+
+def closest_in(names: DataFrame, words: DataFrame, cutoff: float, steps: Sequence[float] = (0.85, 0.6)) -> DataFrame:
+    """``(name, candidate, ratio)``: the closest word of a vocabulary, for names that have one at the cutoff.
+
+    Both are distinct ``(name)``, neither need be small. A name with a word at a
+    strict step has its closest among those, so only the others go on to the next,
+    where more words share enough characters. Of equal ratios the larger text counts.
+    """
+    frequency = token_frequency(name_tokens(names, 1).unionAll(name_tokens(words, 1)))
+    wanted, ranked = settle(ranked_tokens(names, 1, frequency)), settle(ranked_tokens(words, 1, frequency))
+    found = []
+    for step in [s for s in steps if s > cutoff + EPS]:
+        best = settle(_best(_rated(counted_pairs(wanted, ranked, step), step), 1))
+        found.append(best)
+        wanted = settle(wanted.join(best, "name", "left_anti"))
+        if wanted.isEmpty():
+            break
+    else:
+        found.append(_best(_rated(counted_pairs(wanted, ranked, cutoff), cutoff), 1))
+    return reduce(DataFrame.unionByName, found).drop("rank")
+
+
+def _rated(pairs: DataFrame, cutoff: float) -> DataFrame:
+    ratio = pair_ratio(cutoff)
+    return spread(pairs, "name").withColumn("ratio", ratio("candidate", "name")).where(F.col("ratio") >= cutoff)
