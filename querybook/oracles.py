@@ -340,6 +340,13 @@ _BANDS = ", ".join(
 )
 SER, PROJ = _series(()), _projection()
 
+_REACH = """sum(adult_enrolments)::bigint as adult_enrolments, count(distinct state) as active_states,
+  count(distinct district) as active_districts, count(distinct pincode) filter (where pincode > 0) as active_pins"""
+oracle("reach_by_month", ENROL, f"""
+select date_trunc('month', date)::date as month, state, {_REACH} from enrol group by all""")
+oracle("reach_range", ENROL, f"""
+select {_REACH} from enrol where date between date '1996-03-01' and date '1998-06-30'""")
+
 oracle("daily_change", ENROL, SER, """
 select date, v as adult_enrolments, previous, round(change, 6) as change, from_zero from chg""")
 oracle("volatility", ENROL, SER, "select days, round(volatility, 6) as volatility from ser")
@@ -355,6 +362,18 @@ oracle("forecast_seeded", ENROL, SER, PROJ, f"select date, {_BANDS} from proj")
 oracle("forecast_by_state", ENROL, _series(("state",)),
        _projection(("state",), (("base", 0.0, 14, "Polynomial"),)),
        f"select state, date, {_BANDS} from proj")
+oracle("forecast_bands", ENROL, _series(("state",)), f"""
+draws as (
+  select state, path, step, last_date, start_value, 1::double + 0.005::double
+         + volatility * {_normal("concat_ws('|', '42', state, path::varchar, step::varchar)")} as f
+  from ser, range(1, 201) as a(path), range(1, 15) as b(step)),
+grown as (
+  select state, last_date + step::int as date, greatest(0::double,
+         start_value * product(f) over (partition by state, path order by step)) as value
+  from draws)""", """
+select state, date::date as date, printf('%.9e', quantile_disc(value, 0.1))::double as lower,
+  printf('%.9e', quantile_disc(value, 0.5))::double as middle, printf('%.9e', quantile_disc(value, 0.9))::double as upper
+from grown group by state, date""")
 oracle("forecast_by_district", ENROL, _series(("state", "district")),
        _projection(("state", "district"), (("base", 0.0, 7, "Linear"),)),
        f"select state, district, date, {_BANDS} from proj")

@@ -12,7 +12,7 @@ from wardwise.functions.parse import day_first_date, pin_code
 from wardwise.functions.text import title_case
 from wardwise.operators import aggregates as agg
 from wardwise.operators import anomaly, filters, forecast as fc, geo, governance as gov
-from wardwise.operators import ranking, scans, similarity, workload
+from wardwise.operators import ranking, reach, scans, similarity, workload
 from wardwise.plans import reports
 from wardwise.sources import drop_folder as ingest, exports
 from wardwise.sources.tables import settle
@@ -183,6 +183,19 @@ def kpi_analytics(v):
     return agg.volume_and_reach(v.enrol())
 
 
+@query
+def reach_by_month(v):
+    """Distinct names per month and state from stored cells."""
+    cells = settle(reach.reach_cells(v.enrol()))
+    return reach.reach(cells, [F.date_trunc("month", "date").cast("date").alias("month"), F.col("state")])
+
+
+@query
+def reach_range(v):
+    """Distinct names of a date range from stored cells."""
+    return reach.reach(filters.in_date_range(settle(reach.reach_cells(v.enrol())), *RANGE))
+
+
 @query
 def hotspot(v):
     return agg.hotspot(v.enrol())
@@ -319,6 +332,13 @@ def forecast_by_state(v):
     return significant(fc.forecast(daily, ("state",), horizon=14, model="Polynomial"))
 
 
+@query
+def forecast_bands(v):
+    """Quantiles of 200 seeded paths a state."""
+    daily = agg.daily_totals(v.enrol(), ("state",))
+    return significant(fc.quantile_bands(daily, ("state",), horizon=14, model="Polynomial"))
+
+
 @query
 def forecast_by_district(v):
     keys = ("state", "district")
