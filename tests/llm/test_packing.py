@@ -10,7 +10,6 @@ from wardwise.llm import packing
 
 PATH = P.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-LIBRARY.encode_special_tokens = True
 
 
 def spread_out(made, counts):

@@ -57,7 +57,6 @@ class Chunks:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
