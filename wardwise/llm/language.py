@@ -31,7 +31,7 @@ UNDETERMINED = "und"
 WIDTH = 8192
 SAMPLE, PER_LANGUAGE, CENTROIDS = 2400, 400, 4
 REJECTED_SHARE = 0.005
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # and some signs that are numbers, which isalpha() tells apart
 BLANKS = bytes(i if i > 127 or chr(i).isalpha() else 32 for i in range(256))
 ROWS = 128  # texts per matrix product
 
@@ -127,7 +127,7 @@ def predict(df: DataFrame, model: Model | None, column: str = "text") -> DataFra
         model = shared.value
         n = batch.num_rows
         languages, scores, rejected = [UNDETERMINED] * n, np.zeros(n), np.zeros(n, bool)
-        texts = [(i, t) for i, t in enumerate(batch.column(column).to_pylist()) if t and LETTER.search(t)]
+        texts = [(i, t) for i, t in enumerate(batch.column(column).to_pylist()) if t and any(m.group().isalpha() for m in LETTER.finditer(t))]
         for at in range(0, len(texts) if model else 0, ROWS):
             part = texts[at : at + ROWS]
             near = weigh(np.array([counts(t) for _, t in part]), model.idf) @ model.centroids.T
