@@ -10,13 +10,13 @@ from wardwise.llm import suffix
 L = suffix.LENGTH
 
 
-def plainly(texts):
-    """Per text: its bytes, and the runs covered by strings of 400 bytes that start elsewhere too."""
+def plainly(texts, length=L):
+    """Per text: its bytes, and the runs covered by strings of ``length`` bytes that start elsewhere too."""
     texts = [(t or "").encode() for t in texts]
-    seen = Counter(t[i : i + L] for t in texts for i in range(len(t) - L + 1))
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
     for t in texts:
-        spans = [(i, i + L) for i in range(len(t) - L + 1) if seen[t[i : i + L]] > 1]
+        spans = [(i, i + length) for i in range(len(t) - length + 1) if seen[t[i : i + length]] > 1]
         out.append((t, suffix.merged(spans)))
     return out
 
@@ -135,3 +135,41 @@ def test_empty(rows):
     df = rows("doc_id long, text string", (1, "a"))
     assert suffix.digests(df.limit(0)).collect() == []
     assert suffix.without_repeats(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("length", [64, 240])
+def test_other_lengths(rows, length):
+    texts = corpus()
+    made = [(i, t, 1, "x", 2, 3) for i, t in enumerate(texts)]
+    df = rows("doc_id long, text string, _text int, _fp string, _n long, _spans int", *made)
+    want = []
+    for i, (t, runs) in enumerate(plainly(texts, length)):
+        kept = suffix._kept(t, [{"start": a, "end": b} for a, b in runs])[0].decode("utf-8", "ignore")
+        want.append((i, sum(b - a for a, b in runs), kept if texts[i] is not None else None))
+    got = suffix.digests(df, length=length, with_text=True)
+    assert sorted((r.doc_id, r.n_removed, r.text) for r in got.collect()) == [(i, n, t or "") for i, n, t in want]
+    kept = suffix.without_repeats(df, length=length)
+    assert kept.columns == df.columns
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(str((i, t, 1, "x", 2, 3)) for i, _, t in want)
+
+
+def test_many_copies_of_a_text(rows):
+    """A task sends the anchors of a text twice at most; all copies are cut all the same."""
+    draw = random.Random(2)
+    text = "".join(draw.choice("abcdefgh ") for _ in range(1500))
+    near = [text[:700] + chr(65 + i) + text[701:] for i in range(20)]
+    texts = [text] * 300 + near + ["".join(draw.choice("xyz") for _ in range(700))]
+    df = rows("doc_id long, text string", *enumerate(texts))
+    sent = suffix.anchors(df.coalesce(2)).groupBy("fp", "n").count().collect()
+    assert max(r["count"] for r in sent) <= 4 * len(suffix.anchors_of(text.encode())[0])
+    got = sorted(tuple(r)[1:] for r in suffix.digests(df).collect())
+    assert got == sorted(expected(texts))
+
+
+def test_long_texts(rows):
+    draw = random.Random(4)
+    passage = "".join(draw.choice("klmnopqrst") for _ in range(5000))
+    filler = lambda: "".join(draw.choice("abcdefghij") for _ in range(300_000))
+    texts = [filler() + passage + filler(), passage + filler(), filler()]
+    got = suffix.digests(rows("doc_id long, text string", *enumerate(texts))).orderBy("doc_id").collect()
+    assert [(r.n_removed, r.n_spans) for r in got] == [(5000, 1), (5000, 1), (0, 0)]

@@ -1,15 +1,16 @@
-"""Repeated passages by suffix sorting: every byte of a string of ``LENGTH`` = 400
-bytes that starts anywhere else too.
+"""Repeated passages by suffix sorting: every byte of a string of ``length`` (400 unless
+said otherwise) bytes that starts anywhere else too.
 
-Not all suffixes are sorted, only those at anchors. A rolling hash of the
-``MER`` = 200 bytes from each position is taken; the smallest of any 201 consecutive
-ones marks an anchor. So every string of 400 bytes holds an anchor, and the same
-string holds it at the same place wherever it stands. Two anchors can share such a
-string only if their 200 bytes are equal, and then exactly the strings within
-200 bytes on either side of those 200 are to be compared.
+Not all suffixes are sorted, only those at anchors. A rolling hash of half a
+``length`` from each position is taken; the smallest of any half a length and one
+consecutive ones marks an anchor. With 400: every string of 400 bytes holds an anchor,
+and the same string holds it at the same place wherever it stands. Two anchors can
+share such a string only if their 200 bytes are equal, and then exactly the strings
+within 200 bytes on either side of those 200 are to be compared.
 
 1. Anchors move as hashes: of their 200 bytes, and of their whole surroundings
-   (up to 600 bytes). Anchors with equal surroundings are one class; in a class of
+   (up to 600 bytes). A task sends those of a text twice at most, however many copies
+   it meets: only whether something stands once or more often matters. Anchors with equal surroundings are one class; in a class of
    two or more everything in the surroundings is repeated.
 2. Anchors that are alone in their class, but share their 200 bytes with other
    classes, are compared by their bytes: what follows the anchors of a group is
@@ -23,9 +24,16 @@ string only if their 200 bytes are equal, and then exactly the strings within
 Hashes are polynomials modulo 2^64 over a table of pseudo-random bytes' values,
 mixed; classes are told apart by two of them with different bases.
 
-Texts are taken as UTF-8 bytes; null texts are empty. Texts under 400 bytes keep all their
-bytes. A text is known by its hash and length, so copies, repeated rows and rows
-without an id are right without further ado: they repeat each other.
+Only texts that hold a place in question move, one copy of each, and in the end only
+those with something to cut. Which ones these may be is told by a filter of ``BITS``
+bits over their hashes, a table of 8 MB at most whatever the data; a text that it
+lets through by chance moves for nothing.
+
+Texts are taken as UTF-8 bytes; null texts are empty. Texts under ``length`` bytes keep
+all their bytes, long ones are treated whole. A text is known by its hash and length, so
+copies, repeated rows and rows without an id are right without further ado: they
+repeat each other. Other columns are kept by ``without_repeats``, whatever their
+names, and ignored by ``digests``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,16 +42,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from wardwise.llm.common import LOADED, partitions, per_batch
 from wardwise.sources.tables import settle
 
-LENGTH, MER = 400, 200
-SIDE = LENGTH - MER
+LENGTH = 400
+MER = LENGTH // 2
 SHALLOW, CHUNK = 32, 8
 GROUP = 256
+BITS = 1 << 26
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -91,51 +100,79 @@ def _sliding(values: np.ndarray, width: int, pick, filler: int) -> np.ndarray:
     return pick(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, hashes of the 200 bytes there, hashes of the surroundings)."""
-    n = len(text)
-    if n < LENGTH:
+def anchors_of(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes of the half length there, hashes of the surroundings)."""
+    n, mer = len(text), length // 2
+    side = length - mer
+    if n < length:
         return np.empty(0, "i8"), np.empty(0, "u8"), np.empty(0, "u8")
     b, own, other = np.frombuffer(text, "u1"), rolling(0), rolling(1)
     sums = own.prefix(b)
-    mers = _mix((sums[MER:] - sums[:-MER]) * own.inverses[: n - MER + 1])
-    width = SIDE + 1
+    mers = _mix((sums[mer:] - sums[:-mer]) * own.inverses[: n - mer + 1])
+    width = side + 1
     least = _sliding(mers, width, np.minimum, (1 << 64) - 1)
-    padded = np.zeros(len(least) + 2 * SIDE, "u8")
-    padded[SIDE : SIDE + len(least)] = least
+    padded = np.zeros(len(least) + 2 * side, "u8")
+    padded[side : side + len(least)] = least
     places = np.flatnonzero(_sliding(padded, width, np.maximum, 0) == mers)
-    starts, ends = np.maximum(places - SIDE, 0), np.minimum(places + LENGTH, n)
+    starts, ends = np.maximum(places - side, 0), np.minimum(places + length, n)
     around = other.of(other.prefix(b), starts, ends)
     sides = (places - starts).astype("u8") * np.uint64(1009) + (ends - places).astype("u8")
     return places, mers[places], _mix(around + sides * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _known(df: DataFrame, column: str) -> DataFrame:
-    """With ``_text`` (never null), and its hash and length that stand for it."""
+def _known(df: DataFrame, column: str, *kept: str) -> DataFrame:
+    """(*kept, _text, _fp, _n): the text, never null, and its hash and length that stand for it."""
     text = F.coalesce(F.col(column), F.lit(""))
-    return df.select("*", text.alias("_text")).select("*", F.xxhash64("_text").alias("_fp"), F.octet_length("_text").alias("_n"))
+    return df.select(*kept, text.alias("_text")).select("*", F.xxhash64("_text").alias("_fp"), F.octet_length("_text").alias("_n"))
 
 
-ANCHOR = "key long, ctx long, fp long, n int, at int"
+def _filter(found: DataFrame) -> DataFrame:
+    """(bucket, bits): a bit for every ``fp``; at most ``BITS / 32768`` rows of 4 KB."""
+    slot = _slot(F.col("fp"))
+    return found.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits")
+    )
 
 
-def anchors(df: DataFrame, column: str = "text") -> DataFrame:
-    """(key, ctx, fp, n, at) of every anchor. One narrow pass."""
+def _slot(fp: Column) -> Column:
+    return F.pmod(F.xxhash64(fp), F.lit(BITS)) + 1
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, contexts, places, rows = [], [], [], []
-        for i, text in enumerate(batch.column("_text")):
-            at, key, ctx = anchors_of(text.as_py().encode("utf-8", "replace"))
-            keys.append(key), contexts.append(ctx), places.append(at.astype("i4")), rows.append(np.full(len(at), i))
-        keys, contexts = (pa.array(np.concatenate(x).view("i8")) for x in (keys, contexts))
-        rows = pa.array(np.concatenate(rows))
-        return pa.RecordBatch.from_arrays(
-            [keys, contexts, batch.column("_fp").take(rows), batch.column("_n").take(rows), pa.array(np.concatenate(places))],
-            ["key", "ctx", "fp", "n", "at"],
-        )
 
-    texts = _known(df.select(column), column).select("_text", "_fp", "_n").where(F.col("_n") >= LENGTH)
-    return texts.mapInArrow(per_batch(one), ANCHOR)
+def _told_apart(texts: DataFrame, fp: str, bits: DataFrame) -> DataFrame:
+    """``texts`` with ``_may``: whether the filter has a bit for ``fp``."""
+    at = F.bitmap_bit_position(_slot(F.col(fp)))
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    may = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    rows = texts.withColumn("_at", F.bitmap_bucket_number(_slot(F.col(fp))))
+    return rows.join(F.broadcast(bits), F.col("_at") == F.col("_bucket"), "left").withColumn("_may", may).drop("_at", "_bucket", "_bits")
+
+
+ANCHOR = "key long, ctx long, fp long, n int, at int"
+
+
+def anchors(df: DataFrame, column: str = "text", length: int = LENGTH) -> DataFrame:
+    """(key, ctx, fp, n, at) of every anchor, those of a text twice a task at most. One narrow pass."""
+
+    def run(batches):
+        sent: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            keys, contexts, places, rows = [], [], [], []
+            names = zip(batch.column("_fp").to_pylist(), batch.column("_n").to_pylist())
+            for i, (text, name) in enumerate(zip(batch.column("_text").cast(pa.binary()), names)):
+                sent[name] = sent.get(name, 0) + 1
+                if sent[name] > 2:
+                    continue
+                at, key, ctx = anchors_of(text.as_py(), length)
+                keys.append(key), contexts.append(ctx), places.append(at.astype("i4")), rows.append(np.full(len(at), i))
+            if rows:
+                keys, contexts = (pa.array(np.concatenate(x).view("i8")) for x in (keys, contexts))
+                rows = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [keys, contexts, batch.column("_fp").take(rows), batch.column("_n").take(rows), pa.array(np.concatenate(places))],
+                    ["key", "ctx", "fp", "n", "at"],
+                )
+
+    return _known(df, column).where(F.col("_n") >= length).mapInArrow(run, ANCHOR)
 
 
 # --- deep-shallow sorting ---------------------------------------------------
@@ -252,30 +289,32 @@ def shared_lengths(strings: list[bytes], wanted: list[int]) -> np.ndarray:
     return out
 
 
-def repeated(group: list[tuple[int, int, bytes]], low: int, high: int) -> list[list[tuple[int, int]]]:
+def repeated(group: list[tuple[int, int, bytes]], low: int, high: int, length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """Per member (size of its class, bytes before the anchor, surroundings): what is
     repeated in other members, as (start, end) counted from its anchor.
 
     Strings that start ``low`` to ``high`` bytes before the anchor are looked at.
     Members whose class has more than one are resolved already and get nothing.
     """
+    mer = length // 2
+    side = length - mer
     alone = [i for i, (size, _, _) in enumerate(group) if size == 1]
     out: list[list[tuple[int, int]]] = [[] for _ in group]
     for at in range(0, len(alone), 256):  # bounds the matrices
         part = alone[at : at + 256]
-        after = shared_lengths([s[left + MER :] for _, left, s in group], part)
+        after = shared_lengths([s[left + mer :] for _, left, s in group], part)
         before = shared_lengths([s[:left][::-1] for _, left, s in group], part)
-        first, last = np.maximum(SIDE - after, low), np.minimum(before, high)
+        first, last = np.maximum(side - after, low), np.minimum(before, high)
         for row, i in enumerate(part):
             fits = first[row] <= last[row]
             fits[i] = False
             if not fits.any():
                 continue
-            marks = np.bincount(first[row][fits], minlength=SIDE + 2) - np.bincount(last[row][fits] + 1, minlength=SIDE + 2)
-            covered = np.flatnonzero(np.cumsum(marks)[: SIDE + 1] > 0)
+            marks = np.bincount(first[row][fits], minlength=side + 2) - np.bincount(last[row][fits] + 1, minlength=side + 2)
+            covered = np.flatnonzero(np.cumsum(marks)[: side + 1] > 0)
             if len(covered):
                 for run in np.split(covered, np.flatnonzero(np.diff(covered) > 1) + 1):
-                    out[i].append((-int(run[-1]), LENGTH - int(run[0])))
+                    out[i].append((-int(run[-1]), length - int(run[0])))
     return out
 
 
@@ -284,18 +323,20 @@ def repeated(group: list[tuple[int, int, bytes]], low: int, high: int) -> list[l
 SPAN = "fp long, n int, start int, end int"
 
 
-def _around(found: DataFrame) -> DataFrame:
+def _around(found: DataFrame, length: int) -> DataFrame:
     """The whole surroundings of anchors as spans."""
     return found.select(
-        "fp", "n", F.greatest(F.col("at") - SIDE, F.lit(0)).alias("start"),
-        F.least(F.col("at") + LENGTH, F.col("n")).alias("end"),
+        "fp", "n", F.greatest(F.col("at") - (length - length // 2), F.lit(0)).alias("start"),
+        F.least(F.col("at") + length, F.col("n")).alias("end"),
     )
 
 
-def surroundings(df: DataFrame, wanted: DataFrame, column: str = "text") -> DataFrame:
+def surroundings(df: DataFrame, wanted: DataFrame, column: str = "text", length: int = LENGTH) -> DataFrame:
     """(key, ctx, size, fp, n, at, left, bytes) of the wanted anchors, once each."""
+    side, wanted = length - length // 2, settle(wanted)
     listed = wanted.groupBy("fp", "n").agg(F.collect_list(F.struct("key", "ctx", "size", "at")).alias("anchors"))
-    texts = _known(df.select(column), column).select("_text", F.col("_fp").alias("fp"), F.col("_n").alias("n"))
+    texts = _told_apart(_known(df, column).where(F.col("_n") >= length), "_fp", settle(_filter(wanted))).where("_may")
+    texts = texts.groupBy(F.col("_fp").alias("fp"), F.col("_n").alias("n")).agg(F.any_value("_text").alias("_text"))
     schema = "key long, ctx long, size long, fp long, n int, at int, left int, bytes binary"
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -303,17 +344,17 @@ def surroundings(df: DataFrame, wanted: DataFrame, column: str = "text") -> Data
         for text, fp, n, found in zip(*(batch.column(c).to_pylist() for c in ("_text", "fp", "n", "anchors"))):
             text = text.encode("utf-8", "replace")
             for a in found:
-                start = max(a["at"] - SIDE, 0)
-                rows.append((a["key"], a["ctx"], a["size"], fp, n, a["at"], a["at"] - start, text[start : a["at"] + LENGTH]))
+                start = max(a["at"] - side, 0)
+                rows.append((a["key"], a["ctx"], a["size"], fp, n, a["at"], a["at"] - start, text[start : a["at"] + length]))
         kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()]
         names = ["key", "ctx", "size", "fp", "n", "at", "left", "bytes"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    cut = texts.where(F.col("n") >= LENGTH).join(listed, ["fp", "n"]).select("_text", "fp", "n", "anchors")
-    return cut.mapInArrow(per_batch(one), schema).dropDuplicates(["key", "ctx"])
+    cut = texts.join(listed, ["fp", "n"]).select("_text", "fp", "n", "anchors")
+    return cut.mapInArrow(per_batch(one), schema)  # a class names one text and place, and a text comes once
 
 
-def _halves(groups: DataFrame) -> DataFrame:
+def _halves(groups: DataFrame, length: int) -> DataFrame:
     """Each group as two, by what the strings of either half have in common.
 
     ``same`` is a hash of all that those strings of a member can cover.
@@ -322,22 +363,22 @@ def _halves(groups: DataFrame) -> DataFrame:
     halves = F.array(F.struct("low", mid.alias("high")), F.struct((mid + 1).alias("low"), "high"))
     split = groups.withColumn("_h", F.explode(halves)).drop("low", "high").select("*", "_h.low", "_h.high").drop("_h")
     right = F.octet_length("bytes") - F.col("left")
-    whole = split.where((F.col("left") >= F.col("low")) & (right >= LENGTH - F.col("high")))
-    middle = F.expr(f"substring(bytes, left - low + 1, {LENGTH} - high + low)")
+    whole = split.where((F.col("left") >= F.col("low")) & (right >= length - F.col("high")))
+    middle = F.expr(f"substring(bytes, left - low + 1, {length} - high + low)")
     before = F.least("left", "high")
-    reach = F.least(right, LENGTH - F.col("low"))
+    reach = F.least(right, length - F.col("low"))
     cover = F.substring("bytes", F.col("left") - before + 1, before + reach)
     return whole.withColumns({"key": F.xxhash64("key", "low", "high", middle), "same": F.xxhash64(before, reach, cover)})
 
 
-def compared(classes: DataFrame) -> DataFrame:
+def compared(classes: DataFrame, length: int = LENGTH) -> DataFrame:
     """Spans of classes of one, from comparison within their groups.
 
     Splitting joins classes again: what made them differ may lie outside the half.
     Groups left without a class of one are dropped before they move, whatever their size.
     """
     spans = None
-    groups = settle(classes.withColumns({"low": F.lit(0), "high": F.lit(SIDE)}))
+    groups = settle(classes.withColumns({"low": F.lit(0), "high": F.lit(length - length // 2), "length": F.lit(length)}))
     of = ["key", "low", "high"]
     while True:
         sizes = groups.groupBy(*of).agg(F.count("*").alias("_c"), F.count_if(F.col("size") == 1).alias("_s"))
@@ -348,16 +389,16 @@ def compared(classes: DataFrame) -> DataFrame:
         spans = found if spans is None else spans.unionAll(found)
         if not some:
             return spans
-        split = settle(_halves(groups.join(large, of, "left_semi")))
+        split = settle(_halves(groups.join(large, of, "left_semi"), length))
         alike = split.groupBy(*of, "same").agg(F.sum("size").alias("total"), F.min(F.struct("fp", "n", "at")).alias("rep"))
         joined = settle(split.join(alike, [*of, "same"]))
         again = joined.where("size = 1 and total > 1").select(
             "fp", "n", (F.col("at") - F.least("left", "high")).alias("start"),
-            F.least(F.col("at") - F.col("low") + LENGTH, "n").alias("end"),
+            F.least(F.col("at") - F.col("low") + length, "n").alias("end"),
         )
         spans = spans.unionAll(again)
         groups = joined.where(F.struct("fp", "n", "at") == F.col("rep")).withColumn("size", F.col("total"))
-        groups = groups.select(*classes.columns, "low", "high")
+        groups = groups.select(*classes.columns, "low", "high", "length")
 
 
 def _sorted_groups(groups: DataFrame) -> DataFrame:
@@ -368,12 +409,12 @@ def _sorted_groups(groups: DataFrame) -> DataFrame:
         held: list[tuple] = []
 
         def finish(rows: list[tuple]) -> list[tuple]:
-            low, high = rows[0][1], rows[0][2]
+            low, high, length = rows[0][1], rows[0][2], rows[0][9]
             if len(rows) < 2 or all(r[3] > 1 for r in rows):
                 return []
             if low == high:  # all of them share this very string
-                return [(r[4], r[5], r[6] - low, r[6] - low + LENGTH) for r in rows if r[3] == 1]
-            found = repeated([(r[3], r[7], r[8]) for r in rows], low, high)
+                return [(r[4], r[5], r[6] - low, r[6] - low + length) for r in rows if r[3] == 1]
+            found = repeated([(r[3], r[7], r[8]) for r in rows], low, high, length)
             return [(r[4], r[5], r[6] + a, r[6] + b) for r, spans in zip(rows, found) for a, b in spans]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -383,7 +424,7 @@ def _sorted_groups(groups: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in (*of, "size", "fp", "n", "at", "left", "bytes"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in (*of, "size", "fp", "n", "at", "left", "bytes", "length"))):
                 if held and held[-1][:3] != row[:3]:
                     out += finish(held)
                     held = []
@@ -392,13 +433,13 @@ def _sorted_groups(groups: DataFrame) -> DataFrame:
         if held:
             yield batch_of(finish(held))
 
-    spread = groups.select(*of, "size", "fp", "n", "at", "left", "bytes").repartition(partitions(groups.sparkSession), *of)
+    spread = groups.select(*of, "size", "fp", "n", "at", "left", "bytes", "length").repartition(partitions(groups.sparkSession), *of)
     return spread.sortWithinPartitions(*of).mapInArrow(run, SPAN)
 
 
-def repeated_spans(df: DataFrame, column: str = "text") -> DataFrame:
+def repeated_spans(df: DataFrame, column: str = "text", length: int = LENGTH) -> DataFrame:
     """(fp, n, start, end): spans of texts (by hash and length) that are repeated."""
-    found = settle(anchors(df, column))
+    found = settle(anchors(df, column, length))
     keys = found.groupBy("key").agg(F.count("*").alias("members"), F.min("ctx").alias("_a"), F.max("ctx").alias("_b"))
     keys = settle(keys.where("members > 1").select("key", (F.col("_a") != F.col("_b")).alias("mixed")))  # a hot key can then be split
     shared = settle(found.join(keys, "key"))
@@ -408,10 +449,13 @@ def repeated_spans(df: DataFrame, column: str = "text") -> DataFrame:
         .select("key", "ctx", "size", "_r.*")
     )
     several = classes.where("size > 1").select("key", "ctx")
-    whole = _around(shared.where("not mixed")).unionAll(_around(mixed.join(several, ["key", "ctx"], "left_semi")))
+    places = lambda rows: rows.select("fp", "n", "at").distinct()
+    whole = _around(places(shared.where("not mixed")), length).unionAll(
+        _around(places(mixed.join(several, ["key", "ctx"], "left_semi")), length)
+    )
     open_ = classes.where("size = 1").select("key").distinct()
-    cut = surroundings(df, classes.join(open_, "key", "left_semi"), column)
-    return whole.unionAll(compared(cut))
+    cut = surroundings(df, classes.join(open_, "key", "left_semi"), column, length)
+    return whole.unionAll(compared(cut, length))
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -425,11 +469,17 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
-def _with_spans(df: DataFrame, column: str) -> DataFrame:
-    spans = repeated_spans(df, column).groupBy("fp", "n").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    spans = spans.select(F.col("fp").alias("_sfp"), F.col("n").alias("_sn"), "_spans")
-    known = _known(df, column)
-    return known.join(spans, (F.col("_fp") == F.col("_sfp")) & (F.col("_n") == F.col("_sn")), "left").drop("_sfp", "_sn")
+def _with_spans(df: DataFrame, column: str, length: int, *kept: Column | str) -> DataFrame:
+    """(*kept, _text, _spans): texts that may have spans meet them, the others stay where they are."""
+    spans = settle(
+        repeated_spans(df, column, length).groupBy("fp", "n").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    )
+    known = _told_apart(_known(df, column, *kept), "_fp", settle(_filter(spans)))
+    none = F.lit(None).cast(spans.schema["_spans"].dataType)
+    of = (F.col("_fp") == F.col("fp")) & (F.col("_n") == F.col("n"))
+    met = known.where("_may").join(spans, of, "left").drop("fp", "n")
+    apart = known.where("not _may").withColumn("_spans", none)
+    return met.select(*apart.columns).unionAll(apart).drop("_fp", "_n", "_may")
 
 
 def _kept(text: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
@@ -441,33 +491,44 @@ def _kept(text: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
     return b"".join([*parts, text[end:]]), runs
 
 
-def digests(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+def digests(
+    df: DataFrame, key: str = "doc_id", column: str = "text", length: int = LENGTH, with_text: bool = False
+) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256[, text]) of every row.
+
+    ``text`` is what is kept, without characters cut in two.
+    """
     schema = StructType([df.schema[key]]).add("n_bytes", "long").add("n_removed", "long")
     schema = schema.add("n_spans", "long").add("kept_sha256", "string")
+    kinds = [pa.int64()] * 3 + [pa.string()] * (1 + with_text)
+    schema = schema.add("text", "string") if with_text else schema
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for text, spans in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist()):
-            text = text.encode("utf-8", "replace")
+        for text, spans in zip(batch.column("_text").cast(pa.binary()), batch.column("_spans").to_pylist()):
+            text = text.as_py()
             kept, runs = _kept(text, spans)
-            rows.append((len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
-        kinds = [pa.int64()] * 3 + [pa.string()]
-        return pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], schema.names)
+            shown = (kept.decode("utf-8", "ignore"),) if with_text else ()
+            rows.append((len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *shown))
+        return pa.RecordBatch.from_arrays([batch.column("_key"), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], schema.names)
 
-    return _with_spans(df.select(key, column), column).select(key, "_text", "_spans").mapInArrow(per_batch(one), schema)
+    return _with_spans(df, column, length, F.col(key).alias("_key")).mapInArrow(per_batch(one), schema)
 
 
-def without_repeats(df: DataFrame, column: str = "text") -> DataFrame:
+def without_repeats(df: DataFrame, column: str = "text", length: int = LENGTH) -> DataFrame:
     """Same columns; repeated bytes cut from the texts, characters cut in two dropped. Null stays null."""
     names = df.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")  # under one name, which no column can clash with
+    at = names.index(column)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = []
-        for old, text, spans in zip(*(batch.column(c).to_pylist() for c in (column, "_text", "_spans"))):
-            texts.append(None if old is None else _kept(text.encode("utf-8", "replace"), spans)[0].decode("utf-8", "ignore") if spans else text)
-        at = batch.schema.get_field_index(column)
-        batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-        return batch.select(names)
-
-    return _with_spans(df, column).select(*names, "_text", "_spans").mapInArrow(per_batch(one), df.schema)
+        texts, columns = [], batch.column("_row").flatten()
+        for there, text, spans in zip(columns[at].is_valid(), batch.column("_text"), batch.column("_spans").to_pylist()):
+            text = text.as_py()
+            if spans:
+                text = _kept(text.encode("utf-8", "replace"), spans)[0].decode("utf-8", "ignore")
+            texts.append(text if there.as_py() else None)
+        columns[at] = pa.array(texts, columns[at].type)
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    return _with_spans(df, column, length, row).mapInArrow(per_batch(one), df.schema)
