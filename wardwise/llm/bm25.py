@@ -3,7 +3,8 @@
 Documents become bags of terms once and are written; document frequencies and the
 mean length are counted over all of them. Queries are a stated set of rows. They
 are dealt into blocks of bounded size, and each block is sent to all tasks, which
-read the bags shard by shard (an Arrow batch is a shard) and invert them.
+read the bags shard by shard (an Arrow batch is cut into shards of about ``SHARD``
+postings) and invert them.
 
 In a shard, postings of rarer terms are added up term by term. Terms in more than
 one of ``DENSE`` documents are kept as a matrix, with the largest impact of each
@@ -34,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -44,6 +46,7 @@ WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 QUERIES, POSTINGS = 4096, 2_000_000  # of a block, on average
 DENSE, WIDTH, AT_ONCE = 24, 64, 256
+SHARD = 800_000  # postings
 
 
 def bags(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -243,12 +246,22 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "doc_id", col
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
 
 
+def _parts(batch: pa.RecordBatch):
+    """Slices of about ``SHARD`` postings, or of one document with more."""
+    sizes = pc.binary_length(batch.column("terms")).to_numpy().astype("i8") // 8
+    shard = (np.cumsum(sizes) - sizes) // SHARD
+    cuts = np.flatnonzero(np.diff(shard)) + 1
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
 def _searching(shared, k: int):
     def run(batches):
         best = Best(shared.value, k)
         for batch in batches:
-            if batch.num_rows and len(best.block.ids):
-                best.search(Shard(best.block, batch))
+            for part in _parts(batch) if len(best.block.ids) else ():
+                best.search(Shard(best.block, part))
         rows = [(q, i, -s) for q, held in zip(best.block.ids.tolist(), best.found) for s, i in held]
         columns = zip(*rows) if rows else ([], [], [])
         kinds = (pa.int64(), pa.int64(), pa.float64())
