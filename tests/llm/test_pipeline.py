@@ -40,7 +40,7 @@ def test_stages(spark, tmp_path):
     kept = {i: kept[i] for k, i in enumerate(ids) if i == min(ids[j] for j in groups[k])}
     assert {r.doc_id: r.text for r in step("simhash")} == kept and docs.columns == columns
 
-    cut = plain_repeats(kept.values())
+    cut = plain_repeats(kept.values(), corpus_pipeline.PASSAGE)
     kept = {i: suffix._kept(t, [{"start": a, "end": b} for a, b in runs])[0].decode("utf-8", "ignore")
             for i, (t, runs) in zip(kept, cut)}
     rows = step("suffix_dedup")
@@ -78,3 +78,23 @@ def test_run(spark):
     got = corpus_pipeline.run(spark, SMALL)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert got.count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_odd_documents(spark, rows, tmp_path):
+    """Null ids and texts, repeated rows, clashing columns, an empty table: every stage keeps what is clean."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, _rejected string"
+    shared = " ".join(f"word{i}" for i in range(60))
+    made = [(i, f"document number {i} {chr(97 + i) * 9} " * 3 + (shared if i < 2 else ""), "en", "s", 0, 0.25, 7, "mine") for i in range(12)]
+    made += [(None, None, None, None, None, 0.25, 7, "mine"), (50, None, "en", "s", 0, 0.25, 7, "mine"), (51, "", "en", "s", 0, 0.25, 7, "mine")]
+    for given in (made, []):
+        docs = rows(schema, *given)
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, SMALL).write.parquet(str(tmp_path / f"{len(given)}-{name}"))
+            docs = spark.read.parquet(str(tmp_path / f"{len(given)}-{name}"))
+            if name != "packing":
+                assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+                assert {(r.score, r.predicted, r._rejected) for r in docs.collect()} == ({(0.25, 7, "mine")} if given else set())
+            if name == "suffix_dedup" and given:
+                assert all(shared not in (r.text or "") for r in docs.collect())
+                assert len({r.doc_id for r in docs.collect()} & set(range(12))) == 12
+        assert bool(docs.collect()) == bool(given)

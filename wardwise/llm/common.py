@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
@@ -72,13 +73,21 @@ class Memo:
 
 
 class Loaded:
-    """A few heavy read-only objects per worker process, by key."""
+    """A few heavy read-only objects per worker process, by key.
+
+    A key's first part names its operator. Workers outlive a stage; when another
+    operator's objects are loaded, the former one's are given back first.
+    """
 
     def __init__(self, limit: int = 4):
         self.limit, self.held = limit, OrderedDict()
 
-    def get(self, key, make: Callable):
+    def get(self, key: tuple, make: Callable):
         if key not in self.held:
+            if any(k[0] != key[0] for k in self.held):
+                self.held.clear()
+                gc.collect()
+                pa.default_memory_pool().release_unused()
             while len(self.held) >= self.limit:
                 self.held.popitem(last=False)
             self.held[key] = make()

@@ -154,12 +154,14 @@ def learn(
     return fit([(r.words.split(), r._y) for r in rows], counts.get(0, 0) / max(counts.get(1, 0), 1))
 
 
-def score(df: DataFrame, model: Model | None, column: str = "text") -> DataFrame:
-    """Adds ``score`` (0 to 1) and ``predicted`` (1 from 0.5). Nothing is shuffled."""
+def score(
+    df: DataFrame, model: Model | None, column: str = "text", names: tuple[str, str] = ("score", "predicted")
+) -> DataFrame:
+    """Adds ``score`` (0 to 1) and ``predicted`` (1 from 0.5), in place of columns of these ``names``. Nothing is shuffled."""
+    kept = df.drop(*names)
     if model is None:
-        return df.drop("score", "predicted").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
-    kept = df.drop("score", "predicted")
-    schema = StructType([*kept.schema.fields]).add("score", "double").add("predicted", "integer")
+        return kept.withColumns({names[0]: F.lit(0.0), names[1]: F.lit(0)})
+    schema = StructType([*kept.schema.fields]).add(names[0], "double").add(names[1], "integer")
     evidence = np.array(model.evidence)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
