@@ -16,6 +16,9 @@ from wardwise.llm import packing, pii, simhash, suffix, toxicity
 from wardwise.llm.common import importable, table
 from wardwise.sources.tables import shared_folder
 
+#: bytes of a repeated passage: one of 50 words has 270 and more
+PASSAGE = 240
+
 
 def _recounted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -25,7 +28,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression distance does not reject."""
     importable(spark)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    names = "_score", "_rejected"
+    while set(names) & set(docs.columns):  # a given column keeps its values
+        names = tuple(f"_{n}" for n in names)
+    return toxicity.score(docs, model, names=names).where(F.col(names[1]) == 0).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +41,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that repeated strings of 400 bytes cover."""
+    """Texts without the bytes that repeated strings of ``PASSAGE`` bytes cover."""
     importable(spark)
-    return _recounted(suffix.without_repeats(docs))
+    return _recounted(suffix.without_repeats(docs, length=PASSAGE))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
