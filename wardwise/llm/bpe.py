@@ -241,7 +241,7 @@ class Text:
 
 def codec(path: str, pattern: str = public_tokenizers.PATTERN) -> Codec:
     """The codec of this worker process."""
-    return LOADED.get(("bpe", path, pattern), lambda: Codec(path, pattern))
+    return LOADED.get((__name__, path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(df: DataFrame, path: str, column: str = "text", into: str = "ids") -> DataFrame:

@@ -13,12 +13,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+BATCH_BYTES = 8 << 20
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers on this installation path import the package.
+    """Let Python workers on this installation path import the package, in batches of bounded size.
 
     A cluster has it installed or shipped with ``--py-files``; this covers a
-    session that was started from another folder.
+    session that was started from another folder. Batches of texts are bounded by
+    bytes, as thousands of long ones are far more than a worker needs at once.
     """
+    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(batch).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(batch, str(BATCH_BYTES))
     have = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, have]))
@@ -42,6 +49,7 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]):
     """A ``mapInArrow`` function from one that maps a single batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        LOADED.leave(fn.__module__)
         for batch in batches:
             if batch.num_rows:
                 yield fn(batch)
@@ -82,12 +90,16 @@ class Loaded:
     def __init__(self, limit: int = 4):
         self.limit, self.held = limit, OrderedDict()
 
+    def leave(self, operator: str) -> None:
+        """Give back what other operators have loaded."""
+        if any(k[0] != operator for k in self.held):
+            self.held.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+
     def get(self, key: tuple, make: Callable):
+        self.leave(key[0])
         if key not in self.held:
-            if any(k[0] != key[0] for k in self.held):
-                self.held.clear()
-                gc.collect()
-                pa.default_memory_pool().release_unused()
             while len(self.held) >= self.limit:
                 self.held.popitem(last=False)
             self.held[key] = make()

@@ -122,7 +122,7 @@ def cut(
         schema = schema.add("ids", BinaryType())
 
     def run(batches):
-        chunks = LOADED.get(("chunks", path), lambda: Chunks(path))
+        chunks = LOADED.get((__name__, path), lambda: Chunks(path))
         task, made, ending = TaskContext.get().partitionId(), defaultdict(int), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, taken = [], []

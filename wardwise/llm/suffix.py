@@ -86,7 +86,7 @@ class Rolling:
 
 def rolling(nth: int) -> Rolling:
     base, salt = ((0xD6E8FEB86659FD93, 1), (0xA0761D6478BD642F, 7))[nth]
-    return LOADED.get(("rolling", nth), lambda: Rolling(base, salt))
+    return LOADED.get((__name__, nth), lambda: Rolling(base, salt))
 
 
 def _sliding(values: np.ndarray, width: int, pick, filler: int) -> np.ndarray:

@@ -165,7 +165,7 @@ def score(
     evidence = np.array(model.evidence)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cells = LOADED.get(("toxic", model), lambda: Cells(model.ordinary, model.toxic))
+        cells = LOADED.get((__name__, model), lambda: Cells(model.ordinary, model.toxic))
         known = cells.known
         scores = np.empty(batch.num_rows)
         for i, text in enumerate(batch.column(column)):
