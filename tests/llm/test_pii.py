@@ -109,3 +109,43 @@ def test_rows(rows):
     assert pii.digests(df.limit(0), None).collect() == []
     listed = pii.spans(df, field).where("doc_id = 0").first().spans
     assert [(s.kind, s.base) for s in listed] == [("phone", True)]
+
+
+def test_long_regions_are_labelled_whole():
+    """A region far over one share: the same labelling as with all its features held at once."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    pieces = ["+1 (361) 555-8283", "4734.5612.3000.7777", "12", "97.51.17.173", "a.b", "@x.de", "555 0199", "(", "-"]
+    text = " ".join(rng.choice(pieces, 600))
+    weights = rng.normal(0, 0.5, (pii.FEATURES, 4))
+    lat = pii.lattice(text, 0, len(text))
+    assert len(lat.starts) > 4 * pii.SHARE
+    want = [(lat.starts[i], lat.starts[j], k, v) for i, j, k, v in pii.best_labels(lat, weights)]
+    assert pii.labelled(text, 0, len(text), weights) == want and want
+    numbers = "12 34 5 " * 2000
+    assert pii.regions(numbers) == [(0, len(numbers) - 1)]  # one region, not cut
+
+
+def test_added_spans_on_planted_variants(spark):
+    """Trained on every second document of sf0.1; numbers rewritten in the others are found, and little else."""
+    texts = [r.text or "" for r in table(spark, "/root/testdata/sf0.1", "documents").orderBy("doc_id").collect()]
+    seen = sorted({t[max(0, a - 12) : b + 1] for t in texts[::2] for a, b in pii.regions(t) if b - a <= pii.WIDEST})
+    field = pii.train(seen[: pii.REGIONS])
+    hits = missed = false = 0
+    for text in texts[1::2]:
+        false += len(pii.added_spans(text, pii.base_spans(text), field))
+        if other := pii.rewritten(text):
+            base = pii.base_spans(other[0])
+            got, want = set(pii.added_spans(other[0], base, field)), set(other[1]) - set(base)
+            hits, missed, false = hits + len(got & want), missed + len(want - got), false + len(got - want)
+    assert hits + missed > 100
+    assert hits >= 0.9 * (hits + missed) and false <= 0.1 * hits
+
+
+def test_clashing_columns(rows):
+    df = rows("doc_id long, text string, spans string, kind int, base string", (1, "mail a@b.cd", "mine", 7, "b"), (2, None, None, None, None))
+    got = pii.spans(df, None).collect()
+    assert [(r.kind, r.base) for r in got] == [(7, "b"), (None, None)]
+    assert [(s.kind, s.start, s.end) for s in got[0].spans] == [("email", 5, 11)] and got[1].spans == []
+    assert [tuple(r) for r in pii.redact(df, None).collect()] == [(1, "mail <email>", "mine", 7, "b"), (2, None, None, None, None)]

@@ -3,25 +3,32 @@
 The patterns give the base spans. Around everything that looks like a number of
 seven digits or more, or holds an at sign, a region is cut into tokens, and a
 semi-Markov conditional random field chooses segments and their types jointly:
-each candidate segment is scored as a whole (digits, groups, signs, borders, the
-word before), and dynamic programming over segments of at most ``LONGEST`` tokens
-finds the best labelling. Segments of a kind that touch no base span and beat
-"nothing" by as much as nearly all training spans do are added.
-
-The field is trained on a bounded sample of regions (``REGIONS``, chosen by a
-hash of their text), with the base spans as labels, by gradient steps on the log
-likelihood. Finding spans is one narrow pass over whole texts.
+each candidate segment is scored as a whole (digits, groups, signs, check digit,
+borders, the word before), and dynamic programming over segments of at most
+``LONGEST`` tokens finds the best labelling of the whole region, however long it
+is. Segments of a kind that touch no base span and beat "nothing" by as much as
+nearly all training spans do are added.
+
+The field is trained on a bounded sample of regions (``REGIONS`` of at most
+``WIDEST`` characters, chosen by a hash of their text) by gradient steps on the log
+likelihood. Labels are the base spans; so that the field learns more than the
+patterns, every region with a span counts once more with the span rewritten
+(``rewritten``): telephone numbers without their plus sign, cards in dotted groups.
+Finding spans is one narrow pass over whole texts.
 
 Offsets count code points; ends are exclusive. Null texts are empty: no spans.
 Repeated rows give repeated rows; an empty table gives no rows, and a corpus
-without a region no added spans.
+without a region no added spans. ``spans`` replaces a given column of that name;
+all other columns are kept as they are, and ``redact`` changes the text alone.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +47,8 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NUMBER = re.compile(r"[0-9](?:[ .()-]{0,3}[0-9]){6,}+")
 AROUND = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-()@")
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s+|.", re.S)
-REGIONS, EPOCHS, LONGEST, REACH, WIDEST = 800, 6, 16, 64, 2048
+REGIONS, EPOCHS, LONGEST, REACH, WIDEST = 800, 6, 16, 64, 512
+SHARE = 256  # tokens whose segments are scored at a time
 ADDED_QUANTILE = 0.05
 
 Span = tuple[str, int, int]
@@ -94,10 +102,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """What the field looks at: numbers and at signs, with what adjoins them.
-
-    A run of more than ``WIDEST`` characters is looked at in parts of that many.
-    """
+    """What the field looks at: numbers and at signs, with up to ``REACH`` characters that adjoin them."""
     found = [(m.start(), m.end()) for m in NUMBER.finditer(text)]
     at = text.find("@")
     while at >= 0:
@@ -115,10 +120,10 @@ def regions(text: str) -> list[tuple[int, int]]:
             grown[-1] = (grown[-1][0], max(b, grown[-1][1]))
         else:
             grown.append((a, b))
-    return [(at, min(at + WIDEST, b)) for a, b in grown for at in range(a, b, WIDEST)]
+    return grown
 
 
-FEATURES = 44
+FEATURES = 46
 
 
 def features(tokens: list[str], i: int, j: int, before: str, after: str) -> list[int]:
@@ -151,6 +156,8 @@ def features(tokens: list[str], i: int, j: int, before: str, after: str) -> list
         found.append(42)
     if not segment[-1].isalnum():
         found.append(43)
+    if 14 <= digits <= 19:
+        found.append(44 if luhn(_digits(segment)) else 45)
     return found
 
 
@@ -163,14 +170,10 @@ class Lattice:
     matrix: np.ndarray
 
 
-def lattice(text: str, a: int, b: int) -> Lattice:
-    tokens = TOKEN.findall(text, a, b)
-    starts = [a]
-    for t in tokens:
-        starts.append(starts[-1] + len(t))
-    before, after = text[max(0, a - 12) : a], text[b : b + 1]
+def _candidates(tokens: list[str], firsts: range, before: str, after: str) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """The segments that start at ``firsts``, and their features."""
     segments, matrix = [], []
-    for i in range(len(tokens)):
+    for i in firsts:
         if tokens[i].isspace():
             continue
         for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
@@ -180,23 +183,32 @@ def lattice(text: str, a: int, b: int) -> Lattice:
             row[features(tokens, i, j, before, after)] = 1
             segments.append((i, j))
             matrix.append(row)
-    return Lattice(starts, segments, np.array(matrix, "f4").reshape(-1, FEATURES))
+    return segments, np.array(matrix, "f4").reshape(-1, FEATURES)
 
 
-def best_labels(lat: Lattice, weights: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """The best labelling: (first token, end token, kind, score); tokens outside score 0."""
-    n = len(lat.starts) - 1
-    scores = lat.matrix @ weights
-    kinds, tops = scores.argmax(1), scores.max(1) if len(scores) else []
-    ending: list[list[int]] = [[] for _ in range(n + 1)]
-    for s, (_, j) in enumerate(lat.segments):
-        if tops[s] > 0:
-            ending[j].append(s)
+def _cut(text: str, a: int, b: int) -> tuple[list[str], list[int], str, str]:
+    """A region's tokens, where they start, and what stands before and after it."""
+    tokens, starts = TOKEN.findall(text, a, b), [a]
+    for t in tokens:
+        starts.append(starts[-1] + len(t))
+    return tokens, starts, text[max(0, a - 12) : a], text[b : b + 1]
+
+
+def lattice(text: str, a: int, b: int) -> Lattice:
+    tokens, starts, before, after = _cut(text, a, b)
+    return Lattice(starts, *_candidates(tokens, range(len(tokens)), before, after))
+
+
+def _best(n: int, scored: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+    """The best choice of segments (first, end, kind, score) that do not overlap among ``n`` tokens."""
+    ending: dict[int, list[int]] = {}
+    for s, (_, j, _, _) in enumerate(scored):
+        ending.setdefault(j, []).append(s)
     best, back = [0.0] * (n + 1), [-1] * (n + 1)
     for j in range(1, n + 1):
         best[j] = best[j - 1]
-        for s in ending[j]:
-            value = best[lat.segments[s][0]] + tops[s]
+        for s in ending.get(j, ()):
+            value = best[scored[s][0]] + scored[s][3]
             if value > best[j]:
                 best[j], back[j] = value, s
     chosen, j = [], n
@@ -205,11 +217,35 @@ def best_labels(lat: Lattice, weights: np.ndarray) -> list[tuple[int, int, int,
         if s < 0:
             j -= 1
         else:
-            chosen.append((*lat.segments[s], int(kinds[s]), float(tops[s])))
-            j = lat.segments[s][0]
+            chosen.append(scored[s])
+            j = scored[s][0]
     return chosen[::-1]
 
 
+def _above(segments: list[tuple[int, int]], matrix: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """Segments that beat "nothing", with their best kind and its score."""
+    scores = matrix @ weights
+    tops = scores.max(1, initial=-np.inf)
+    return [(*segments[s], int(scores[s].argmax()), float(tops[s])) for s in np.flatnonzero(tops > 0)]
+
+
+def best_labels(lat: Lattice, weights: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """The best labelling: (first token, end token, kind, score); tokens outside score 0."""
+    return _best(len(lat.starts) - 1, _above(lat.segments, lat.matrix, weights))
+
+
+def labelled(text: str, a: int, b: int, weights: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """The best labelling of a region of any length: (start, end, kind, score) in the text.
+
+    Features are held for ``SHARE`` tokens at a time; the choice is made over the whole region.
+    """
+    tokens, starts, before, after = _cut(text, a, b)
+    scored = []
+    for at in range(0, len(tokens), SHARE):
+        scored += _above(*_candidates(tokens, range(at, min(at + SHARE, len(tokens))), before, after), weights)
+    return [(starts[i], starts[j], kind, value) for i, j, kind, value in _best(len(tokens), scored)]
+
+
 def gradient(lat: Lattice, gold: list[tuple[int, int]], weights: np.ndarray) -> np.ndarray:
     """Of the log likelihood: features of the gold segments less the expected ones."""
     n = len(lat.starts) - 1
@@ -241,20 +277,58 @@ class Field:
     least: tuple[float, ...]  # score, by kind, from which a segment is added
 
 
+def _apart(base: list[Span]) -> list[Span]:
+    """Base spans by start, longer ones first, without those that overlap one before."""
+    kept, end = [], 0
+    for span in sorted(base, key=lambda s: (s[1], -s[2])):
+        if span[1] >= end:
+            kept.append(span)
+            end = span[2]
+    return kept
+
+
+def rewritten(text: str) -> tuple[str, list[Span]] | None:
+    """The text with its telephone numbers and cards written as no pattern has them, and all its spans.
+
+    The plus sign of a telephone number goes, and at every second length the country
+    with it; the digits of a card are grouped by four and dotted.
+    """
+    spans, parts, end, changed = [], [], 0, False
+    for kind, a, b in _apart(base_spans(text)):
+        parts.append(text[end:a])
+        new = text[a:b]
+        if kind == "phone":
+            new = new[1:]
+            if b % 2 and (cut := re.match(r"[0-9]{1,3}[ .-]*(?=\(?[0-9])", new)) and len(_digits(new[cut.end() :])) >= 9:
+                new = new[cut.end() :]
+        elif kind == "card":
+            digits = _digits(new)
+            new = ".".join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        changed = changed or new != text[a:b]
+        start = sum(map(len, parts))
+        spans.append((kind, start, start + len(new)))
+        parts.append(new)
+        end = b
+    return ("".join([*parts, text[end:]]), spans) if changed else None
+
+
+def _example(text: str, spans: list[Span]) -> tuple[Lattice, list[tuple[int, int]]]:
+    """The lattice of a whole text, and its spans as (segment, kind)."""
+    lat = lattice(text, 0, len(text))
+    at = {p: k for k, p in enumerate(lat.starts)}
+    index = {s: k for k, s in enumerate(lat.segments)}
+    places = [(index.get((at.get(a), at.get(b))), KINDS.index(kind)) for kind, a, b in spans]
+    return lat, [(s, kind) for s, kind in places if s is not None]
+
+
 def train(texts: list[str]) -> Field | None:
-    """Fit on regions that stand alone as texts, labelled by the base spans."""
+    """Fit on regions that stand alone as texts: as they are, and rewritten."""
     examples = []
     for text in texts:
-        lat = lattice(text, 0, len(text))
-        at = {p: k for k, p in enumerate(lat.starts)}
-        index = {s: k for k, s in enumerate(lat.segments)}
-        gold, end = [], 0
-        for kind, a, b in sorted(base_spans(text), key=lambda s: (s[1], -s[2])):
-            if a >= end and (at.get(a), at.get(b)) in index:
-                gold.append((index[at[a], at[b]], KINDS.index(kind)))
-                end = b
-        if lat.segments:
-            examples.append((lat, gold))
+        examples.append(_example(text, _apart(base_spans(text))))
+        if other := rewritten(text):
+            examples.append(_example(*other))
+    examples = [e for e in examples if e[0].segments]
     if not any(gold for _, gold in examples):
         return None
     weights = np.full((FEATURES, len(KINDS)), -0.1)
@@ -274,20 +348,22 @@ def train(texts: list[str]) -> Field | None:
 def added_spans(text: str, base: list[Span], field: Field | None) -> list[Span]:
     """What the field adds: segments that touch no base span."""
     found = []
+    starts = [a for _, a, _ in base]
+    reach = list(accumulate((b for _, _, b in base), max))  # the farthest end so far
     for a, b in regions(text) if field else []:
-        for i, j, kind, value in best_labels(lat := lattice(text, a, b), field.weights):
-            start, end = lat.starts[i], lat.starts[j]
-            if value >= field.least[kind] and not any(s < end and start < e for _, s, e in base):
+        for start, end, kind, value in labelled(text, a, b, field.weights):
+            before = bisect_left(starts, end)  # base spans that start before the segment's end
+            if value >= field.least[kind] and not (before and reach[before - 1] > start):
                 found.append((KINDS[kind], start, end))
     return found
 
 
-def learn(df: DataFrame, column: str = "text", size: int = REGIONS) -> Field | None:
-    """Train on the ``size`` regions with the smallest digests, counted once each."""
+def learn(df: DataFrame, column: str = "text", size: int = REGIONS, widest: int = WIDEST) -> Field | None:
+    """Train on the ``size`` regions of at most ``widest`` characters with the smallest digests, counted once each."""
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t.as_py() or "" for t in batch.column(column)]
-        found = sorted({t[max(0, a - 12) : b + 1][: 4 * REACH] for t in texts for a, b in regions(t)})
+        found = sorted({t[max(0, a - 12) : b + 1] for t in texts for a, b in regions(t) if b - a <= widest})
         return pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["region"])
 
     cuts = df.select(column).mapInArrow(per_batch(cut), "region string")
