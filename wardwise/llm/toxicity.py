@@ -1,14 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, on ordinary and on toxic text. A window
+Two zstandard dictionaries are built from ordinary and from toxic text. A window
 is one word, written ``REPEATS`` times so that the format's fixed costs do not
-hide its own; it is compressed with either dictionary. A window that the toxic
+hide its own; it is compressed with either dictionary. Runs of more than
+``LONGEST`` characters without a blank are not words (scripts without blanks, glued
+text): their windows are all their stretches of ``GLUED`` characters. A window that the toxic
 dictionary shortens and the ordinary one does not is evidence. How much evidence a
 pair of lengths is, is calibrated on training documents that the dictionaries
 have not seen, and so is the threshold on the sum over a text's distinct
 windows, divided by the root of their number.
 
-The dictionary contents are words: the most frequent ones of ordinary training
+The dictionaries are raw lists of windows, nearly always words: the most frequent ones of ordinary training
 documents, and those that toxic ones hold ``CONTRAST`` times as often. The toxic
 dictionary follows on the ordinary one, so both know ordinary words alike.
 
@@ -17,8 +19,11 @@ chosen by a hash of the id. Scoring is one narrow pass over whole texts.
 
 Null and empty texts score like any text without evidence, below 0.5. Repeated
 labels of a document count as toxic if one does; null labels count not at all.
-Without training documents of both kinds every score is 0. Repeated rows give
-repeated rows; a null id is not held out.
+Without training documents of both kinds every score is 0. Of words that tie for
+the ordinary dictionary the alphabetically first are taken, of thresholds of equal
+F1 the lowest. Repeated rows give repeated rows, an empty table gives no rows; a
+null id is not held out. All other columns are kept as they are; ``score`` takes the
+place of given columns of its two ``names`` only.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from wardwise.llm.common import LOADED, Memo, bucket_of, per_batch
 
 WORD = re.compile(r"\w+")
 TOXIC, ORDINARY = 1200, 2400
-REPEATS, LONGEST = 5, 64  # characters of a window
+REPEATS, LONGEST, GLUED = 5, 32, 6  # characters
 CONTRAST, ORDINARY_WORDS, LEAST_DOCUMENTS = 8, 4000, 3
 WEAK = 0.7  # evidence up to this counts nothing
 LENGTHS, GAINS = 32, 16  # cells of the calibration
@@ -79,11 +84,11 @@ class Cells:
 
 
 def windows(text: str | None) -> set[str]:
-    """Distinct lower-case words; of a longer word, its consecutive parts."""
+    """Distinct lower-case words; of a longer run, its overlapping stretches."""
     found = set(WORD.findall((text or "").lower()))
-    for word in [w for w in found if len(w) > LONGEST]:
-        found.remove(word)
-        found.update(word[i : i + LONGEST] for i in range(0, len(word), LONGEST))
+    for run in [w for w in found if len(w) > LONGEST]:
+        found.remove(run)
+        found.update(run[i : i + GLUED] for i in range(len(run) - GLUED + 1))
     return found
 
 
@@ -108,7 +113,8 @@ def fit(samples: list[tuple[list[str], int]], prior: float) -> Model | None:
     cells = Cells(plain, extra)
     unseen = [np.array([cells.histogram(sorted(words)) for words in side[1::2]]) for side in sides]
     shares = [np.log((h.sum(0) + 0.5) / (h.sum() + 0.5 * h.shape[1])) for h in unseen]
-    evidence = np.maximum(shares[1] - shares[0] - WEAK, 0)
+    shortened = np.arange(LENGTHS * GAINS) % GAINS > 4  # by the toxic dictionary; others are no evidence
+    evidence = np.maximum(shares[1] - shares[0] - WEAK, 0) * shortened
     weak, strong = (_strength(h, evidence) for h in unseen)
     weight = prior * len(strong) / len(weak)  # an ordinary sample stands for so many
     best, threshold = -1.0, 0.0
