@@ -484,6 +484,10 @@ oracle("anomaly_by_pin", ENROL, """by_pin as (
   select state, district, pincode, sum(adult_enrolments)::bigint as adult_enrolments from enrol group by all)""",
        _BY_PIN, """
 select state, district, pincode, adult_enrolments, round(score, 6) as score, anomaly from flagged""")
+_QUANTILE = """
+select '{0}' as measure, {1}::double as share, round(quantile_cont({0}::double, {1}), 6) as value from prices"""
+oracle("line_quantiles", "prices as (select l_extendedprice, l_quantity from lineitem)", " union all ".join(
+    _QUANTILE.format(c, q) for c in ("l_extendedprice", "l_quantity") for q in (0.01, 0.5, 0.95)))
 oracle("anomaly_threshold", ENROL, SHARE, FOREST, """
 select round(max(threshold), 6) as threshold, count(*) filter (where anomaly = -1) as flagged,
        count(*) as groups from flagged""")

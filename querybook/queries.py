@@ -12,7 +12,7 @@ from wardwise.functions.parse import day_first_date, pin_code
 from wardwise.functions.text import title_case
 from wardwise.operators import aggregates as agg
 from wardwise.operators import anomaly, filters, forecast as fc, geo, governance as gov
-from wardwise.operators import ranking, reach, scans, similarity, workload
+from wardwise.operators import quantiles, ranking, reach, scans, similarity, workload
 from wardwise.plans import reports
 from wardwise.sources import drop_folder as ingest, exports
 from wardwise.sources.tables import settle
@@ -196,6 +196,17 @@ def reach_range(v):
     return reach.reach(filters.in_date_range(settle(reach.reach_cells(v.enrol())), *RANGE))
 
 
+@query
+def line_quantiles(v):
+    """Exact quantiles of a column with many values and of one with many ties, by narrowing sketches."""
+    lines = v.table("lineitem")
+    found = [
+        (column, share, quantiles.exact_quantile(lines, column, share, few=5_000))
+        for column in ("l_extendedprice", "l_quantity") for share in (0.01, 0.5, 0.95)
+    ]
+    return rounded(v.spark.createDataFrame(found, "measure string, share double, value double"))
+
+
 @query
 def hotspot(v):
     return agg.hotspot(v.enrol())

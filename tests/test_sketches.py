@@ -6,7 +6,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from wardwise.operators import forecast as fc, reach
+from wardwise.operators import forecast as fc, quantiles, reach
+from wardwise.sources import tables
 
 FACTS = "date date, state string, district string, pincode int, adult_enrolments bigint"
 
@@ -81,3 +82,55 @@ def test_reach_reads_only_the_months_asked_for(spark, facts, tmp_path):
     assert "PartitionFilters: [isnotnull(month" in plan
     empty = reach.reach(reach.read_cells(spark, path, "1999-01-01", "1999-01-02")).first()
     assert tuple(empty) == (0, 0, 0, 0)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.013, 0.5, 0.95, 0.99999, 1.0])
+def test_exact_quantiles(spark, share):
+    """Equal to the library's percentile, over many values, over ties, with NULL and NaN."""
+    n = F.col("id")
+    df = spark.range(30_000).select(
+        F.when(n % 50 != 0, F.pow(n * 7919 % 30_011, F.lit(1.5))).alias("spread"),
+        F.when(n % 3 == 0, 5).otherwise(n % 4).alias("tied"),
+        F.when(n % 7 == 0, float("nan")).otherwise(n.cast("double")).alias("holes"),
+    )
+    want = df.select(
+        F.percentile("spread", share), F.percentile("tied", share), F.percentile(F.when(~F.isnan("holes"), F.col("holes")), share)
+    ).first()
+    got = [quantiles.exact_quantile(df, c, share, few=200) for c in df.columns]
+    assert got == pytest.approx(list(want), rel=1e-12)
+
+
+def test_exact_quantile_of_nothing(spark):
+    assert quantiles.exact_quantile(spark.range(5).selectExpr("cast(null as double) x"), "x", 0.5) is None
+    assert quantiles.exact_quantile(spark.range(1), "id", 0.5) == 0.0
+
+
+def test_only_touched_months_are_made_anew(spark, tmp_path):
+    """New rows change the cells of their months; other months' files stay, and are not read."""
+    table, cells = str(tmp_path / "table"), str(tmp_path / "cells")
+
+    def rows(*values):
+        return spark.createDataFrame(
+            [(d and datetime.date.fromisoformat(d), s, s + "d", p, m) for d, s, p, m in values], FACTS
+        )
+
+    def files(folder, month):
+        return {f.name: f.stat().st_mtime_ns for f in (tmp_path / folder / f"month={month}").glob("*.parquet")}
+
+    def shown():
+        got = reach.reach(reach.read_cells(spark, cells), ["date", "state"])
+        return sorted(map(str, got.collect()))
+
+    assert reach.load_new(rows(("2025-01-03", "a", 1, 5), ("2025-02-03", "a", 2, 7), (None, "b", 3, 1)), table, cells) == [0, 202501, 202502]
+    before = [files(f, m) for f in ("table", "cells") for m in (0, 202501)]
+    assert reach.load_new(rows(("2025-02-03", "a", 9, 10), ("2025-02-04", "b", 2, 1), ("2025-03-01", "a", 1, 1)), table, cells) == [202502, 202503]
+    assert before == [files(f, m) for f in ("table", "cells") for m in (0, 202501)]
+    whole = reach.reach_cells(tables.read_canonical(spark, table, "enrol"))
+    assert shown() == sorted(map(str, reach.reach(whole, ["date", "state"]).collect()))
+    february = tables.read_months(spark, table, "enrol", [202502])
+    assert february.count() == 3
+    assert {f.split("month=")[1][:6] for f in february.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]} == {"202502"}
+    again = shown()
+    reach.refresh_cells(spark, table, cells, [202502])
+    assert shown() == again
+    assert reach.load_new(rows(), table, cells) == [] and shown() == again

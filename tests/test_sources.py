@@ -207,6 +207,10 @@ def test_report_pages(spark, folder):
     kpis = executive["kpis"].first()
     assert (kpis.total_enrolments, kpis.total_bio, kpis.issues) == (42, 4, 0)
     assert executive["outlook"].count() == 30
+    logged = reports.executive_page(feeds.enrol, feeds.bio, ingest_log=feeds.log)["ingest_log"].collect()
+    assert logged == ingest.recent_messages(feeds.log).collect() and 0 < len(logged) <= 10
+    many = spark.createDataFrame([(f"2025-01-{d:02d} 00:00:00", "INFO", f"{d}") for d in range(1, 31)], "ts string, level string, message string")
+    assert [r.message for r in ingest.recent_messages(many).collect()] == [f"{d}" for d in range(30, 20, -1)]
     analytics = reports.analytics_page(feeds.enrol, feeds.bio, "2025-04-03", "2025-04-03")
     assert analytics["kpis"].first() == (30, 1, 1)
     assert analytics["workload"].count() == 4

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardwise.operators.filters import in_date_range
 from wardwise.schema import ENROL_MEASURE
+from wardwise.sources.tables import months_of, read_months, settle, write_canonical, write_months
 
 PRECISION = 14  # a sketch takes at most 2 ** PRECISION bytes
 
@@ -44,6 +45,29 @@ def read_cells(spark: SparkSession, path: str, start: str | None = None, end: st
     return cells.drop("month")
 
 
+def load_new(new: DataFrame, table: str, cells: str, feed: str = "enrol", measure: str = ENROL_MEASURE) -> list[int]:
+    """Add new canonical rows to their months, and replace the cells of those months only.
+
+    What is read and written depends on the new rows and the months they fall in, not
+    on how many other months the tables hold. Cells are made anew from the month's
+    rows, so a second call of ``refresh_cells`` after a failure gives the same cells.
+    Returns the months.
+    """
+    new = settle(new)
+    months = months_of(new)
+    write_canonical(new, table, "append")
+    refresh_cells(new.sparkSession, table, cells, months, feed, measure)
+    return months
+
+
+def refresh_cells(
+    spark: SparkSession, table: str, cells: str, months: Sequence[int], feed: str = "enrol", measure: str = ENROL_MEASURE
+) -> None:
+    """The stored cells of ``months``, made anew from the canonical table."""
+    if months:
+        write_months(reach_cells(read_months(spark, table, feed, list(months)), measure), cells)
+
+
 def reach(cells: DataFrame, keys: Sequence = (), measure: str = ENROL_MEASURE) -> DataFrame:
     """``(keys, measure, active_states, active_districts, active_pins)`` over the given cells; states are exact."""
     count = lambda c: F.hll_sketch_estimate(F.hll_union_agg(c))

@@ -33,6 +33,7 @@ from wardwise.operators.ranking import top_states, watchlist
 from wardwise.operators.workload import workload_by_district, workload_ratio
 from wardwise.schema import BIO_MEASURE, ENROL_MEASURE
 from wardwise.sources import exports
+from wardwise.sources.drop_folder import recent_messages
 from wardwise.sources.tables import settle
 
 
@@ -62,8 +63,10 @@ def kpi_texts(kpis: DataFrame) -> DataFrame:
     )
 
 
-def executive_page(enrol: DataFrame, bio: DataFrame, seed: int = 42) -> dict[str, DataFrame]:
-    """KPI row, risks and 30-day outlook."""
+def executive_page(
+    enrol: DataFrame, bio: DataFrame, seed: int = 42, ingest_log: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """KPI row, risks and 30-day outlook; with an ingest log, its last ten rows."""
     cells = day_cells(enrol)
     risks = settle(risk_table(market_share(cells)))
     outlook = settle(forecast(daily_totals(cells), seed=seed))
@@ -75,6 +78,7 @@ def executive_page(enrol: DataFrame, bio: DataFrame, seed: int = 42) -> dict[str
         "worst_risk": worst_risk(risks),
         "outlook": outlook,
         "outlook_range": summary(outlook),
+        **({} if ingest_log is None else {"ingest_log": recent_messages(ingest_log)}),
     }
 
 

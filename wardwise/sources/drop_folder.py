@@ -307,6 +307,11 @@ def read_feeds(spark: SparkSession, folder: str) -> Feeds:
     return Feeds(enrol, bio, demo, log)
 
 
+def recent_messages(log: DataFrame, n: int = 10) -> DataFrame:
+    """The last ``n`` rows of the ingest log, newest first; rows of one moment by level and message."""
+    return log.orderBy(F.desc("ts"), "level", "message").limit(n)
+
+
 def missing_name_counts(df: DataFrame) -> DataFrame:
     """Rows without a state or district: they belong to no group in any report."""
     return df.agg(

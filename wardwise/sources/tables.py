@@ -67,13 +67,35 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
+def month_of(column: str = "date"):
+    """The partition of a row: year and month, 0 without a date."""
+    return F.coalesce(F.year(column) * 100 + F.month(column), F.lit(0))
+
+
 def write_canonical(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Canonical feed as Parquet, partitioned by month for date pruning.
 
     Rows without a date go to the ``month=0`` partition.
     """
-    month = F.coalesce(F.year("date") * 100 + F.month("date"), F.lit(0))
-    df.withColumn("month", month).write.mode(mode).partitionBy("month").parquet(path)
+    df.withColumn("month", month_of()).write.mode(mode).partitionBy("month").parquet(path)
+
+
+def write_months(df: DataFrame, path: str) -> None:
+    """Like ``write_canonical``, but only the months that ``df`` has rows of are replaced."""
+    df.withColumn("month", month_of()).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("month").parquet(path)
+
+
+def months_of(df: DataFrame) -> list[int]:
+    """The months that ``df`` has rows of; one row a month comes to the driver."""
+    return sorted(r.month for r in df.select(month_of().alias("month")).distinct().collect())
+
+
+def read_months(spark: SparkSession, path: str, feed: str, months: list[int]) -> DataFrame:
+    """The given months of a canonical feed; no other partition is read."""
+    schema = feed_schema(feed).add("month", "integer")
+    return spark.read.schema(schema).parquet(path).where(F.col("month").isin(months)).drop("month")
 
 
 def read_canonical(
