@@ -29,6 +29,9 @@ DEFAULT_SEED = 42
 DEFAULT_HORIZON = 30
 DEFAULT_PATHS, SKETCH_SIZE = 200, 256
 
+# Names of the two series.
+PAST_SERIES, FUTURE_SERIES = "Historical Data", "AI Projection"
+
 
 def daily_change(
     daily: DataFrame, keys: Sequence[str] = (), measure: str = ENROL_MEASURE
@@ -301,14 +304,14 @@ def envelope(history: DataFrame, projected: DataFrame, daily: bool = False,
     else:
         tail = recent_history(history, measure=measure)
     past = tail.select(
-        F.lit("Historical Data").alias("series"),
+        F.lit(PAST_SERIES).alias("series"),
         "date",
         F.col(measure).cast("double").alias("value"),
         F.lit(None).cast("double").alias("upper"),
         F.lit(None).cast("double").alias("lower"),
     )
     future = projected.select(
-        F.lit("AI Projection").alias("series"), "date", F.col("predicted").alias("value"),
+        F.lit(FUTURE_SERIES).alias("series"), "date", F.col("predicted").alias("value"),
         "upper", "lower",
     )
     return past.unionByName(future)
