@@ -62,10 +62,14 @@ def rulings(log: DataFrame) -> DataFrame:
     aggregation per task keeps a name that is ruled on over and over from
     becoming a hot spot.
     """
+    return ruled(entries(log))
+
+
+def ruled(standing: DataFrame) -> DataFrame:
+    """``rulings`` of entries that stand."""
     merged = F.col("action") == "Merge"
     return (
-        entries(log)
-        .groupBy("scope", "original")
+        standing.groupBy("scope", "original")
         .agg(
             F.max(F.when(merged, F.struct("ts", "id", "target"))).getField("target").alias("target"),
             F.bool_or(~merged).alias("deleted"),
