@@ -607,6 +607,8 @@ oracle("audit_view", CUST, LOG, STANDING, f"select {_DISPLAY} from standing wher
 oracle("audit_page", CUST, LOG, STANDING, f"""
 select {_DISPLAY} from (select * from standing where {_DAYS} and scope = 'District'
   order by ts desc, id limit 15 offset 15)""")
+oracle("audit_page_deep", CUST, LOG, STANDING, f"""
+select {_DISPLAY} from (select * from standing order by ts desc, id limit 15 offset 585)""")
 oracle("recent_log", CUST, LOG, STANDING, """
 select id, ts, scope, action, original, target, "user" from standing order by ts desc, id limit 10""")
 oracle("audit_export", CUST, LOG, STANDING, """
@@ -716,6 +718,12 @@ oracle("state_scan_nations", DIRTY, "nations as (select distinct n_name as nm fr
        f"select {_STATE_COLS} from issues")
 oracle("pin_overlap", DIRTY, NEAR, MEETING, """
 select name as suspect, candidate, lp as left_has_pins, rp as right_has_pins, meet as pins_meet from meeting""")
+oracle("pin_overlap_by_bits", DIRTY, NEAR, MEETING, """
+select name as suspect, candidate, lp as left_has_pins, rp as right_has_pins, meet as pins_meet,
+  (select count(*) from pins p join pins q on p.pincode = q.pincode
+   where p.district = name and q.district = candidate)::bigint as shared from meeting""")
+oracle("pin_counts", ENROL, """
+select district, count(distinct pincode)::bigint as n_pins from enrol where pincode > 0 group by district""")
 
 _OPEN = """open_issues as (
   select * from issues where Suspect not in (select original from standing where scope = '{scope}'))"""

@@ -10,12 +10,12 @@ from querybook.views import Views
 from wardwise.functions.draws import jitter
 from wardwise.functions.parse import day_first_date, pin_code
 from wardwise.functions.text import title_case
-from wardwise.operators import aggregates as agg
+from wardwise.operators import aggregates as agg, bitmaps
 from wardwise.operators import anomaly, filters, forecast as fc, geo, governance as gov
 from wardwise.operators import quantiles, ranking, reach, scans, similarity, workload
 from wardwise.plans import reports
-from wardwise.sources import drop_folder as ingest, exports
-from wardwise.sources.tables import settle
+from wardwise.sources import audit_table, drop_folder as ingest, exports
+from wardwise.sources.tables import fresh_path, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -247,6 +247,24 @@ def pin_overlap(v):
     return agg.pin_overlap(pairs, pins, "suspect", "candidate")
 
 
+@query
+def pin_overlap_by_bits(v):
+    """The same by bitmaps, with the number of common PINs."""
+    dirty = v.dirty_enrol()
+    maps = settle(bitmaps.pin_bitmaps(dirty))
+    names = maps.select(F.col("district").alias("name")).distinct()
+    near = similarity.closest_matches(names)
+    pairs = settle(near.select(F.col("name").alias("suspect"), "candidate"))
+    return bitmaps.pin_overlap(pairs, maps, "suspect", "candidate")
+
+
+@query
+def pin_counts(v):
+    """Distinct PINs per district, united from bitmaps per month."""
+    months = v.enrol().withColumn("month", F.date_trunc("month", "date"))
+    return bitmaps.pin_counts(bitmaps.united(settle(bitmaps.pin_bitmaps(months, ("district", "month")))))
+
+
 # --- workload -------------------------------------------------------------------
 
 
@@ -623,6 +641,14 @@ def audit_page(v):
     )
 
 
+@query
+def audit_page_deep(v):
+    """A page far down the audit view, read from the days that hold it."""
+    path = fresh_path(v.spark)
+    audit_table.write_audit(v.governance_log(), path)
+    return gov.audit_display(audit_table.page(v.spark, path, 40, gov.LOG_PER_PAGE))
+
+
 @query
 def audit_view(v):
     return gov.audit_display(gov.audit(v.governance_log(), "2024-01-05", "2024-01-20"))

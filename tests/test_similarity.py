@@ -1,5 +1,6 @@
 """Scans and the similarity join against plain loops over the standard library."""
 
+import random
 from difflib import SequenceMatcher, get_close_matches
 
 import pytest
@@ -217,3 +218,34 @@ def test_no_pins_and_disjoint_pins(spark):
 def test_unknown_pick_is_refused(spark):
     with pytest.raises(ValueError):
         scans.district_scan(facts_of(spark, *DISTRICTS), "best")
+
+
+def test_roughly_closest_against_exact(spark):
+    """Recall of the banded search against the exact join, on misspelled names; ratios are the exact ones."""
+    rng = random.Random(7)
+    bases = ["".join(rng.choice("abdeghiklmnoprstuv") for _ in range(rng.randint(8, 22))) for _ in range(150)]
+    names = set(bases)
+    for base in bases:
+        for _ in range(3):
+            name = list(base)
+            for _ in range(rng.randint(1, 2)):
+                name[rng.randrange(len(name))] = rng.choice(["", "x", "a", "ss"])
+            names.add("".join(name))
+    df = spark.createDataFrame([(n,) for n in sorted(names)] + [("",)], "name string")
+    exact = {(r.name, r.candidate, r.ratio) for r in similarity.closest_matches(df).collect()}
+    rough = {(r.name, r.candidate, r.ratio) for r in similarity.roughly_closest(df).collect()}
+    recall = len(exact & rough) / len(exact)
+    print("pairs", len(exact), "recall", recall)
+    assert len(exact) > 500 and recall >= 0.95
+    assert all(ratio >= 0.85 for _, _, ratio in rough)
+    few = {(r.name, r.candidate, r.ratio) for r in similarity.roughly_closest(df, bands=2, rows=4).collect()}
+    assert len(exact & few) < len(exact & rough)  # fewer bands find less
+
+
+def test_roughly_closest_salted_and_empty(spark, monkeypatch):
+    names = spark.createDataFrame([(f"Supplier#{i:09d}",) for i in range(60)], "name string")
+    plain = sorted(map(str, similarity.banded_pairs(similarity.min_hashes(names, 24, 2)).collect()))
+    assert len(set(plain)) == len(plain)  # each pair once
+    monkeypatch.setattr(similarity, "SALT_ROWS", 7)
+    assert sorted(map(str, similarity.banded_pairs(similarity.min_hashes(names, 24, 2)).collect())) == plain
+    assert similarity.roughly_closest(names.limit(0)).isEmpty()

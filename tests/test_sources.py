@@ -219,3 +219,21 @@ def test_report_pages(spark, folder):
     shown = reports.map_page(feeds.enrol, states=["Goa", "Karnataka"])
     assert shown["points"].count() == 2
     assert shown["summary"].first()["hotspot"] == "Mysuru"
+
+
+def test_first_lines_of_headerless_files_stay_where_they_are(spark, tmp_path, monkeypatch):
+    """Only headers of a feed come to the driver, however many files start with a line of their own."""
+    for i in range(40):
+        (tmp_path / f"{i}.csv").write_text(f"row {i},{i}\nrow,{i}\n")
+    (tmp_path / "twice.csv").write_text("a,A\n1,2\n")
+    (tmp_path / "blank.csv").write_text(",,\n1,2\n")
+    (tmp_path / "enrol.csv").write_text("date,state,district,pincode,age_18_greater\n01-02-2025,goa,panaji,403001,3\n")
+    collected = []
+    plain = type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda df: collected.append(plain(df)) or collected[-1])
+    feeds = ingest.read_feeds(spark, str(tmp_path))
+    assert sum(len(rows) for rows in collected) == 1
+    monkeypatch.undo()
+    assert [r.adult_enrolments for r in feeds.enrol.collect()] == [3]
+    said = sorted(r.message for r in feeds.log.collect() if r.message.startswith("Left out"))
+    assert said == ["Left out blank.csv: the first line names no columns", "Left out twice.csv: column names repeat in the header"]

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
 
+import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -192,6 +193,20 @@ def layout_of(header: str) -> Layout:
     return Layout(header, names, None if problem else feed_of(names), problem)
 
 
+def header_layouts(headers: DataFrame) -> DataFrame:
+    """(header, names, feed, problem) of distinct ``(header)``, parsed where the headers are."""
+
+    def parse(batches):
+        for pdf in batches:
+            known = [layout_of(h) for h in pdf["header"]]
+            yield pd.DataFrame({
+                "header": pdf["header"], "names": [list(x.names) for x in known],
+                "feed": [x.feed for x in known], "problem": [x.problem for x in known],
+            })
+
+    return headers.mapInPandas(parse, "header string, names array<string>, feed string, problem string")
+
+
 def cell_count(line: Column) -> Column:
     """Cells of a CSV record, from its text: commas outside quotes, and one."""
     bare = F.when(F.contains(line, F.lit('"')), F.regexp_replace(line, '"[^"]*"', "")).otherwise(line)
@@ -239,7 +254,7 @@ def read_feeds(spark: SparkSession, folder: str) -> Feeds:
     """All feeds of a folder, canonical and lazy, plus the ingest log.
 
     The number of jobs does not depend on the number of files: one read finds all
-    header lines, only distinct headers come to the driver, and rows get the layout
+    header lines, only distinct headers of a feed come to the driver, and rows get the layout
     of their file by a join on the path. Cells are bound by position within a layout.
 
     A file with a record of more cells than its header, or a quote that never
@@ -260,13 +275,15 @@ def read_feeds(spark: SparkSession, folder: str) -> Feeds:
     if files is not None:
         lines.append(("INFO", f"CSV files found: {files.count()}"))
         starts = settle(files.join(first_lines(spark, folder), "path", "left"))
-        headers = [r.header for r in starts.select("header").distinct().collect()]  # layouts, not files
-        layouts = dict(enumerate(layout_of(h) for h in headers if h is not None))
-        numbers = spark.createDataFrame(
-            [(k, v.header, len(v.names), v.problem, v.feed is not None) for k, v in layouts.items()],
-            "_layout int, header string, _cells int, problem string, wanted boolean",
+        found = settle(header_layouts(starts.select("header").dropna().distinct()))
+        # headers of a feed are few; a folder of files without header has one first line per file, and those stay
+        ours = found.where(F.col("feed").isNotNull()).collect()
+        layouts = {k: Layout(r.header, tuple(r.names), r.feed, None) for k, r in enumerate(ours)}
+        numbers = spark.createDataFrame([(v.header, k) for k, v in layouts.items()], "header string, _layout int")
+        about = found.join(numbers, "header", "left").select(
+            "header", "_layout", F.size("names").alias("_cells"), "problem", F.col("feed").isNotNull().alias("wanted"),
         )
-        known = starts.join(F.broadcast(numbers), "header", "left").withColumn(
+        known = starts.join(about, "header", "left").withColumn(
             "problem",
             F.when(F.col("problem").isNotNull(), F.col("problem")).when((F.col("quotes") % 2 == 1) & F.col("wanted"), "a quote is never closed"),
         )

@@ -44,6 +44,13 @@ def _release_at_end() -> None:
         release(spark)
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, dropped by ``release``."""
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    SETTLED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and continue from a table in the shared folder.
 
@@ -52,8 +59,7 @@ def settle(df: DataFrame) -> DataFrame:
     size afterwards, so it broadcasts the table only if it is really small.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
-    SETTLED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = fresh_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
