@@ -51,7 +51,7 @@ def shuffled(df) -> int:
         if name == "AdaptiveSparkPlanExec":
             todo.append(node.executedPlan())
             continue
-        if name == "ShuffleQueryStageExec":
+        if name in ("ShuffleQueryStageExec", "ResultQueryStageExec"):
             todo.append(node.plan())
             continue
         if name == "ShuffleExchangeExec":
