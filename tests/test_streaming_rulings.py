@@ -106,3 +106,11 @@ def test_arriving_facts_follow_what_is_in_force(spark, place, tmp_path):
     third, raw = arrive("c.csv", ("goaa", "x", 100))
     assert any("Goaa" in r and "=100" in r for r in third)
     assert bag(gov.govern(raw, stream.in_force(spark, place.kept))) == bag(gov.apply_governance(raw, place.all()))
+
+
+def test_a_log_that_starts_with_reverts(spark, place):
+    place.say(("1", "State", "Revert", "Goaa", "2"))
+    assert place.now().isEmpty()
+    place.say(("2", "State", "Merge", "Goaa", "Goa"), ("3", "District", "Merge", "x", "y"))
+    assert bag(place.now()) == bag(gov.rulings(place.all()))
+    assert place.now().count() == 1
