@@ -75,3 +75,20 @@ def test_vocabulary_knows_unreachable_tokens():
     assert small.encode_piece(b"abab") == [4, 4]
     with pytest.raises(KeyError):
         small.ranks[b"abca"]
+
+
+def test_pieces_with_a_common_head_share_its_table(monkeypatch):
+    calls, vocabulary = [], bpe.Vocabulary.load(PATH)
+    meets = vocabulary._meets
+    monkeypatch.setattr(vocabulary, "_meets", lambda *pair: calls.append(pair) or meets(*pair))
+    pieces = [b" enachsti" + bytes([a, b]) for a in range(97, 107) for b in range(97, 107)]
+    expected = [LIBRARY._encode_single_piece(p) for p in pieces]
+    assert [vocabulary.encode_piece(p) for p in pieces] == expected
+    assert len(vocabulary.heads) and max(map(len, vocabulary.heads)) <= max(bpe.HEADS)
+    first = len(calls)
+    vocabulary.seams.clear()  # what is remembered of heads spares their seams
+    assert [vocabulary.encode_piece(p) for p in pieces] == expected
+    assert len(calls) - first < first
+    monkeypatch.setattr(bpe, "HEAD_MEMORY", 2)
+    monkeypatch.setattr(bpe, "SEAM_MEMORY", 2)
+    assert [vocabulary.encode_piece(p) for p in pieces] == expected

@@ -34,9 +34,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 from wardwise.llm.common import LOADED, Memo, per_batch
 
 NEVER = 1 << 40
-PIECE_MEMORY = 150_000
-RUN_MEMORY = 100_000
-SEAM_MEMORY = 300_000
+PIECE_MEMORY = 200_000
+RUN_MEMORY = 300_000
+SEAM_MEMORY = 600_000
+HEAD_MEMORY, HEADS = 250_000, (10, 7, 5, 3)  # prefixes of so many bytes
 #: the tokenizer's white space: Unicode's, without the four ASCII separators
 SPACE = r"\p{White_Space}"
 
@@ -59,6 +60,9 @@ class Vocabulary:
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.width = len(self.bytes_of)
         self.seams: dict[int, bool] = {}
+        self.heads: dict[bytes, tuple[int, ...]] = {}
+        #: token and next byte to the token that is one byte longer
+        self.longer = {ranks[t[:-1]] << 8 | t[-1]: i for t, i in ranks.items() if t[:-1] in ranks}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -108,42 +112,75 @@ class Vocabulary:
                 right, right_until = self.split(right)[0], right
 
     def extend(self, piece: bytes, table: list[int]) -> list[int]:
-        """Fill in the last tokens of the prefixes that ``table`` lacks."""
+        """Fill in the last tokens of the prefixes that ``table`` lacks.
+
+        Tables of short prefixes, which many pieces share, are remembered. As one
+        token only can be last, the likeliest is tried first: the last of the prefix
+        before, with one more byte.
+        """
         ranks, seams, width, longest = self.ranks, self.seams, self.width, self.longest
-        for end in range(len(table) + 1, len(piece) + 1):
-            for start in range(end - 1, max(-1, end - 1 - longest), -1):
-                token = ranks.get(piece[start:end])
-                if token is None:
-                    continue
-                if not start:
-                    if self.split(token) is not None:
-                        table.append(token)
-                    break
-                seam = table[start - 1] * width + token
-                fits = seams.get(seam)
-                if fits is None:
-                    if len(seams) >= SEAM_MEMORY:
-                        seams.clear()
-                    fits = seams[seam] = self._meets(table[start - 1], token)
-                if fits:
-                    table.append(token)
+        heads, longer, bytes_of, size = self.heads, self.longer, self.bytes_of, len(piece)
+        if not table:
+            for cut in HEADS:
+                if cut <= size and (known := heads.get(piece[:cut])) is not None:
+                    table.extend(known)
                     break
+        last = table[-1] if table else -1
+        for end in range(len(table) + 1, size + 1):
+            guess = token = longer.get(last << 8 | piece[end - 1])  # -1: no token's number
+            fits = False
+            if guess is not None:
+                start = end - len(bytes_of[guess])
+                if start:
+                    fits = seams.get(table[start - 1] * width + guess)
+                    if fits is None:
+                        fits = self.meets(table[start - 1], guess)
+                else:
+                    fits = self.split(guess) is not None
+            if not fits:
+                for start in range(end - 1, max(-1, end - 1 - longest), -1):
+                    token = ranks.get(piece[start:end])
+                    if token is None or token == guess:
+                        continue
+                    if start:
+                        fits = seams.get(table[start - 1] * width + token)
+                        if fits is None:
+                            fits = self.meets(table[start - 1], token)
+                    else:
+                        fits = self.split(token) is not None
+                    if fits:
+                        break
+            table.append(token)
+            last = token
+            if end in HEADS:
+                if len(heads) >= HEAD_MEMORY:
+                    heads.clear()
+                heads[piece[:end]] = tuple(table)
         return table
 
+    def meets(self, left: int, right: int) -> bool:
+        """Whether the right token may follow the left; remembered."""
+        if len(self.seams) >= SEAM_MEMORY:
+            self.seams.clear()
+        fits = self.seams[left * self.width + right] = self._meets(left, right)
+        return fits
+
     def read(self, piece: bytes, table: list[int]) -> list[int]:
         """The encoding that the table holds."""
         whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        ids, end = [], len(piece)
+        return [whole] if whole is not None else self._back(table)
+
+    def _back(self, table: list[int]) -> list[int]:
+        bytes_of, ids, end = self.bytes_of, [], len(table)
         while end:
-            ids.append(table[end - 1])
-            end -= len(self.bytes_of[ids[-1]])
+            last = table[end - 1]
+            ids.append(last)
+            end -= len(bytes_of[last])
         return ids[::-1]
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else self.read(piece, self.extend(piece, []))
+        return [whole] if whole is not None else self._back(self.extend(piece, []))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -160,11 +197,14 @@ class Codec:
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         self.vocabulary = Vocabulary.load(path)
         self.pattern = regex.compile(exact_spaces(pattern))
+        self.words_whole = pattern == public_tokenizers.PATTERN  # a word of ASCII letters is one piece
         self.runs = regex.compile(rf" ?[^{SPACE}]+|{SPACE}+(?![^{SPACE}])|{SPACE}+")
         self.pieces = Memo(lambda piece: tuple(self.vocabulary.encode_piece(piece.encode())), PIECE_MEMORY)
         self.known = Memo(self._encode_run, RUN_MEMORY)
 
     def _encode_run(self, run: str) -> tuple[int, ...]:
+        if self.words_whole and run.isascii() and run[run[0] == " " :].isalpha():
+            return self.pieces[run]
         pieces = self.pattern.findall(run)
         if len(pieces) == 1:
             return self.pieces[pieces[0]]

@@ -57,26 +57,25 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]):
     return run
 
 
-class Memo:
+class Memo(dict):
     """Bounded memory of computed values: two generations, the older is dropped.
 
-    Only saves work; a value that was dropped is computed again.
+    Only saves work; a value that was dropped is computed again. What is
+    remembered is looked up as in any dictionary.
     """
 
     def __init__(self, compute: Callable, limit: int):
-        self.compute, self.limit = compute, limit
-        self.young: dict = {}
-        self.old: dict = {}
+        super().__init__()
+        self.compute, self.limit, self.old = compute, limit, {}
 
-    def __getitem__(self, key):
-        value = self.young.get(key)
+    def __missing__(self, key):
+        value = self.old.get(key)
         if value is None:
-            value = self.old.get(key)
-            if value is None:
-                value = self.compute(key)
-            if len(self.young) >= self.limit:
-                self.old, self.young = self.young, {}
-            self.young[key] = value
+            value = self.compute(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
