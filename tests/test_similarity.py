@@ -249,3 +249,41 @@ def test_roughly_closest_salted_and_empty(spark, monkeypatch):
     monkeypatch.setattr(similarity, "SALT_ROWS", 7)
     assert sorted(map(str, similarity.banded_pairs(similarity.min_hashes(names, 24, 2)).collect())) == plain
     assert similarity.roughly_closest(names.limit(0)).isEmpty()
+
+
+def test_closest_matches_rate_few_of_many_pairs(spark):
+    """Numbered names share all but one character with dozens; few of these are rated."""
+    names = [f"Supplier#{i:06d}" for i in range(400)]
+    rated = spark.sparkContext.accumulator(0)
+    run = similarity.nearest_of(0.85, 4)
+
+    def counted(batches):
+        import difflib
+
+        class Counting(difflib.SequenceMatcher):
+            def ratio(self):
+                rated.add(1)
+                return super().ratio()
+
+        plain, difflib.SequenceMatcher = difflib.SequenceMatcher, Counting
+        try:
+            yield from run(batches)
+        finally:
+            difflib.SequenceMatcher = plain
+
+    pairs = [(a, b, 2.0 * (len(a) - 1) / (2 * len(a))) for a in names for b in names if a != b and ratio(b, a) > 0.9]
+    df = spark.createDataFrame(pairs + pairs[::7], "name string, candidate string, bound double")  # some come twice
+    ordered = df.repartition(3, "name").sortWithinPartitions("name", "bound", similarity.F.desc("candidate"))
+    got = ordered.mapInArrow(counted, "name string, candidate string, ratio double, rank int").collect()
+    assert sorted((r.name, r.candidate, round(r.ratio, 9), r["rank"]) for r in got) == sorted(
+        (a, b, round(r, 9), i + 1)
+        for a in names
+        for i, (r, b) in enumerate(sorted(((ratio(b, a), b) for b in names if b != a), reverse=True)[:4])
+    )
+    assert rated.value < len(pairs) / 3
+
+
+def test_shortened_texts_of_lengths_that_meet(spark):
+    df = spark.createDataFrame([("Supplier#000000001", 18), ("Supplier#000000002", 18)], "name string, len int")
+    assert similarity.shortened(df, 0.97, 0.91, lengths=[18]).count() <= 2 * 19
+    assert similarity.shortened(df, 0.97, 0.91).count() > 4 * similarity.shortened(df, 0.97, 0.91, lengths=[18]).count()

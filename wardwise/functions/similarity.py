@@ -37,6 +37,59 @@ def pair_ratio(cutoff: float = 0.0):
     return ratio
 
 
+def nearest_of(cutoff: float, n: int):
+    """``mapInArrow`` function ``(name, candidate, bound) -> (name, candidate, ratio, rank)``: the ``n`` best at the cutoff.
+
+    Rows come sorted by name, then falling bound and candidate; repeated ones count
+    once. ``bound`` is never below the ratio, so a name is done when its n-th best
+    is not below (bound, candidate) of the next row. Only those n are held.
+    """
+
+    def run(batches):
+        from difflib import SequenceMatcher
+
+        import pyarrow as pa
+
+        matcher, of, last, done, best = SequenceMatcher(None), None, None, False, []
+
+        def ranked():
+            return [(of, candidate, ratio, i + 1) for i, (ratio, candidate) in enumerate(best)]
+
+        def batch_of(rows):
+            kinds = (pa.string(), pa.string(), pa.float64(), pa.int32())
+            columns = zip(*rows) if rows else ([], [], [], [])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["name", "candidate", "ratio", "rank"])
+
+        for batch in batches:
+            out = []
+            for name, candidate, bound in zip(*(batch.column(c).to_pylist() for c in ("name", "candidate", "bound"))):
+                if name != of:
+                    out += ranked()
+                    of, last, done, best = name, None, False, []
+                    prepared = False
+                if done or candidate == last:
+                    continue
+                last = candidate
+                if len(best) == n and best[-1] >= (bound, candidate):
+                    done = True
+                    continue
+                if not prepared:
+                    matcher.set_seq2(name)
+                    prepared = True
+                matcher.set_seq1(candidate)
+                least = best[-1][0] if len(best) == n else cutoff
+                if bound >= cutoff and matcher.quick_ratio() >= least and (ratio := matcher.ratio()) >= least:
+                    best.append((ratio, candidate))
+                    best.sort(reverse=True)
+                    del best[n:]
+            if out:
+                yield batch_of(out)
+        if best:
+            yield batch_of(ranked())
+
+    return run
+
+
 def closest_of(vocabulary: Sequence[str], cutoff: float):
     """UDF ``name -> (fix, conf)`` against a vocabulary that the caller holds.
 

@@ -27,7 +27,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wardwise.functions.similarity import pair_ratio
+from wardwise.functions.similarity import nearest_of, pair_ratio
 from wardwise.sources.tables import settle, spread
 
 PAD_LEFT, PAD_RIGHT = "\u0002", "\u0003"
@@ -114,9 +114,25 @@ def _left_out(cutoff: float) -> Column:
     return F.col("len") - F.ceil(F.col("len") * (cutoff / (2.0 - cutoff)) - EPS)
 
 
-def shortened(names: DataFrame, *cutoffs: float) -> DataFrame:
+def _numbers_left_out(lengths: Sequence[int], cutoffs: Sequence[float]) -> dict[int, set[int]]:
+    """By how many characters names of one of these lengths leave out to meet names of the others."""
+    out: dict[int, set[int]] = {}
+    for c in cutoffs:
+        met = [n for n in lengths if 0 < n <= longest_shortened(c)]
+        for la in met:
+            for lb in met:
+                m = math.ceil((la + lb) * (c / 2.0) - EPS)
+                if m <= min(la, lb):
+                    out.setdefault(la - m, set()).add(la)
+    return out
+
+
+def shortened(names: DataFrame, *cutoffs: float, lengths: Sequence[int] | None = None) -> DataFrame:
     """``(name, len, text)``: names without up to ``LEFT_OUT`` characters, as far as any of the cutoffs
-    at which names of their length meet on shortened texts allows."""
+    at which names of their length meet on shortened texts allows.
+
+    With ``lengths``, all that names have, only those texts at which two of them can meet.
+    """
     one = F.transform(
         F.sequence(F.lit(1), F.col("len")),
         lambda i: F.concat(F.substring(F.col("name"), F.lit(1), i - 1), F.substring(F.col("name"), i + 1, F.col("len"))),
@@ -133,9 +149,13 @@ def shortened(names: DataFrame, *cutoffs: float) -> DataFrame:
     ))
     most = F.greatest(F.lit(-1), *[F.when(F.col("len") <= longest_shortened(c), _left_out(c)).otherwise(-1) for c in cutoffs])
     none = F.array().cast("array<string>")
+    asked = [most >= left_out for left_out in (0, 1, 2)]
+    if lengths is not None:
+        of = _numbers_left_out(lengths, cutoffs)
+        asked = [a & F.col("len").isin(sorted(of.get(left_out, ()))) for left_out, a in enumerate(asked)]
     texts = F.concat(
-        F.when(most >= 0, F.array("name")).otherwise(none), F.when(most >= 1, one).otherwise(none),
-        F.when((most >= 2) & (F.col("len") >= 2), two).otherwise(none),
+        F.when(asked[0], F.array("name")).otherwise(none), F.when(asked[1], one).otherwise(none),
+        F.when(asked[2] & (F.col("len") >= 2), two).otherwise(none),
     )
     return names.select("name", "len", F.explode(F.array_distinct(texts)).alias("text"))
 
@@ -151,7 +171,7 @@ def longest_shortened(cutoff: float) -> int:
 
 
 def shortened_pairs(wanted: DataFrame, texts: DataFrame, cutoff: float) -> DataFrame:
-    """Directed pairs that share as many characters in order as the cutoff asks for; each once.
+    """Directed pairs that share as many characters in order as the cutoff asks for, once for every text they share.
 
     ``texts`` are the shortened texts of all names, of which those the cutoff allows count.
     """
@@ -168,7 +188,7 @@ def shortened_pairs(wanted: DataFrame, texts: DataFrame, cutoff: float) -> DataF
     )
     return spread(left, "text").join(right, meet).select(
         F.col("a").alias("name"), F.col("b").alias("candidate")
-    ).distinct()
+    )
 
 
 def candidate_pairs(wanted: DataFrame, ranked: DataFrame, cutoff: float, q: int = 3) -> DataFrame:
@@ -218,17 +238,31 @@ def similar_pairs(
     texts, if they are listed already. The ratio depends on the order of its
     arguments: the candidate comes first.
     """
-    limit = longest_shortened(cutoff)
-    short, long_ = F.col("len") <= limit, F.col("len") > limit
     texts = shortened(ranked, cutoff) if texts is None else texts
-    pairs = (
-        shortened_pairs(wanted.where(short), texts, cutoff)
-        .unionAll(candidate_pairs(wanted.where(long_), ranked, cutoff, q))
-        .unionAll(candidate_pairs(wanted.where(short), ranked.where(long_), cutoff, q))
-    )
+    short = F.col("len") <= longest_shortened(cutoff)
+    pairs = shortened_pairs(wanted.where(short), texts, cutoff).distinct().unionAll(_long_pairs(wanted, ranked, cutoff, q))
     return _rated(pairs, cutoff)
 
 
+def _long_pairs(wanted: DataFrame, ranked: DataFrame, cutoff: float, q: int) -> DataFrame:
+    """Pairs with a name too long for shortened texts; each once."""
+    short = F.col("len") <= longest_shortened(cutoff)
+    return candidate_pairs(wanted.where(~short), ranked, cutoff, q).unionAll(
+        candidate_pairs(wanted.where(short), ranked.where(~short), cutoff, q)
+    )
+
+
+def _nearest(pairs: DataFrame, cutoff: float, n: int) -> DataFrame:
+    """``(name, candidate, ratio, rank)``: the ``n`` best of each name, rating no pair that cannot be one of them.
+
+    Two names can match the shorter's characters, and not all of them if equally long.
+    """
+    la, lb = F.length("name"), F.length("candidate")
+    bound = 2.0 * F.when(la == lb, la - 1).otherwise(F.least(la, lb)) / (la + lb)
+    ordered = spread(pairs.withColumn("bound", bound), "name").sortWithinPartitions("name", F.desc("bound"), F.desc("candidate"))
+    return ordered.mapInArrow(nearest_of(cutoff, n), "name string, candidate string, ratio double, rank int")
+
+
 def _best(pairs: DataFrame, n: int) -> DataFrame:
     rank = F.row_number().over(
         Window.partitionBy("name").orderBy(F.desc("ratio"), F.desc("candidate"))
@@ -244,20 +278,31 @@ def closest_matches(names: DataFrame, n: int = 5, cutoff: float = 0.85) -> DataF
     """
     others = n - 1
     steps = [round(FIRST_STEP - i * STEP, 9) for i in range(int((FIRST_STEP - cutoff) / STEP + 1)) if FIRST_STEP - i * STEP > cutoff + EPS]
-    ranked = settle(ranked_tokens(names, 3))
-    texts = settle(shortened(ranked, *steps, cutoff))
-    wanted, left, found = ranked, ranked.count(), []
+    steps.append(cutoff)
+    plain = settle(names.select("name", F.length("name").alias("len")).where(F.col("len") > 0).distinct())
+    all_ = plain.agg(F.count("*").alias("n"), F.max("len").alias("longest")).first()
+    short = max(map(longest_shortened, steps))
+    lengths = [r.len for r in plain.where(F.col("len") <= short).select("len").distinct().collect()]  # of at most about 1000
+    texts = settle(shortened(plain, *steps, lengths=lengths))
+    wanted, left, found, ranked = plain, all_.n, [], None
     for step in steps:
-        pairs = settle(similar_pairs(wanted, ranked, step, 3, texts))
-        counts = pairs.groupBy("name").agg(F.count("*").alias("_n"))
-        served = settle(counts.where(F.col("_n") >= others).select("name"))
-        found.append(_best(pairs.join(served, "name", "left_semi"), others))
+        limit = longest_shortened(step)
+        pairs = shortened_pairs(wanted.where(F.col("len") <= limit), texts, step)
+        if (all_.longest or 0) > limit:  # only then are grams needed
+            ranked = settle(ranked_tokens(plain.select("name"), 3)) if ranked is None else ranked
+            pairs = pairs.unionAll(_long_pairs(ranked.join(wanted.select("name"), "name", "left_semi"), ranked, step, 3))
+        best = _nearest(pairs, step, others)
+        if step == cutoff:
+            found.append(best)
+            break
+        best = settle(best)
+        served = settle(best.where(F.col("rank") == others).select("name"))
+        found.append(best.join(served, "name", "left_semi"))
         done = served.count()
         if done == left:
-            return reduce(DataFrame.unionByName, found)
+            break
         if done:
             wanted, left = settle(wanted.join(served, "name", "left_anti")), left - done
-    found.append(_best(similar_pairs(wanted, ranked, cutoff, 3, texts), others))
     return reduce(DataFrame.unionByName, found)
 
 
