@@ -66,3 +66,22 @@ def test_empty(rows):
     assert bm25.top_k(df.limit(0), F.col("doc_id") % 5 == 0).collect() == []
     assert bm25.top_k(df, F.col("doc_id") % 5 == 0).collect() == []
     assert bm25.top_k(df, F.lit(False)).collect() == []
+
+
+def test_few_candidates_of_a_first_shard_are_scored(spark, monkeypatch):
+    """Only sums that can be among the best are made exact, from the first shard on."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    made = bm25.bags(docs).collect()
+    kinds = [bm25.pa.int64(), bm25.pa.int64(), bm25.pa.binary(), bm25.pa.binary()]
+    names = ["id", "length", "terms", "counts"]
+    batch = bm25.pa.RecordBatch.from_arrays([bm25.pa.array([r[n] for r in made], t) for n, t in zip(names, kinds)], names)
+    terms, _ = bm25._joined(batch.column("terms"), "i8")
+    df = dict(zip(*(x.tolist() for x in bm25.np.unique(terms, return_counts=True))))
+    asked = [(r.id, t, df[t]) for r in made if r.id % 5 == 0 for t in bm25.np.frombuffer(r.terms, "i8").tolist()]
+    block = bm25.block_of(bm25.pa.table(dict(zip(("id", "term", "df"), map(list, zip(*asked))))), len(made), 100.0)
+    calls, exact = [], bm25.Shard.exact
+    monkeypatch.setattr(bm25.Shard, "exact", lambda *a: calls.append(1) or exact(*a))
+    best = bm25.Best(block, 10)
+    best.search(bm25.Shard(block, batch))
+    assert len(calls) < 12 * len(block.ids)
+    assert all(q not in [i for _, i in held] for q, held in zip(block.ids.tolist(), best.found))

@@ -13,10 +13,10 @@ these largest impacts bounds a document's score; blocks that cannot reach a
 query's current k-th best are skipped, the others are completed. Documents are
 laid out by their strongest frequent term, which keeps languages apart.
 
-Sums in single precision choose candidates: while a query holds fewer than ``k``
-rows, all with a score; later those above its own k-th best less what rounding can
-take from a sum. Candidates are scored in double precision, every term in the same
-order, so equal texts score equal.
+Sums in single precision choose candidates: of a shard, those above the k-th best sum
+so far, in it or before it, less what rounding can take from a sum; rows that are
+no result (the query's own) do not raise it. Candidates of a whole shard are scored in
+double precision, every term in the same order, so equal texts score equal.
 Shards use the global statistics, so the merge of their results is exact.
 
 A score is the sum over the distinct terms of the query of idf times the usual
@@ -44,7 +44,7 @@ from wardwise.sources.tables import settle
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
-QUERIES, POSTINGS = 4096, 2_000_000  # of a block, on average
+QUERIES, POSTINGS = 8192, 2_500_000  # of a block, on average; every shard is inverted once for each
 DENSE, WIDTH, AT_ONCE = 24, 64, 256
 SHARD = 800_000  # postings
 
@@ -157,6 +157,13 @@ class Shard:
         at = np.repeat(starts - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
         return np.bincount(self.docs[at], self.impacts[at], self.matrix.shape[1]).astype("f4")
 
+    def own(self, ids: np.ndarray) -> tuple[list[int], list[int]]:
+        """(place in ``ids``, document) of all documents with one of these ids, which are in order."""
+        at = np.searchsorted(ids, self.ids)
+        at[at == len(ids)] = 0
+        docs = np.flatnonzero(ids[at] == self.ids)
+        return at[docs].tolist(), docs.tolist()
+
     def exact(self, doc: int, asked: np.ndarray) -> float:
         part = slice(self.doc_starts[doc], self.doc_starts[doc + 1])
         return float(self.doc_impacts[part][asked[self.doc_places[part]]].sum())
@@ -184,34 +191,41 @@ class Best:
             rows = shard.row[own]
             wanted[i, rows[rows >= 0]] = 1
             scores[i] = shard.rare(own)
+        for i, doc in zip(*shard.own(self.block.ids[queries.start : queries.stop])):
+            scores[i, doc] = -np.inf  # no result, whatever it scores
         blocks = scores.reshape(len(queries), -1, WIDTH)
         bounds = blocks.max(2) + wanted @ shard.largest
         # sums in single precision may fall short by this share, whatever their terms; nothing falls short of 0
         slack = (wanted.sum(1) + 4) * np.finfo("f4").eps
         least = (self.least[queries.start : queries.stop] * (1 - slack)).astype("f4")
+        highest = np.zeros((len(queries), self.k), "f4")  # sums so far
         for b in np.argsort(-bounds.sum(0)):
             some = np.flatnonzero(bounds[:, b] > least)
             if not len(some):
                 continue
-            part = slice(b * WIDTH, (b + 1) * WIDTH)
-            blocks[some, b] += wanted[some] @ shard.matrix[:, part]
-            for i in some[blocks[some, b].max(1) > least[some]].tolist():
-                least[i] = max(least[i], self._take(shard, queries[i], blocks[i, b], b * WIDTH, least[i]) * (1 - slack[i]))
-
-    def _take(self, shard: Shard, q: int, scores: np.ndarray, first: int, least: float) -> float:
-        docs = first + np.flatnonzero(scores > least)
-        docs = docs[docs < shard.n]
+            blocks[some, b] += wanted[some] @ shard.matrix[:, b * WIDTH : (b + 1) * WIDTH]
+            some = some[blocks[some, b].max(1) > least[some]]
+            both = np.concatenate([highest[some], blocks[some, b]], 1)
+            both.partition(WIDTH, 1)
+            highest[some] = both[:, WIDTH:]
+            # a sum that is too large by a share, and one that is too small by it
+            least[some] = np.maximum(least[some], both[:, WIDTH] * (1 - 3 * slack[some]))
+        found, docs = np.nonzero(scores[:, : shard.n] > least[:, None])  # what was left out is not above it
+        ends = np.searchsorted(found, np.arange(len(queries) + 1))
+        for i in np.flatnonzero(np.diff(ends)).tolist():
+            self._take(shard, queries[i], docs[ends[i] : ends[i + 1]])
+
+    def _take(self, shard: Shard, q: int, docs: np.ndarray) -> None:
         own = self.block.places[self.block.starts[q] : self.block.starts[q + 1]]
         self.asked[own] = True
         held = self.found[q]
         for doc in docs.tolist():
-            if shard.ids[doc] != self.block.ids[q] and (score := shard.exact(doc, self.asked)) > 0:
+            if (score := shard.exact(doc, self.asked)) > 0:
                 held.append((-score, int(shard.ids[doc])))
         self.asked[own] = False
         held.sort()
         del held[self.k :]
         self.least[q] = -held[-1][0] if len(held) == self.k else 0.0
-        return self.least[q]
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "doc_id", column: str = "text") -> DataFrame:
