@@ -85,3 +85,37 @@ def test_few_candidates_of_a_first_shard_are_scored(spark, monkeypatch):
     best.search(bm25.Shard(block, batch))
     assert len(calls) < 12 * len(block.ids)
     assert all(q not in [i for _, i in held] for q, held in zip(block.ids.tolist(), best.found))
+
+
+def test_rows_sent_do_not_grow_with_the_tasks(spark, rows, monkeypatch):
+    """Tasks begin where the waves before have ended, also among equal texts; the results are the same."""
+    made = [(i, f"the w{i % 7} w{i % 50} w{i % 83} w{i % 211} {'x ' * (i % 13)}") for i in range(2000)]
+    made += [(i, "the w1 w2 same") for i in range(2000, 2600)] + [(i, f"only{i}") for i in range(2600, 2630)]
+    df = rows("doc_id long, text string", *made).repartition(40)
+    at_once = bm25.top_k(df, F.col("doc_id") % 20 == 0).collect()
+    monkeypatch.setattr(bm25, "FIRST", 64, raising=False)
+    sent, searching = spark.sparkContext.accumulator(0), bm25._searching
+
+    def counted(*given):
+        run = searching(*given)
+
+        def both(batches):
+            for batch in run(batches):
+                sent.add(batch.num_rows)
+                yield batch
+
+        return both
+
+    monkeypatch.setattr(bm25, "_searching", counted)
+    sizes = {"spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "1"}
+    before = {name: spark.conf.get(name) for name in sizes}
+    for name, value in sizes.items():
+        spark.conf.set(name, value)
+    try:
+        got = bm25.top_k(df, F.col("doc_id") % 20 == 0).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sorted(got) == sorted(at_once)
+    asked = sum(i % 20 == 0 for i, _ in made)
+    assert 10 * (asked - 2) <= sent.value < 150 * asked, sent.value / asked

@@ -19,6 +19,12 @@ no result (the query's own) do not raise it. Candidates of a whole shard are sco
 double precision, every term in the same order, so equal texts score equal.
 Shards use the global statistics, so the merge of their results is exact.
 
+A block's search goes in waves over parts of the documents, picked by a digest of the
+id, each ``STEP`` times the documents before it. After a wave its results are merged;
+the k-th best of a query, score and id, is where the tasks of the next wave begin:
+they send only what comes before it. A wave's tasks send about ``k * (STEP - 1)``
+rows a query in all, however many they are; the first wave has ``TASKS`` at most.
+
 A score is the sum over the distinct terms of the query of idf times the usual
 saturated term frequency; terms are lower-case runs of letters, digits and
 underscores, known by 64-bit hashes. Results are the ``k`` best rows with a score,
@@ -47,6 +53,7 @@ K1, B = 1.2, 0.75
 QUERIES, POSTINGS = 8192, 2_500_000  # of a block, on average; every shard is inverted once for each
 DENSE, WIDTH, AT_ONCE = 24, 64, 256
 SHARD = 800_000  # postings
+FIRST, STEP, TASKS = 4096, 4, 4  # documents of the first wave, at least, unless there are fewer
 
 
 def bags(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -169,12 +176,16 @@ class Shard:
         return float(self.doc_impacts[part][asked[self.doc_places[part]]].sum())
 
 
+NONE = (0.0, float("-inf"))  # what every row with a score comes before
+
+
 class Best:
-    """The k best of each query so far."""
+    """The k best of each query so far; with ``ends``, those before its (-score, id)."""
 
-    def __init__(self, block: Block, k: int):
+    def __init__(self, block: Block, k: int, ends: list[tuple[float, float]] | None = None):
         self.block, self.k = block, k
-        self.least = np.zeros(len(block.ids))  # scores that are not above it are of no use, but for ties
+        self.ends = ends or [NONE] * len(block.ids)
+        self.least = np.array([-s for s, _ in self.ends])  # scores that are not above it are of no use, but for ties
         self.found: list[list[tuple[float, int]]] = [[] for _ in block.ids]  # (-score, id), in order
         self.asked = np.zeros(len(block.vocabulary), bool)
 
@@ -220,12 +231,14 @@ class Best:
         self.asked[own] = True
         held = self.found[q]
         for doc in docs.tolist():
-            if (score := shard.exact(doc, self.asked)) > 0:
-                held.append((-score, int(shard.ids[doc])))
+            row = (-shard.exact(doc, self.asked), int(shard.ids[doc]))
+            if row < self.ends[q]:
+                held.append(row)
         self.asked[own] = False
         held.sort()
         del held[self.k :]
-        self.least[q] = -held[-1][0] if len(held) == self.k else 0.0
+        if len(held) == self.k:
+            self.least[q] = -held[-1][0]
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -249,15 +262,48 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "doc_id", col
     size = asked.agg(F.count("*").alias("n"), F.count_distinct("id").alias("q")).first()
     blocks = max(1, -(-size.q // QUERIES), -(-size.n // POSTINGS))
     asked = settle(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition("block"))
-    kinds = "query_id long, id long, score double"
-    found = None
+    parts, found = _waves(bagged, total.n), None
     for number in range(blocks):
         # bounded: about QUERIES queries and POSTINGS terms
         block = block_of(asked.where(F.col("block") == number).select("id", "term", "df").toArrow(), total.n, total.mean or 0.0)
-        part = settle(bagged.mapInArrow(_searching(spark.sparkContext.broadcast(block), k), kinds))
-        found = part if found is None else found.unionAll(part)
+        shared, best = spark.sparkContext.broadcast(block), None
+        for part in parts:
+            ends = spark.sparkContext.broadcast(None if best is None else _ends(block, best.where(F.col("rank") == k)))
+            sent = part.mapInArrow(_searching(shared, ends, k), "query_id long, id long, score double")
+            best = settle(_ranked(sent if best is None else best.drop("rank").unionAll(sent), k))
+        found = best if found is None else found.unionAll(best)
+    return found.select("query_id", "rank", F.col("id").alias(key), "score")
+
+
+def _waves(bagged: DataFrame, n: int) -> list[DataFrame]:
+    """All rows in parts, the smaller first; each but the last is written, so that it is not looked for in the whole."""
+    turn = F.pmod(F.xxhash64("id"), F.lit(STEP ** (steps := _steps(n))))
+    parts, rest = [], bagged
+    for step in reversed(range(steps)):
+        parts.append(rest.where(turn >= STEP**step))
+        rest = settle(rest.where(turn < STEP**step))
+    return [rest.coalesce(TASKS), *reversed(parts)]
+
+
+def _steps(n: int) -> int:
+    """How often ``n`` can be divided by ``STEP`` and leave ``FIRST``."""
+    steps = 0
+    while n >= FIRST * STEP ** (steps + 1):
+        steps += 1
+    return steps
+
+
+def _ranked(rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` best of each query."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _ends(block: Block, last: DataFrame) -> list[tuple[float, float]]:
+    """(-score, id) of the last row of each query that has all its rows, ``NONE`` of the others; a row a query at most."""
+    rows = last.select("query_id", "id", "score").toArrow()
+    known = dict(zip(rows["query_id"].to_pylist(), zip((-s for s in rows["score"].to_pylist()), rows["id"].to_pylist())))
+    return [known.get(q, NONE) for q in block.ids.tolist()]
 
 
 def _parts(batch: pa.RecordBatch):
@@ -270,9 +316,9 @@ def _parts(batch: pa.RecordBatch):
             yield batch.slice(start, end - start)
 
 
-def _searching(shared, k: int):
+def _searching(shared, ends, k: int):
     def run(batches):
-        best = Best(shared.value, k)
+        best = Best(shared.value, k, ends.value)
         for batch in batches:
             for part in _parts(batch) if len(best.block.ids) else ():
                 best.search(Shard(best.block, part))
