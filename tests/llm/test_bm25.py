@@ -94,6 +94,7 @@ def test_rows_sent_do_not_grow_with_the_tasks(spark, rows, monkeypatch):
     df = rows("doc_id long, text string", *made).repartition(40)
     at_once = bm25.top_k(df, F.col("doc_id") % 20 == 0).collect()
     monkeypatch.setattr(bm25, "FIRST", 64, raising=False)
+    monkeypatch.setattr(bm25, "QUERIES", 70)
     sent, searching = spark.sparkContext.accumulator(0), bm25._searching
 
     def counted(*given):
