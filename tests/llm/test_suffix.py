@@ -173,3 +173,47 @@ def test_long_texts(rows):
     texts = [filler() + passage + filler(), passage + filler(), filler()]
     got = suffix.digests(rows("doc_id long, text string", *enumerate(texts))).orderBy("doc_id").collect()
     assert [(r.n_removed, r.n_spans) for r in got] == [(5000, 1), (5000, 1), (0, 0)]
+
+
+def with_passages(texts, length, shorter):
+    """``expected``, and the number and bytes of the runs that repeated strings of ``shorter`` bytes cover."""
+    return [
+        (len(t), sum(b - a for a, b in long), len(long), hashlib.sha256(suffix._kept(t, spans)[0]).hexdigest(),
+         len(short), sum(b - a for a, b in short))
+        for (t, long), (_, short) in zip(plainly(texts, length), plainly(texts, shorter))
+        for spans in [[{"start": a, "end": b} for a, b in long]]
+    ]
+
+
+@pytest.mark.parametrize("group", [256, 3])
+@pytest.mark.parametrize("length, shorter", [(400, 240), (100, 60), (240, 240)])
+def test_passages_beside_strings(rows, monkeypatch, group, length, shorter):
+    monkeypatch.setattr(suffix, "GROUP", group)
+    texts = corpus()
+    got = suffix.digests(rows("doc_id long, text string", *enumerate(texts)), length=length, shorter=shorter).orderBy("doc_id")
+    assert [tuple(r)[1:] for r in got.collect()] == with_passages(texts, length, shorter)
+
+
+def test_many_texts_share_one_place(rows, monkeypatch):
+    """More than a group's worth of texts share strings of 240 bytes, none of 400."""
+    monkeypatch.setattr(suffix, "GROUP", 4)
+    draw = random.Random(8)
+    some = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    passage = some(240)
+    texts = [some(300) + passage + some(300) for _ in range(20)] + [passage + some(200), passage, some(9) + passage, some(239)]
+    got = suffix.digests(rows("doc_id long, text string", *enumerate(texts)), shorter=240).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == with_passages(texts, 400, 240)
+    assert [(r.n_removed, r.n_passages) for r in got] == [(0, 1)] * 23 + [(0, 0)]
+
+
+def test_planted_passages(spark):
+    """The query shows passages of more than 50 words that stand in several documents."""
+    from wardwise.llm import queries
+    from wardwise.llm.common import table
+
+    folder = "/root/testdata/sf0.001"
+    texts = [r.text for r in table(spark, folder, "documents").orderBy("doc_id").collect()]
+    got = queries.op10_suffix_dedup(spark, folder).orderBy("doc_id").collect()
+    want = with_passages(texts, 400, 240)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages, r.n_passage_bytes) for r in got] == want
+    assert any(n_passages and not n_removed for _, n_removed, _, _, n_passages, _ in want)

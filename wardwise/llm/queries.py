@@ -60,8 +60,8 @@ def op9_toxicity(spark, sf_dir):
 
 
 def op10_suffix_dedup(spark, sf_dir):
-    """Bytes of every text that a string of 400 repeated bytes covers, and the text that is left."""
-    return suffix.digests(table(spark, sf_dir, "documents"), with_text=True)
+    """Bytes of every text that a string of 400 repeated bytes covers, the text that is left, and shorter passages."""
+    return suffix.digests(table(spark, sf_dir, "documents"), with_text=True, shorter=suffix.PASSAGE)
 
 
 def op11_license_scan(spark, sf_dir):
