@@ -48,11 +48,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from wardwise.llm.common import LOADED, partitions, per_batch
-from wardwise.sources.tables import drop_settled, settle
+from wardwise.sources.tables import settle
 
 LENGTH = 400
 MER = LENGTH // 2
@@ -488,11 +488,11 @@ def _sorted_groups(groups: DataFrame) -> DataFrame:
 
 def repeated_spans(df: DataFrame, column: str = "text", length: int = LENGTH, shorter: int | None = None) -> DataFrame:
     """(fp, n, start, end, full): spans of texts (by hash and length) that are repeated."""
-    found = settle(anchors(df, column, length, shorter))
-    keys = found.groupBy("key").agg(F.count("*").alias("members"), F.min("ctx").alias("_a"), F.max("ctx").alias("_b"))
-    keys = settle(keys.where("members > 1").select("key", (F.col("_a") != F.col("_b")).alias("mixed")))  # a hot key can then be split
-    shared = settle(found.join(keys, "key"))
-    drop_settled(found)  # the larger part stands once only
+    of = Window.partitionBy("key")  # anchors move once, and are written only if they share their key
+    found = anchors(df, column, length, shorter).withColumns(
+        {"members": F.count("*").over(of), "mixed": F.min("ctx").over(of) != F.max("ctx").over(of)}
+    )
+    shared = settle(found.where("members > 1").drop("members"))
     mixed = shared.where("mixed").drop("mixed")
     classes = settle(
         mixed.groupBy("key", "ctx").agg(F.count("*").alias("size"), F.min(F.struct("fp", "n", "at")).alias("_r"))
@@ -503,7 +503,7 @@ def repeated_spans(df: DataFrame, column: str = "text", length: int = LENGTH, sh
     whole = _around(places(shared.where("not mixed")), length, shorter).unionAll(
         _around(places(mixed.join(several, ["key", "ctx"], "left_semi")), length, shorter)
     )
-    open_ = settle(classes.where("size = 1").select("key").distinct())  # as above
+    open_ = settle(classes.where("size = 1").select("key").distinct())  # a hot key can then be split
     cut = surroundings(df, classes.join(open_, "key", "left_semi"), column, length, shorter)
     return whole.unionAll(compared(cut, length, shorter))
 

@@ -64,19 +64,6 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_settled(df: DataFrame) -> None:
-    """Drop a settled table early, once all that was derived from it is settled, too."""
-    files = df.inputFiles()
-    spark = df.sparkSession
-    paths = SETTLED.get(spark.sparkContext.applicationId, [])
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    name = files[0].rsplit("/", 2)[1] if files else None
-    for path in [p for p in paths if p.rsplit("/", 1)[1] == name]:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
-        paths.remove(path)
-
-
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash rows over all shuffle partitions, for steps whose cost is not in bytes.
 
