@@ -120,3 +120,71 @@ def test_rows_sent_do_not_grow_with_the_tasks(spark, rows, monkeypatch):
     assert sorted(got) == sorted(at_once)
     asked = sum(i % 20 == 0 for i, _ in made)
     assert 10 * (asked - 2) <= sent.value < 150 * asked, sent.value / asked
+
+
+def _bagged(made):
+    """A batch as ``bags`` makes it, of terms given by number."""
+    pa, np = bm25.pa, bm25.np
+    terms = [np.unique(words, return_counts=True) for _, words in made]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([i for i, _ in made], pa.int64()),
+            pa.array([len(words) for _, words in made], pa.int64()),
+            pa.array([t.astype("i8").tobytes() for t, _ in terms], pa.binary()),
+            pa.array([c.astype("i4").tobytes() for _, c in terms], pa.binary()),
+        ],
+        ["id", "length", "terms", "counts"],
+    )
+
+
+def test_queries_leave_out_shards_of_other_languages(monkeypatch):
+    """Documents of one language lie in shards that queries of the other do not search; the results are the same."""
+    rng = bm25.np.random.default_rng(3)
+    made = [(i, bm25.np.append(rng.integers(0, 200, 30) + 1000 * (i % 2), [9000] + [8000 + i] * (i == 3) * 300)) for i in range(600)]
+    batch = _bagged(made)
+    df = {}
+    for _, words in made:
+        for w in set(words.tolist()):
+            df[w] = df.get(w, 0) + 1
+    asked = [(i, w, df[w]) for i, words in made if i % 5 == 0 for w in set(words.tolist())]
+    block = bm25.block_of(bm25.pa.table(dict(zip(("id", "term", "df"), map(list, zip(*asked))))), len(made), 31.0)
+    plain = bm25.Best(block, 10)
+    plain.search(bm25.Shard(block, batch))
+    ends = [held[-1] for held in plain.found]
+    searched, rare = [], bm25.Shard.rare
+    monkeypatch.setattr(bm25.Shard, "rare", lambda shard, places, query, queries: searched.append(queries * shard.n) or rare(shard, places, query, queries))
+    monkeypatch.setattr(bm25, "SHARD", 4000)
+    best, last = bm25.Best(block, 10), bm25.Best(block, 10, ends)
+    shards = [bm25.Shard(block, made) for written in bm25._inverting(iter([batch])) for made in bm25.Inverted.read(written)]
+    assert sorted(i for s in shards for i in s.ids.tolist()) == [i for i, _ in made] and len(shards) > 3
+    for shard in shards:
+        best.search(shard)
+    assert best.found == plain.found
+    searched.clear()
+    for shard in shards:
+        last.search(shard)
+    assert sum(searched) <= 0.6 * len(made) * len(block.ids)
+    assert [held + [end] for held, end in zip(last.found, ends)] == plain.found
+
+
+def test_documents_are_inverted_once_for_all_blocks(spark, rows, monkeypatch):
+    made = [(i, f"the w{i % 7} w{i % 50} w{i % 83} {'x ' * (i % 13)}") for i in range(900)]
+    df = rows("doc_id long, text string", *made).repartition(6)
+    at_once = bm25.top_k(df, F.col("doc_id") % 20 == 0).collect()
+    monkeypatch.setattr(bm25, "QUERIES", 9)
+    monkeypatch.setattr(bm25, "FIRST", 64)
+    inverted, inverting = spark.sparkContext.accumulator(0), bm25._inverting
+
+    def counted(batches):
+        for batch in inverting(batches):
+            inverted.add(sum(len(shard.ids) for shard in bm25.Inverted.read(batch)))
+            yield batch
+
+    monkeypatch.setattr(bm25, "_inverting", counted)
+    assert sorted(bm25.top_k(df, F.col("doc_id") % 20 == 0).collect()) == sorted(at_once)
+    assert inverted.value == len(made)
+
+
+def test_words_of_plain_texts():
+    for text in ("".join(map(chr, range(128))), "a_b  C1\x1fd-e\n", "Ünï cödé_1 x", "", "İ ſ K"):
+        assert bm25.words(text) == re.findall(r"\w+", text.lower())

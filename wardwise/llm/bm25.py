@@ -1,17 +1,23 @@
 """Exact top-k search by BM25, with block-max pruning.
 
 Documents become bags of terms once and are written; document frequencies and the
-mean length are counted over all of them. Queries are a stated set of rows. They
-are dealt into blocks of bounded size, and each block is sent to all tasks, which
-read the bags shard by shard (an Arrow batch is cut into shards of about ``SHARD``
-postings) and invert them.
-
-In a shard, postings of rarer terms are added up term by term. Terms in more than
-one of ``DENSE`` documents are kept as a matrix, with the largest impact of each
-in every ``WIDTH`` documents that lie together. What the rarer terms have given plus
-these largest impacts bounds a document's score; blocks that cannot reach a
-query's current k-th best are skipped, the others are completed. Documents are
-laid out by their strongest frequent term, which keeps languages apart.
+mean length are counted over all of them. The bags are inverted once, in shards of
+about ``SHARD`` postings, and the shards are written. Queries are a stated set of
+rows. They are dealt into blocks of bounded size, and each block is sent to all
+tasks, which read the shards.
+
+Documents that a task inverts together are laid out in groups that share frequent
+terms (languages, if there are several), those between groups by themselves, each by
+length. This decides where a document lies, nothing else. A shard's largest impact of
+each term bounds the score of all its documents; a query searches only the shards
+that can reach its current k-th best.
+
+Of the queries that search a shard, terms are kept as a matrix if they are in so many
+of these queries and of its documents that products take less than single sums; the
+other postings are added up term by term. With the largest impact of each term of the
+matrix in every ``WIDTH`` documents that lie together, the single sums bound a
+document's score; blocks that cannot reach the k-th best are skipped, the others are
+completed.
 
 Sums in single precision choose candidates: of a shard, those above the k-th best sum
 so far, in it or before it, less what rounding can take from a sum; rows that are
@@ -37,6 +43,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,21 +56,33 @@ from wardwise.llm.common import per_batch
 from wardwise.sources.tables import settle
 
 WORD = re.compile(r"\w+")
+APART = {c: " " for c in range(128) if not WORD.match(chr(c))}
 K1, B = 1.2, 0.75
 QUERIES, POSTINGS = 8192, 2_500_000  # of a block, on average; every shard is inverted once for each
-DENSE, WIDTH, AT_ONCE = 24, 64, 256
-SHARD = 800_000  # postings
+DENSE, WIDTH, AT_ONCE, BLOCKS = 24, 64, 1024, 8  # BLOCKS of WIDTH documents are completed at a time
+SHARD, DOCS = 800_000, 8192  # postings and documents of a shard
+LAYOUT, TOGETHER = 2, 8192  # shards that are laid out at a time, and documents a task has for it, at least
+GROUPS, COMMON, ROUNDS = 8, 512, 4  # of documents laid out, the frequent terms they are told apart by, and how often
+ALIKE, MIXED = 0.25, 0.3  # cosines of groups that are one, and of a document's second group to its first if it is between them
+CELLS, SUMS = 6 << 20, 1 << 16  # of a matrix at most, and sums of rarer terms at a time
+EVEN = 300  # a sum by itself takes as long as so many products of a matrix
 FIRST, STEP, TASKS = 4096, 4, 4  # documents of the first wave, at least, unless there are fewer
 
 
+def words(text: str) -> list[str]:
+    """Terms in order; of plain texts without the expression, in less time."""
+    text = text.lower()
+    return text.translate(APART).split() if text.isascii() else WORD.findall(text)
+
+
 def bags(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
     """(id, length, terms, counts): 64-bit term hashes in order, as bytes, and 32-bit counts."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         lengths, terms, counts = [], [], []
         for text in batch.column("text"):
-            found = Counter(WORD.findall((text.as_py() or "").lower()))
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in found), "u8", len(found)).view("i8")
+            found = Counter(words(text.as_py() or ""))
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, found), "u8", len(found)).view("i8")
             order = np.argsort(hashes)
             lengths.append(found.total())
             terms.append(hashes[order].tobytes())
@@ -117,52 +136,197 @@ def block_of(table: pa.Table, n: int, mean: float) -> Block:
     return Block(queries, np.append(starts, len(ids)), places, vocabulary, idf, mean)
 
 
+@dataclass
+class Inverted:
+    """The postings of some documents, term by term; terms are in order."""
+
+    ids: np.ndarray
+    length: np.ndarray
+    terms: np.ndarray
+    sizes: np.ndarray  # postings of each term
+    docs: np.ndarray
+    counts: np.ndarray
+
+    KINDS = ("i8", "i8", "i8", "i4", "u2")
+
+    @classmethod
+    def of(cls, bagged: pa.RecordBatch | pa.Table) -> Inverted:
+        """One index of all rows."""
+        return cls._sorted(bagged)[0]
+
+    @classmethod
+    def _sorted(cls, bagged: pa.RecordBatch | pa.Table) -> tuple[Inverted, np.ndarray]:
+        """Also with the place of each posting's term."""
+        terms, sizes = _joined(bagged.column("terms"), "i8")
+        order = np.argsort(terms)
+        terms = np.take(terms, order)
+        docs = np.repeat(np.arange(len(sizes), dtype="u2"), sizes)[order]
+        counts = np.take(_joined(bagged.column("counts"), "i4")[0], order)
+        del order
+        new = np.append(True, terms[1:] != terms[:-1])[: len(terms)]
+        starts = np.flatnonzero(new)
+        ids, length = bagged.column("id").to_numpy(), bagged.column("length").to_numpy()
+        made = cls(ids, length, terms[starts], np.diff(np.append(starts, len(terms))).astype("i4"), docs, counts)
+        return made, np.cumsum(new, dtype="i4") - np.int32(1)
+
+    @classmethod
+    def apart(cls, held: list[pa.RecordBatch]) -> Iterator[Inverted]:
+        """Indexes of documents that share frequent terms, by length, of about ``SHARD`` postings or less each.
+
+        What is held is given back before the first.
+        """
+        whole, place = cls._sorted(pa.Table.from_batches(held))
+        held.clear()
+        sizes = np.bincount(whole.docs, minlength=len(whole.ids))
+        label = _groups(whole, place)
+        order = np.lexsort((sizes, label))
+        label, weight = label[order], _weights(sizes[order])
+        whole_weight = np.bincount(label, weight)
+        before = np.cumsum(weight) - weight - (np.cumsum(whole_weight) - whole_weight)[label]  # in its group
+        piece = before * np.ceil(whole_weight / SHARD)[label] // whole_weight[label]
+        cuts = np.flatnonzero((np.diff(label) != 0) | (np.diff(piece) != 0)) + 1
+        new, shard = np.empty(len(order), "u2"), np.empty(len(order), "i4")
+        for number, docs in enumerate(parts := np.split(order, cuts)):
+            new[docs], shard[docs] = np.arange(len(docs)), number
+        of_posting = shard[whole.docs]
+        for number, docs in enumerate(parts):
+            mine = np.flatnonzero(of_posting == number)
+            held = np.bincount(place[mine], minlength=len(whole.terms))
+            some = np.flatnonzero(held)
+            yield cls(
+                whole.ids[docs], whole.length[docs], whole.terms[some], held[some].astype("i4"),
+                new[whole.docs[mine]], whole.counts[mine],
+            )
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch) -> Iterator[Inverted]:
+        for row in zip(*batch.columns):
+            made = cls(*(np.frombuffer(cell.as_buffer(), kind) for cell, kind in zip(row[:-1], cls.KINDS)), None)
+            counts = row[-1].as_buffer()
+            made.counts = np.frombuffer(counts, "u1" if counts.size == len(made.docs) else "i4")
+            yield made
+
+    def written(self) -> pa.RecordBatch:
+        counts = self.counts.astype("u1" if self.counts.max(initial=0) < 256 else "i4")
+        cells = (self.ids, self.length, self.terms, self.sizes, self.docs, counts)
+        columns = [pa.array([cell.tobytes()], pa.binary()) for cell in cells]
+        return pa.RecordBatch.from_arrays(columns, INVERTED.replace(" binary", "").split(", "))
+
+
+INVERTED = "ids binary, length binary, terms binary, sizes binary, docs binary, counts binary"
+
+
+def _groups(whole: Inverted, place: np.ndarray) -> np.ndarray:
+    """A group for each document: by the most frequent term it has, then by the nearest mean of a group, a few times."""
+    n = len(whole.ids)
+    common = np.flatnonzero(whole.sizes > n / DENSE)
+    common = common[np.argsort(-whole.sizes[common], kind="stable")][:COMMON]
+    row = np.full(len(whole.terms), -1, "i2")
+    row[common] = np.arange(len(common))
+    asked = np.flatnonzero(row[place] >= 0)
+    vectors = np.zeros((n, len(common)), "f4")
+    vectors[whole.docs[asked], row[place[asked]]] = np.log(1 + n / whole.sizes[place[asked]])
+    label, left = np.full(n, GROUPS - 1), np.ones(n, bool)
+    for group in range(GROUPS - 1):
+        if not left.any() or not len(common):
+            break
+        held = np.count_nonzero(vectors[left], 0)
+        held[held > 0.9 * left.sum()] = 0  # what nearly all have tells nothing
+        has = left & (vectors[:, held.argmax()] > 0)
+        label[has] = group
+        left &= ~has
+    vectors /= np.maximum(np.sqrt(np.einsum("ij,ij->i", vectors, vectors)), 1e-9)[:, None]
+    for _ in range(ROUNDS):
+        means = _means(vectors, label)
+        label = (vectors @ means.T).argmax(1)
+    alike = (means @ means.T > ALIKE).argmax(1)  # groups that differ little are one
+    alike = alike[alike]
+    near = vectors @ _means(vectors, alike[label]).T
+    near.sort(1)
+    label = alike[label]
+    label[near[:, -2] > MIXED * near[:, -1]] = GROUPS
+    return label
+
+
+def _means(vectors: np.ndarray, label: np.ndarray) -> np.ndarray:
+    means = (label == np.arange(GROUPS)[:, None]).astype("f4") @ vectors
+    return means / np.maximum(np.sqrt((means**2).sum(1, keepdims=True)), 1e-9)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``start, start + 1, ...`` of each start, as many as its size."""
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    at += np.arange(len(at))
+    return at
+
+
 class Shard:
     """The inverted index of some documents, for the terms of a block of queries."""
 
-    def __init__(self, block: Block, batch: pa.RecordBatch):
-        terms, sizes = _joined(batch.column("terms"), "i8")
-        counts, _ = _joined(batch.column("counts"), "i4")
-        docs = np.repeat(np.arange(len(sizes)), sizes)
-        length = batch.column("length").to_numpy()
-        local, inverse = np.unique(terms, return_inverse=True)
-        at = np.searchsorted(block.vocabulary, local)
-        at[at == len(block.vocabulary)] = 0
-        known = np.where(block.vocabulary[at] == local, at, -1)[inverse] if len(block.vocabulary) else np.full(len(terms), -1)
-        asked = known >= 0
-        place, docs, counts = known[asked], docs[asked], counts[asked].astype("f8")
-        impact = counts * (K1 + 1) / (counts + K1 * (1 - B + B * length[docs] / max(block.mean, 1e-9))) * block.idf[place]
-        n = len(sizes)
-        frequency = np.bincount(place, minlength=len(block.vocabulary))
-        dense = np.flatnonzero(frequency > n / DENSE)
-        self.row = np.full(len(block.vocabulary), -1)
+    def __init__(self, block: Block, made: Inverted | pa.RecordBatch):
+        made = made if isinstance(made, Inverted) else Inverted.of(made)
+        n, known = len(made.ids), len(block.vocabulary)
+        at = np.searchsorted(block.vocabulary, made.terms)
+        at[at == known] = 0
+        asked = block.vocabulary[at] == made.terms if known else np.zeros(len(at), bool)
+        posting = np.repeat(asked, made.sizes)
+        docs, impact = made.docs[posting], made.counts[posting].astype("f8")
+        place, sizes = at[asked], made.sizes[asked].astype("i8")
+        low = (K1 * (1 - B + B * made.length / max(block.mean, 1e-9)))[docs]
+        low += impact
+        impact *= K1 + 1
+        impact /= low
+        impact *= np.repeat(block.idf[place], sizes)
+        del posting, low
+        starts = np.cumsum(sizes) - sizes
+        self.n, self.ids, self.width = n, made.ids, -(-n // WIDTH) * WIDTH
+        self.top = np.zeros(known, "f4")  # largest impact of each term
+        if len(place):
+            self.top[place] = np.maximum.reduceat(impact, starts)
+        self.starts, self.sizes = np.zeros(known, "i8"), np.zeros(known, "i8")
+        self.starts[place], self.sizes[place] = starts, sizes
+        self.docs, self.impacts = docs, impact
+        self.row = np.full(known, -1, "i4")
+        self.by_doc = np.argsort(docs, kind="stable").astype("i4")  # for exact scores: terms in one order
+        self.doc_starts = np.append(0, np.cumsum(np.bincount(docs, minlength=n)))
+        self.places = np.repeat(place.astype("i4"), sizes)
+
+    def bounds(self, block: Block) -> np.ndarray:
+        """What no document's score for a query is above."""
+        if not len(block.ids):
+            return np.empty(0)
+        return np.add.reduceat(np.take(self.top, block.places, mode="clip"), block.starts[:-1])
+
+    def divide(self, places: np.ndarray, queries: int) -> None:
+        """Keep those terms of some queries as a matrix that take longer one by one."""
+        common = np.bincount(places, minlength=len(self.row)) * self.sizes
+        dense = np.flatnonzero(common > queries * self.n / EVEN)
+        if len(dense) > (most := CELLS // max(self.width, queries)):
+            dense = np.sort(dense[np.argsort(-common[dense], kind="stable")[:most]])
+        self.row[:] = -1
         self.row[dense] = np.arange(len(dense))
-        frequent = self.row[place] >= 0
-        matrix = np.zeros((len(dense), n), "f4")
-        matrix[self.row[place[frequent]], docs[frequent]] = impact[frequent]
-        layout = np.argsort(matrix.argmax(0), kind="stable") if len(dense) else np.arange(n)  # like with like
-        self.ids = batch.column("id").to_numpy()[layout]
-        back = np.empty(n, "i8")
-        back[layout] = np.arange(n)
-        docs = back[docs]
-        self.matrix = np.zeros((len(dense), -(-n // WIDTH) * WIDTH), "f4")
-        self.matrix[:, :n] = matrix[:, layout]
+        sizes = self.sizes[dense]
+        at = _ranges(self.starts[dense], sizes)
+        cells = np.repeat(np.arange(len(dense)) * self.width, sizes)
+        cells += np.take(self.docs, at, mode="clip")
+        self.matrix = np.zeros((len(dense), self.width), "f4")
+        self.matrix.reshape(-1)[cells] = np.take(self.impacts, at, mode="clip")
         self.largest = self.matrix.reshape(len(dense), -1, WIDTH).max(2)
-        by_doc = np.lexsort((place, docs))  # for exact scores: terms in one order
-        self.doc_starts = np.searchsorted(docs[by_doc], np.arange(n + 1))
-        self.doc_places, self.doc_impacts = place[by_doc], impact[by_doc]
-        rare = ~frequent
-        order = np.lexsort((docs[rare], place[rare]))
-        self.docs, self.impacts = docs[rare][order], impact[rare][order]
-        self.starts = np.searchsorted(place[rare][order], np.arange(len(block.vocabulary) + 1))
-        self.n = n
-
-    def rare(self, places: np.ndarray) -> np.ndarray:
-        """What the rarer of these terms give each document."""
-        starts, ends = self.starts[places], self.starts[places + 1]
-        sizes = ends - starts
-        at = np.repeat(starts - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
-        return np.bincount(self.docs[at], self.impacts[at], self.matrix.shape[1]).astype("f4")
+
+    def rare(self, places: np.ndarray, query: np.ndarray, queries: int) -> np.ndarray:
+        """What the rarer of these terms give each document, for each of some queries."""
+        sums = np.empty((queries, self.width), "f4")
+        asked = np.flatnonzero((self.sizes[places] > 0) & (self.row[places] < 0))
+        query, starts, sizes = query[asked], self.starts[places[asked]], self.sizes[places[asked]]
+        step = max(1, SUMS // self.width)
+        for at in range(0, queries, step):
+            part = slice(*np.searchsorted(query, (at, at + step)))
+            some, postings = min(step, queries - at), _ranges(starts[part], sizes[part])
+            cells = np.repeat((query[part] - at) * self.width, sizes[part])
+            cells += np.take(self.docs, postings, mode="clip")
+            given = np.take(self.impacts, postings, mode="clip")
+            sums[at : at + some] = np.bincount(cells, given, some * self.width).reshape(some, -1)
+        return sums
 
     def own(self, ids: np.ndarray) -> tuple[list[int], list[int]]:
         """(place in ``ids``, document) of all documents with one of these ids, which are in order."""
@@ -172,8 +336,8 @@ class Shard:
         return at[docs].tolist(), docs.tolist()
 
     def exact(self, doc: int, asked: np.ndarray) -> float:
-        part = slice(self.doc_starts[doc], self.doc_starts[doc + 1])
-        return float(self.doc_impacts[part][asked[self.doc_places[part]]].sum())
+        postings = self.by_doc[self.doc_starts[doc] : self.doc_starts[doc + 1]]
+        return float(self.impacts[postings[asked[self.places[postings]]]].sum())
 
 
 NONE = (0.0, float("-inf"))  # what every row with a score comes before
@@ -190,41 +354,55 @@ class Best:
         self.asked = np.zeros(len(block.vocabulary), bool)
 
     def search(self, shard: Shard) -> None:
-        for at in range(0, len(self.block.ids), AT_ONCE):
-            self._some(shard, range(at, min(at + AT_ONCE, len(self.block.ids))))
-
-    def _some(self, shard: Shard, queries: range) -> None:
-        starts, places = self.block.starts, self.block.places
+        # sums in single precision may fall short by this share, whatever their terms; nothing falls short of 0
+        slack = (np.diff(self.block.starts) + 4) * np.finfo("f4").eps
+        able = np.flatnonzero(shard.bounds(self.block) > self.least * (1 - slack))
+        able = able[np.argsort(slack[able], kind="stable")]  # those of like length together
+        for at in range(0, len(able), AT_ONCE):
+            queries = np.sort(able[at : at + AT_ONCE])
+            self._some(shard, queries, slack[queries, None])
+
+    def _places(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the terms of some queries, and how many each has."""
+        starts, sizes = self.block.starts[queries], self.block.starts[queries + 1] - self.block.starts[queries]
+        return self.block.places[_ranges(starts, sizes)], sizes
+
+    def _some(self, shard: Shard, queries: np.ndarray, slack: np.ndarray) -> None:
+        places, sizes = self._places(queries)
+        query = np.repeat(np.arange(len(queries)), sizes)
+        shard.divide(places, len(queries))
         wanted = np.zeros((len(queries), len(shard.matrix)), "f4")
-        scores = np.empty((len(queries), shard.matrix.shape[1]), "f4")
-        for i, q in enumerate(queries):
-            own = places[starts[q] : starts[q + 1]]
-            rows = shard.row[own]
-            wanted[i, rows[rows >= 0]] = 1
-            scores[i] = shard.rare(own)
-        for i, doc in zip(*shard.own(self.block.ids[queries.start : queries.stop])):
+        rows = shard.row[places]
+        wanted[query[rows >= 0], rows[rows >= 0]] = 1
+        scores = shard.rare(places, query, len(queries))
+        for i, doc in zip(*shard.own(self.block.ids[queries])):
             scores[i, doc] = -np.inf  # no result, whatever it scores
-        blocks = scores.reshape(len(queries), -1, WIDTH)
-        bounds = blocks.max(2) + wanted @ shard.largest
-        # sums in single precision may fall short by this share, whatever their terms; nothing falls short of 0
-        slack = (wanted.sum(1) + 4) * np.finfo("f4").eps
-        least = (self.least[queries.start : queries.stop] * (1 - slack)).astype("f4")
-        highest = np.zeros((len(queries), self.k), "f4")  # sums so far
-        for b in np.argsort(-bounds.sum(0)):
-            some = np.flatnonzero(bounds[:, b] > least)
-            if not len(some):
+        least = (self.least[queries, None] * (1 - slack)).astype("f4")
+        bounds = scores.reshape(len(queries), -1, WIDTH).max(2) + wanted @ shard.largest
+        for b in range(0, bounds.shape[1], BLOCKS):
+            able = bounds[:, b : b + BLOCKS] > least
+            some, columns = able.any(1), able.any(0)
+            if not some.any():
                 continue
-            blocks[some, b] += wanted[some] @ shard.matrix[:, b * WIDTH : (b + 1) * WIDTH]
-            some = some[blocks[some, b].max(1) > least[some]]
-            both = np.concatenate([highest[some], blocks[some, b]], 1)
-            both.partition(WIDTH, 1)
-            highest[some] = both[:, WIDTH:]
+            # from the first block that some query needs to the last
+            first = (b + columns.argmax()) * WIDTH
+            last = (b + len(columns) - columns[::-1].argmax()) * WIDTH
+            if some.all():
+                scores[:, first:last] += wanted @ shard.matrix[:, first:last]
+            else:
+                scores[some, first:last] += wanted[some] @ shard.matrix[:, first:last]
+        scores = scores[:, : shard.n]  # what was left out is not above ``least``
+        some = np.flatnonzero(scores.max(1) > least[:, 0])
+        scores, least, slack = scores[some], least[some], slack[some]
+        many = np.flatnonzero(np.count_nonzero(scores > least, 1) > self.k)
+        if len(many):
             # a sum that is too large by a share, and one that is too small by it
-            least[some] = np.maximum(least[some], both[:, WIDTH] * (1 - 3 * slack[some]))
-        found, docs = np.nonzero(scores[:, : shard.n] > least[:, None])  # what was left out is not above it
-        ends = np.searchsorted(found, np.arange(len(queries) + 1))
+            kth = np.partition(scores[many], -self.k, 1)[:, -self.k, None]
+            least[many] = np.maximum(least[many], kth * (1 - 3 * slack[many]))
+        found, docs = np.nonzero(scores > least)
+        ends = np.searchsorted(found, np.arange(len(some) + 1))
         for i in np.flatnonzero(np.diff(ends)).tolist():
-            self._take(shard, queries[i], docs[ends[i] : ends[i + 1]])
+            self._take(shard, queries[some[i]], docs[ends[i] : ends[i + 1]])
 
     def _take(self, shard: Shard, q: int, docs: np.ndarray) -> None:
         own = self.block.places[self.block.starts[q] : self.block.starts[q + 1]]
@@ -276,13 +454,15 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, key: str = "doc_id", col
 
 
 def _waves(bagged: DataFrame, n: int) -> list[DataFrame]:
-    """All rows in parts, the smaller first; each but the last is written, so that it is not looked for in the whole."""
-    turn = F.pmod(F.xxhash64("id"), F.lit(STEP ** (steps := _steps(n))))
-    parts, rest = [], bagged
-    for step in reversed(range(steps)):
-        parts.append(rest.where(turn >= STEP**step))
-        rest = settle(rest.where(turn < STEP**step))
-    return [rest.coalesce(TASKS), *reversed(parts)]
+    """Indexes of all rows in parts, the smaller first; they serve every block of queries."""
+    steps = _steps(n)
+    turn, parts = F.pmod(F.xxhash64("id"), F.lit(STEP**steps)), []
+    for step in range(steps + 1):
+        first, last = STEP ** (step - 1) if step else 0, STEP**step
+        tasks = max(TASKS, n * (last - first) // STEP**steps // TOGETHER)
+        part = bagged.where((turn >= first) & (turn < last)).coalesce(tasks)
+        parts.append(settle(part.mapInArrow(_inverting, INVERTED)))
+    return [parts[0].coalesce(TASKS), *parts[1:]]
 
 
 def _steps(n: int) -> int:
@@ -306,22 +486,40 @@ def _ends(block: Block, last: DataFrame) -> list[tuple[float, float]]:
     return [known.get(q, NONE) for q in block.ids.tolist()]
 
 
-def _parts(batch: pa.RecordBatch):
-    """Slices of about ``SHARD`` postings, or of one document with more."""
-    sizes = pc.binary_length(batch.column("terms")).to_numpy().astype("i8") // 8
+def _weights(sizes: np.ndarray) -> np.ndarray:
+    """Postings of documents, those of short ones counted as more: a shard has a bounded number of documents."""
+    return np.maximum(sizes, -(-SHARD // DOCS))
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Slices of about ``SHARD`` postings, or of one document with more; with their weight."""
+    sizes = _weights(pc.binary_length(batch.column("terms")).to_numpy().astype("i8") // 8)
     shard = (np.cumsum(sizes) - sizes) // SHARD
     cuts = np.flatnonzero(np.diff(shard)) + 1
     for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
         if end > start:
-            yield batch.slice(start, end - start)
+            yield batch.slice(start, end - start), int(sizes[start:end].sum())
+
+
+def _inverting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, weight = [], 0
+    for batch in batches:
+        for part, more in _parts(batch):
+            held.append(part)
+            weight += more
+            if weight >= LAYOUT * SHARD:
+                yield from (made.written() for made in Inverted.apart(held))
+                weight = 0
+    if held:
+        yield from (made.written() for made in Inverted.apart(held))
 
 
 def _searching(shared, ends, k: int):
     def run(batches):
         best = Best(shared.value, k, ends.value)
         for batch in batches:
-            for part in _parts(batch) if len(best.block.ids) else ():
-                best.search(Shard(best.block, part))
+            for made in Inverted.read(batch) if len(best.block.ids) else ():
+                best.search(Shard(best.block, made))
         rows = [(q, i, -s) for q, held in zip(best.block.ids.tolist(), best.found) for s, i in held]
         columns = zip(*rows) if rows else ([], [], [])
         kinds = (pa.int64(), pa.int64(), pa.float64())
