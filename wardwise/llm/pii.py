@@ -224,7 +224,7 @@ def _best(n: int, scored: list[tuple[int, int, int, float]]) -> list[tuple[int,
 
 def _above(segments: list[tuple[int, int]], matrix: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, int, float]]:
     """Segments that beat "nothing", with their best kind and its score."""
-    scores = matrix @ weights
+    scores = (matrix[:, :, None] * weights).sum(1)  # in one order, however many segments are held
     tops = scores.max(1, initial=-np.inf)
     return [(*segments[s], int(scores[s].argmax()), float(tops[s])) for s in np.flatnonzero(tops > 0)]
 
