@@ -59,12 +59,12 @@ WORD = re.compile(r"\w+")
 APART = {c: " " for c in range(128) if not WORD.match(chr(c))}
 K1, B = 1.2, 0.75
 QUERIES, POSTINGS = 8192, 2_500_000  # of a block, on average; every shard is inverted once for each
-DENSE, WIDTH, AT_ONCE, BLOCKS = 24, 64, 1024, 8  # BLOCKS of WIDTH documents are completed at a time
-SHARD, DOCS = 800_000, 8192  # postings and documents of a shard
-LAYOUT, TOGETHER = 2, 8192  # shards that are laid out at a time, and documents a task has for it, at least
+DENSE, WIDTH, AT_ONCE, BLOCKS = 24, 64, 768, 8  # BLOCKS of WIDTH documents are completed at a time
+SHARD, DOCS = 400_000, 8192  # postings and documents of a shard
+LAYOUT, TOGETHER = 4, 8192  # shards that are laid out at a time, and documents a task has for it, at least
 GROUPS, COMMON, ROUNDS = 8, 512, 4  # of documents laid out, the frequent terms they are told apart by, and how often
 ALIKE, MIXED = 0.25, 0.3  # cosines of groups that are one, and of a document's second group to its first if it is between them
-CELLS, SUMS = 6 << 20, 1 << 16  # of a matrix at most, and sums of rarer terms at a time
+CELLS, SUMS = 4 << 20, 1 << 16  # of a matrix at most, and sums of rarer terms at a time
 EVEN = 300  # a sum by itself takes as long as so many products of a matrix
 FIRST, STEP, TASKS = 4096, 4, 4  # documents of the first wave, at least, unless there are fewer
 
@@ -510,6 +510,7 @@ def _inverting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if weight >= LAYOUT * SHARD:
                 yield from (made.written() for made in Inverted.apart(held))
                 weight = 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield from (made.written() for made in Inverted.apart(held))
 
