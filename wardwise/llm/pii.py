@@ -224,14 +224,20 @@ def _best(n: int, scored: list[tuple[int, int, int, float]]) -> list[tuple[int,
 
 def _above(segments: list[tuple[int, int]], matrix: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, int, float]]:
     """Segments that beat "nothing", with their best kind and its score."""
-    scores = (matrix[:, :, None] * weights).sum(1)  # in one order, however many segments are held
+    scores = matrix @ weights
     tops = scores.max(1, initial=-np.inf)
     return [(*segments[s], int(scores[s].argmax()), float(tops[s])) for s in np.flatnonzero(tops > 0)]
 
 
 def best_labels(lat: Lattice, weights: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """The best labelling: (first token, end token, kind, score); tokens outside score 0."""
-    return _best(len(lat.starts) - 1, _above(lat.segments, lat.matrix, weights))
+    """The best labelling: (first token, end token, kind, score); tokens outside score 0.
+
+    Segments are scored in the shares of ``labelled``: a product rounds by the number of its rows.
+    """
+    share = np.array([i for i, _ in lat.segments], "i8") // SHARE
+    cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(share)]
+    scored = [s for a, b in zip(cuts, cuts[1:]) for s in _above(lat.segments[a:b], lat.matrix[a:b], weights)]
+    return _best(len(lat.starts) - 1, scored)
 
 
 def labelled(text: str, a: int, b: int, weights: np.ndarray) -> list[tuple[int, int, int, float]]:
