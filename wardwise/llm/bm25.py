@@ -58,7 +58,7 @@ from wardwise.sources.tables import settle
 WORD = re.compile(r"\w+")
 APART = {c: " " for c in range(128) if not WORD.match(chr(c))}
 K1, B = 1.2, 0.75
-QUERIES, POSTINGS = 8192, 2_500_000  # of a block, on average; every shard is inverted once for each
+QUERIES, POSTINGS = 8192, 2_500_000  # of a block, on average; every shard is read once for each
 DENSE, WIDTH, AT_ONCE, BLOCKS = 24, 64, 768, 8  # BLOCKS of WIDTH documents are completed at a time
 SHARD, DOCS = 400_000, 8192  # postings and documents of a shard
 LAYOUT, TOGETHER = 4, 8192  # shards that are laid out at a time, and documents a task has for it, at least
